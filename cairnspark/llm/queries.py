@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import decontaminate, language, lines, sentencepiece_codec, simhash
+from cairnspark.llm import ann, bwt, chat, decontaminate, language, lines, pii, rlz, sentencepiece_codec, simhash
 from cairnspark.llm.shared import table
 
 
@@ -35,11 +35,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op1_rlz": rlz.op1_rlz,
         "op2_simhash": op2_simhash,
+        "op3_pii": pii.op3_pii,
         "op4_tiling": decontaminate.op4_tiling,
         "op5_language": language.op5_language,
         "op6_line_spread": lines.op6_line_spread,
+        "op7_ann": ann.op7_ann,
+        "op8_chat": chat.op8_chat,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_bwt": bwt.op10_bwt,
         "pipeline": corpus_pipeline.run,
     }
 
