@@ -35,6 +35,8 @@ from cairnspark.llm.shared import connected_components, written
 
 #: Rows of one cell that a task compares; larger cells are salted.
 CELL = 4096
+#: What it costs to send one probe through a shuffle, in comparisons of two fingerprints.
+PROBE = 200.0
 _ZERO = np.uint64(0)
 
 
@@ -172,7 +174,7 @@ def part_values(x: np.ndarray, parts: list[list[int]]) -> np.ndarray:
     return out
 
 
-def choose_parts(n: int, n_bits: int, budget: int, probes_cost: float = 12.0) -> int:
+def choose_parts(n: int, n_bits: int, budget: int, probes_cost: float = PROBE) -> int:
     """The number of parts with the least expected work for n fingerprints if values were uniform."""
     best = (math.inf, budget)
     for m in range(2, budget + 1):
@@ -203,7 +205,7 @@ def thresholds(x: np.ndarray, values: np.ndarray, parts, ones: np.ndarray, n: in
             at[0] = np.where(keys[j] == values[:, i], sizes[j], at[0])
         total = np.zeros(len(x))
         for t in range(limit + 1):
-            total = total + 12.0 * math.comb(len(bits), t) * (t > 0) + at[t]
+            total = total + PROBE * math.comb(len(bits), t) * (t > 0) + at[t]
             cost[:, i, t + 1] = total
     best = np.full((len(x), budget + 1), np.inf)
     best[:, 0] = 0
