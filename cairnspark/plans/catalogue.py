@@ -1,13 +1,585 @@
-"""Registered queries of the library."""
+"""Registered queries of the library, each over the given tables, with their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from cairnspark.operators import ach, attribution, calibration, clustering, evaluation, extraction, incidents, intervals, knowledge, metrics, sinks
+from cairnspark.plans.oracles import sql
+from cairnspark.sources import bridge
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+DRAWS = 200
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _SQL[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def r9(*names: str):
+    return [F.round(n, 9).alias(n) for n in names]
+
+
+def _facets(profile: DataFrame) -> DataFrame:
+    kind = F.when(F.col("item_id").startswith("S"), "tool").otherwise("ttp")
+    return profile.select("actor_id", kind.alias("facet"), F.col("item_id").alias("value"), "parent")
+
+
+def static_world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """One case per group, its first incident, with markers that point at the next group; shortlist of eight."""
+    uses = bridge.uses(spark, sf_dir)
+    kb, profile, actors = knowledge.kb(uses), knowledge.profile_items(uses), knowledge.groups(uses)
+    inc = incidents.report_incidents(uses, max_per_group=1)
+    items = incidents.incident_items(uses, inc).select(F.col("incident_id").alias("case_id"), "item_id")
+    frames = incidents.framing(actors)
+    markers = attribution.planted_markers(inc.join(frames, "grp").select(F.col("incident_id").alias("case_id"), F.col("framed").alias("target")))
+    sims = attribution.similarity(items, profile, kb, markers)
+    cand = attribution.shortlist(sims, actors, 8, markers)
+    evidence = attribution.evidence_from_items(items, kb).unionByName(markers)
+    return {"uses": uses, "kb": kb, "profile": profile, "actors": actors, "incidents": inc, "items": items, "frames": frames,
+            "markers": markers, "sims": sims, "candidates": cand, "evidence": evidence}
+
+
+def static_ach(spark, sf_dir, config=ach.DEFAULT) -> dict[str, DataFrame]:
+    w = static_world(spark, sf_dir)
+    return w | ach.assess(w["evidence"], w["candidates"], _facets(w["profile"]), config=config)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ach_confidence(spark, sf_dir)
+
+
+# --- knowledge base ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT item_id, usage FROM usage")
+def kb_usage_counts(spark, sf_dir):
+    return knowledge.usage_counts(bridge.uses(spark, sf_dir))
+
+
+@query("SELECT item_id, kind, parent, usage, n_groups, is_common, is_rare, round(idf, 9) AS idf FROM kb")
+def kb_common_rare(spark, sf_dir):
+    return knowledge.kb(bridge.uses(spark, sf_dir)).withColumn("idf", F.round("idf", 9))
+
+
+@query("""SELECT 'groups' AS name, count(DISTINCT source) AS n FROM uses UNION ALL SELECT 'techniques', count(DISTINCT target) FROM uses WHERE target LIKE 'T%'
+UNION ALL SELECT 'software', count(DISTINCT target) FROM uses WHERE target LIKE 'S%' UNION ALL SELECT 'references', count(DISTINCT reference) FROM uses
+UNION ALL SELECT 'uses', count(*) FROM uses""")
+def knowledge_summary(spark, sf_dir):
+    return knowledge.summary(bridge.uses(spark, sf_dir))
+
+
+@query("""SELECT source AS actor_id, coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (target LIKE 'T%'), '') AS techniques,
+coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (target LIKE 'S%'), '') AS tools FROM uses GROUP BY 1""")
+def actor_profiles(spark, sf_dir):
+    p = knowledge.actor_profiles(bridge.uses(spark, sf_dir))
+    return p.select("actor_id", F.array_join("techniques", ",").alias("techniques"), F.array_join("tools", ",").alias("tools"))
+
+
+@query("SELECT source, target, string_agg(DISTINCT reference, ',' ORDER BY reference) AS refs FROM uses GROUP BY 1, 2")
+def support_sets(spark, sf_dir):
+    return knowledge.support(bridge.uses(spark, sf_dir)).withColumn("refs", F.array_join("refs", ","))
+
+
+@query("SELECT DISTINCT source, target FROM uses UNION SELECT source, 'T' || substr(target, 2) FROM uses WHERE target LIKE 'S%'")
+def usage_via_software(spark, sf_dir):
+    """A tool brings the technique of the same name."""
+    u = bridge.uses(spark, sf_dir)
+    s = u.where("target LIKE 'S%'").select(F.col("target").alias("source"), F.concat(F.lit("T"), F.expr("substring(target, 2)")).alias("target")).distinct()
+    return knowledge.via_software(u, s)
+
+
+# --- incidents -------------------------------------------------------------------------------------------------------------
+
+_INC = "SELECT incident_id, grp, reference, n_items, n_removed, n_left FROM "
+
+
+@query(_INC + "incidents")
+def incidents_loro(spark, sf_dir):
+    return incidents.report_incidents(bridge.uses(spark, sf_dir), max_per_group=None)
+
+
+@query(_INC + "inc3")
+def incidents_capped(spark, sf_dir):
+    return incidents.report_incidents(bridge.uses(spark, sf_dir))
+
+
+@query("""SELECT n.source AS grp, n.reference, count(DISTINCT n.target) AS n_items, o.n_old FROM uses n
+JOIN (SELECT source, count(DISTINCT target) AS n_old FROM uses WHERE reference <= '2024-01-15' GROUP BY 1 HAVING count(DISTINCT target) >= 8) o ON o.source = n.source
+WHERE NOT EXISTS (SELECT 1 FROM uses p WHERE p.reference <= '2024-01-15' AND p.source = n.source AND p.reference = n.reference)
+GROUP BY 1, 2, 4 HAVING count(DISTINCT n.target) >= 4""")
+def temporal_incidents(spark, sf_dir):
+    return incidents.temporal_incidents(bridge.uses(spark, sf_dir), "2024-01-15")
+
+
+@query("""SELECT c.campaign, c.grp, c.n_items, c.n_refs, l.n_left FROM
+(SELECT campaign, grp, count(DISTINCT target) AS n_items, count(DISTINCT reference) AS n_refs FROM camp GROUP BY 1, 2 HAVING count(DISTINCT target) >= 3) c
+JOIN (SELECT x.campaign, count(DISTINCT u.target) AS n_left FROM (SELECT DISTINCT campaign, grp FROM camp) x JOIN uses u ON u.source = x.grp
+  WHERE NOT EXISTS (SELECT 1 FROM camp r WHERE r.campaign = x.campaign AND r.reference = u.reference) GROUP BY 1 HAVING count(DISTINCT u.target) >= 8) l ON l.campaign = c.campaign""")
+def campaign_incidents(spark, sf_dir):
+    return incidents.campaign_incidents(bridge.campaign_uses(spark, sf_dir), bridge.uses(spark, sf_dir))
+
+
+@query("""SELECT incident_id, framed, item_id, rn FROM (SELECT i.incident_id, f.framed, u.item_id, row_number() OVER (PARTITION BY i.incident_id ORDER BY k.usage, u.item_id) AS rn
+FROM inc3 i JOIN frames f ON f.grp = i.grp JOIN profile u ON u.actor_id = f.framed JOIN usage k ON k.item_id = u.item_id
+WHERE NOT EXISTS (SELECT 1 FROM uses v WHERE v.source = i.grp AND v.reference = i.reference AND v.target = u.item_id)) WHERE rn <= 3""")
+def mimicry_items(spark, sf_dir):
+    u = bridge.uses(spark, sf_dir)
+    return incidents.mimicry_items(u, incidents.report_incidents(u), incidents.framing(knowledge.groups(u)), knowledge.usage_counts(u))
+
+
+@query("SELECT i.incident_id, i.grp, s.target AS item_id FROM inc3 i JOIN support s ON s.source = i.grp AND s.ref1 = i.reference AND s.n_refs = 1")
+def holdout_removed(spark, sf_dir):
+    u = bridge.uses(spark, sf_dir)
+    return incidents.removed_items(u, incidents.report_incidents(u))
+
+
+# --- ACH -------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT case_id, evidence_id, kind, value, coalesce(target, '') AS target, spoofable, round(base_weight, 9) AS base_weight, is_common, is_rare FROM ev")
+def evidence_rows(spark, sf_dir):
+    e = static_world(spark, sf_dir)["evidence"]
+    return e.select("case_id", "evidence_id", "kind", "value", F.array_join("points_to", ",").alias("target"), "spoofable", *r9("base_weight"), "is_common", "is_rare")
+
+
+@query("SELECT case_id, hyp_id, kind, coalesce(actor_id, '') AS actor_id, ord FROM hyps")
+def ach_hypotheses(spark, sf_dir):
+    return static_ach(spark, sf_dir)["hypotheses"].withColumn("actor_id", F.coalesce("actor_id", F.lit("")))
+
+
+@query("SELECT case_id, evidence_id, hyp_id, rating FROM mat")
+def ach_cells(spark, sf_dir):
+    return static_ach(spark, sf_dir)["cells"]
+
+
+@query("SELECT case_id, evidence_id, round(spread, 9) AS spread, round(weight, 9) AS weight FROM wts")
+def ach_weights(spark, sf_dir):
+    return static_ach(spark, sf_dir)["weights"].select("case_id", "evidence_id", *r9("spread", "weight"))
+
+
+@query("SELECT case_id, hyp_id, round(inconsistency, 6) AS inconsistency, round(support, 6) AS support, round(spoof_ratio, 6) AS spoof_ratio, rank FROM scored")
+def ach_ranking(spark, sf_dir):
+    s = static_ach(spark, sf_dir)["scores"]
+    return s.select("case_id", "hyp_id", *[F.round(c, 6).alias(c) for c in ("inconsistency", "support", "spoof_ratio")], "rank")
+
+
+@query("SELECT case_id, leading, leading_kind, round(gap, 6) AS gap, n_diag, confidence, flagged FROM graded")
+def ach_confidence(spark, sf_dir):
+    a = static_ach(spark, sf_dir)["assessments"]
+    return a.select("case_id", "leading", "leading_kind", F.round("gap", 6).alias("gap"), "n_diag", "confidence", "flagged")
+
+
+@query("SELECT case_id, many AS many_targets, contradicted FROM signs")
+def ach_indicators(spark, sf_dir):
+    return static_ach(spark, sf_dir)["indicators"]
+
+
+@query("""SELECT case_id, evidence_id AS dropped, hyp_id AS new_leader, was <> 1 AS flips FROM (SELECT x.*, row_number() OVER (PARTITION BY case_id, evidence_id
+ORDER BY round(inc, 9) DESC, CASE kind WHEN 'unknown' THEN 0 WHEN 'false_flag' THEN 1 ELSE 2 END, round(sup, 9) DESC, ord) AS rn FROM (
+SELECT m.case_id, m.evidence_id, m.hyp_id, s.kind, s.ord, s.rank AS was, s.inconsistency - CASE WHEN rating < 0 THEN rating * weight ELSE 0 END AS inc,
+s.support - CASE WHEN rating > 0 THEN rating * weight ELSE 0 END AS sup FROM mat m JOIN wts w USING (case_id, evidence_id) JOIN scored s USING (case_id, hyp_id)) x) WHERE rn = 1""")
+def ach_sensitivity(spark, sf_dir):
+    a = static_ach(spark, sf_dir)
+    return ach.sensitivity(a["cells"], a["weights"], a["scores"])
+
+
+@query("""SELECT case_id, evidence_id, round(c, 9) AS contribution, rn FROM (SELECT case_id, evidence_id, rating * weight AS c,
+row_number() OVER (PARTITION BY case_id ORDER BY round(rating * weight, 9), evidence_id) AS rn FROM mat JOIN wts USING (case_id, evidence_id)
+JOIN (SELECT case_id, hyp_id FROM scored WHERE rank = 2) USING (case_id, hyp_id) WHERE rating * weight < 0) WHERE rn <= 3""")
+def ach_drivers(spark, sf_dir):
+    a = static_ach(spark, sf_dir)
+    return ach.drivers(a["cells"], a["weights"], a["scores"]).withColumn("contribution", F.round("contribution", 9))
+
+
+@query("""SELECT case_id, hyp_id FROM (SELECT case_id, hyp_id, row_number() OVER (PARTITION BY case_id ORDER BY round(inconsistency + 0.5 * (support - spoof), 9) DESC,
+CASE kind WHEN 'unknown' THEN 0 WHEN 'false_flag' THEN 1 ELSE 2 END, round(support, 9) DESC, ord) AS rn FROM sums JOIN hyps USING (case_id, hyp_id)) WHERE rn = 1""")
+def ach_balanced(spark, sf_dir):
+    return static_ach(spark, sf_dir, ach.Config(balanced=True))["scores"].where("rank = 1").select("case_id", "hyp_id")
+
+
+ABLATIONS = {
+    "no_false_flags": ach.Config(false_flags=False), "no_unknown": ach.Config(unknown=False), "no_discount": ach.Config(spoof_discount=False),
+    "no_diagnosticity": ach.Config(diagnosticity=False), "no_caps": ach.Config(caps=False),
+}
+
+
+@query()
+def ach_ablations(spark, sf_dir):
+    """How leaders and grades come out with one switch off at a time."""
+    parts = []
+    w = static_world(spark, sf_dir)
+    for name, config in ABLATIONS.items():
+        a = ach.assess(w["evidence"], w["candidates"], _facets(w["profile"]), config=config)["assessments"]
+        parts.append(a.groupBy("leading_kind", "confidence").agg(F.count(F.lit(1)).alias("n")).withColumn("variant", F.lit(name)))
+    return evaluation.union(parts)
+
+
+@query("""SELECT case_id, evidence_id, string_agg(CASE rating WHEN 2 THEN 'CC' WHEN 1 THEN 'C' WHEN 0 THEN 'N' WHEN -1 THEN 'I' ELSE 'II' END, ' ' ORDER BY rank)
+|| CASE WHEN bool_or(w.spoofable) THEN ' *' ELSE '' END AS row FROM mat JOIN scored USING (case_id, hyp_id) JOIN wts w USING (case_id, evidence_id) GROUP BY 1, 2""")
+def ach_matrix_text(spark, sf_dir):
+    a = static_ach(spark, sf_dir)
+    return ach.matrix_text(a["cells"], a["scores"], a["evidence"])
+
+
+# --- similarity ------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT case_id, actor_id, round(cosine, 9) AS cosine, round(coverage, 9) AS coverage, round(score, 9) AS score FROM sims")
+def sim_scores(spark, sf_dir):
+    return static_world(spark, sf_dir)["sims"].select("case_id", "actor_id", *r9("cosine", "coverage", "score"))
+
+
+@query("SELECT case_id, actor_id, ord FROM cand")
+def shortlist(spark, sf_dir):
+    return static_world(spark, sf_dir)["candidates"]
+
+
+@query("""SELECT case_id, leading, round(p, 9) AS probability, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.55 THEN 'moderate' ELSE 'low' END AS confidence FROM (
+SELECT r.case_id, max(CASE WHEN rank = 1 THEN actor_id END) AS leading, 1 / (sum(exp((score - m) / 0.05)) + ((SELECT count(*) FROM actors) - count(*)) * exp(-max(m) / 0.05)) AS p
+FROM ranks r JOIN (SELECT case_id, max(score) AS m FROM ranks GROUP BY 1) t ON t.case_id = r.case_id GROUP BY 1)""")
+def sim_attribution(spark, sf_dir):
+    w = static_world(spark, sf_dir)
+    return attribution.softmax_top(w["sims"], w["actors"]).withColumn("probability", F.round("probability", 9))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------------
+
+
+def _evaluated(spark, sf_dir, methods=("similarity", "coverage", "ach"), settings=None, max_per_group=1):
+    uses = bridge.uses(spark, sf_dir)
+    kb, profile, actors = knowledge.kb(uses), knowledge.profile_items(uses), knowledge.groups(uses)
+    inc = incidents.report_incidents(uses, max_per_group=max_per_group)
+    world = evaluation.worlds(uses, inc, actors, kb, profile, settings)
+    scores = evaluation.world_scores(world["cases"], world["usage"], world["deltas"], profile, kb, world["markers"])
+    parts = []
+    for m in methods:
+        if m == "ach":
+            parts.append(evaluation.ach_attribution(world, scores, actors, profile))
+        else:
+            by = "score" if m == "similarity" else "coverage"
+            parts.append(evaluation.simple_attribution(evaluation.with_rank(scores, actors, world["cases"], by), world["cases"], actors, by, m))
+    return evaluation.outcomes(world["cases"], evaluation.union(parts))
+
+
+@query("""SELECT * FROM (WITH cs AS (SELECT i.incident_id || '#' || s AS case_id, i.incident_id, i.grp, i.reference, s AS setting FROM inc1 i, (SELECT unnest(['closed','open']) AS s) t(s)),
+delta AS (SELECT c.case_id, c.grp, p.target AS item_id FROM cs c JOIN support p ON p.source = c.grp AND ((c.setting = 'closed' AND p.n_refs = 1 AND p.ref1 = c.reference) OR c.setting = 'open')),
+obs AS (SELECT DISTINCT c.case_id, c.setting, u.target AS item_id FROM cs c JOIN uses u ON u.source = c.grp AND u.reference = c.reference)
+SELECT o.case_id, o.item_id, k.usage - (d.item_id IS NOT NULL)::INT AS usage, k.n_groups - (o.setting = 'open')::INT AS n_groups,
+round(ln((1.0 + k.n_groups - (o.setting = 'open')::INT) / (1.0 + k.usage - (d.item_id IS NOT NULL)::INT)) + 1, 9) AS idf
+FROM obs o JOIN kb k ON k.item_id = o.item_id LEFT JOIN delta d ON d.case_id = o.case_id AND d.item_id = o.item_id)""")
+def holdout_usage(spark, sf_dir):
+    u = bridge.uses(spark, sf_dir)
+    inc = incidents.report_incidents(u, max_per_group=1)
+    w = evaluation.worlds(u, inc, knowledge.groups(u), knowledge.kb(u), knowledge.profile_items(u), ["closed", "open"])
+    return w["usage"].select("case_id", "item_id", "usage", "n_groups", *r9("idf"))
+
+
+@query()
+def world_similarity(spark, sf_dir):
+    """Cosine in hold-out worlds by corrected norms (tests/test_evaluation.py has the brute-force version)."""
+    u = bridge.uses(spark, sf_dir)
+    kb, profile, actors = knowledge.kb(u), knowledge.profile_items(u), knowledge.groups(u)
+    w = evaluation.worlds(u, incidents.report_incidents(u, max_per_group=1), actors, kb, profile, ["closed", "open"])
+    s = evaluation.world_scores(w["cases"], w["usage"], w["deltas"], profile, kb, w["markers"])
+    return s.select("case_id", "actor_id", *r9("cosine", "coverage", "score"))
+
+
+@query()
+def eval_outcomes(spark, sf_dir):
+    return _evaluated(spark, sf_dir).withColumn("probability", F.round("probability", 9))
+
+
+@query()
+def eval_summary(spark, sf_dir):
+    return evaluation.summarise(_evaluated(spark, sf_dir))
+
+
+# --- calibration, metrics, intervals ------------------------------------------------------------------------------------------
+
+
+@query("SELECT round(avg((p - correct::INT) * (p - correct::INT)), 9) AS brier FROM outc")
+def brier(spark, sf_dir):
+    return metrics.brier(bridge.outcomes(spark, sf_dir)).select(*r9("brier"))
+
+
+@query("SELECT least(floor(p * 10), 9)::INT AS bin, round(avg(p), 9) AS mean_p, round(avg(correct::INT), 9) AS accuracy, count(*) AS n FROM outc GROUP BY 1")
+def reliability_bins(spark, sf_dir):
+    return metrics.reliability(bridge.outcomes(spark, sf_dir)).select("bin", *r9("mean_p", "accuracy"), "n")
+
+
+@query("SELECT round(sum(n * abs(mp - acc)) / sum(n), 9) AS ece FROM (SELECT least(floor(p * 10), 9) AS b, avg(p) AS mp, avg(correct::INT) AS acc, count(*) AS n FROM outc GROUP BY 1)")
+def expected_calibration_error(spark, sf_dir):
+    return metrics.ece(bridge.outcomes(spark, sf_dir)).select(*r9("ece"))
+
+
+@query("""SELECT o.id, round((coalesce(c.h, 0) + b.base) / (coalesce(c.n, 0) + 1), 9) AS p_cal FROM outc o
+JOIN (SELECT 1 - fold AS fold, (count(*) FILTER (correct) + 1) / (count(*) + 2) AS base FROM outc GROUP BY fold) b ON b.fold = o.fold
+LEFT JOIN (SELECT 1 - fold AS fold, least(floor(p * 10), 9) AS bin, count(*) FILTER (correct) AS h, count(*) AS n FROM outc GROUP BY fold, 2) c ON c.fold = o.fold AND c.bin = least(floor(o.p * 10), 9)""")
+def hist_crossfit(spark, sf_dir):
+    return calibration.histogram_crossfit(bridge.outcomes(spark, sf_dir)).select("id", *r9("p_cal"))
+
+
+_GRADED = "SELECT *, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.55 THEN 'moderate' ELSE 'low' END AS grade FROM outc"
+
+
+@query(f"""SELECT fold, round(least(p0, (p0*w0+p1*w1)/(w0+w1), (p0*w0+p1*w1+p2*w2)/(w0+w1+w2)), 9) AS low,
+round(greatest(least(p1, (p1*w1+p2*w2)/(w1+w2)), least((p0*w0+p1*w1)/(w0+w1), (p0*w0+p1*w1+p2*w2)/(w0+w1+w2))), 9) AS moderate,
+round(greatest(p2, (p1*w1+p2*w2)/(w1+w2), (p0*w0+p1*w1+p2*w2)/(w0+w1+w2)), 9) AS high FROM (
+SELECT fold, (count(*) FILTER (correct AND grade='low') + 1) / (count(*) FILTER (grade='low') + 2) AS p0, count(*) FILTER (grade='low') + 2 AS w0,
+(count(*) FILTER (correct AND grade='moderate') + 1) / (count(*) FILTER (grade='moderate') + 2) AS p1, count(*) FILTER (grade='moderate') + 2 AS w1,
+(count(*) FILTER (correct AND grade='high') + 1) / (count(*) FILTER (grade='high') + 2) AS p2, count(*) FILTER (grade='high') + 2 AS w2 FROM ({_GRADED}) g GROUP BY 1)""")
+def grade_calibration(spark, sf_dir):
+    from cairnspark.functions.domain import grade_of
+
+    x = bridge.outcomes(spark, sf_dir).withColumn("grade", grade_of(F.col("p")))
+    return calibration.grade_map(x, "fold").select("fold", *r9("low", "moderate", "high"))
+
+
+TAUS = [round(0.1 + 0.02 * i, 2) for i in range(21)]
+_TAU = "(SELECT i, round(0.1 + 0.02 * i, 2)::DOUBLE AS tau FROM generate_series(0, 20) t(i))"
+
+
+@query(f"""SELECT i::INT AS i, tau, round(avg((p >= tau)::INT), 9) AS answered, round(count(*) FILTER (p >= tau AND correct) / nullif(count(*) FILTER (p >= tau), 0), 9) AS accuracy,
+round(count(*) FILTER (p >= tau AND correct) / count(*), 9) AS right FROM outc, {_TAU} g GROUP BY 1, 2""")
+def abstain_frontier(spark, sf_dir):
+    return calibration.abstention(bridge.outcomes(spark, sf_dir), TAUS).select("i", "tau", *r9("answered", "accuracy", "right"))
+
+
+@query(f"""SELECT fold, tau, round(worth / n, 9) AS worth FROM (SELECT s.*, row_number() OVER (PARTITION BY 1) AS z FROM (SELECT fold, i, tau, sum(CASE WHEN p < tau THEN 0 WHEN correct THEN 1 ELSE -1 END) AS worth, count(*) AS n
+FROM outc, {_TAU} g GROUP BY 1, 2, 3) s) a JOIN (SELECT 1 - fold AS f2, i AS i2 FROM (SELECT fold, i, row_number() OVER (PARTITION BY fold ORDER BY sum(CASE WHEN p < tau THEN 0 WHEN correct THEN 1 ELSE -1 END) DESC, i) AS rn
+FROM outc, {_TAU} g GROUP BY fold, i) WHERE rn = 1) b ON a.fold = b.f2 AND a.i = b.i2""")
+def crossfit_tau(spark, sf_dir):
+    return calibration.crossfit_threshold(bridge.outcomes(spark, sf_dir), TAUS).select("fold", "tau", *r9("worth"))
+
+
+def _gold(spark, sf_dir):
+    d = bridge.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    gold = d.select("doc_id", F.explode(F.array("lang", "source")).alias("label"))
+    guess = F.when(F.col("n_chars") % 5 == 0, "en").otherwise(F.col("lang"))
+    src = F.concat(F.lit("src"), (F.col("doc_id") % 20 + F.when(F.col("n_chars") % 7 == 0, 1).otherwise(0)).cast("string"))
+    return gold, d.select("doc_id", F.explode(F.array(guess, src)).alias("label"))
+
+
+_F = "coalesce(2 * p * r / nullif(p + r, 0), 0)"
+
+
+@query(f"""SELECT average, round(p, 9) AS precision, round(r, 9) AS recall, round({_F}, 9) AS f FROM (SELECT 'micro' AS average, sum(tp) / (sum(tp) + sum(fp)) AS p, sum(tp) / (sum(tp) + sum(fn)) AS r FROM lcount)
+UNION ALL SELECT 'macro', round(avg(p), 9), round(avg(r), 9), round(avg({_F}), 9) FROM (SELECT coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM lcount WHERE tp + fn > 0)""")
+def prf_micro_macro(spark, sf_dir):
+    return metrics.micro_macro(*_gold(spark, sf_dir))
+
+
+_F5 = "coalesce(1.25 * p * r / nullif(0.25 * p + r, 0), 0)"
+
+
+@query(f"""SELECT average, round(p, 9) AS precision, round(r, 9) AS recall, round({_F5}, 9) AS f FROM (SELECT 'micro' AS average, sum(tp) / (sum(tp) + sum(fp)) AS p, sum(tp) / (sum(tp) + sum(fn)) AS r FROM lcount)
+UNION ALL SELECT 'macro', round(avg(p), 9), round(avg(r), 9), round(avg({_F5}), 9) FROM (SELECT coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM lcount)""")
+def fbeta(spark, sf_dir):
+    return metrics.micro_macro(*_gold(spark, sf_dir), beta=0.5, all_labels=True)
+
+
+@query("SELECT label, tp + fn AS support, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM lcount WHERE tp + fn > 0")
+def per_label_f1(spark, sf_dir):
+    return metrics.per_label_f1(*_gold(spark, sf_dir))
+
+
+@query("""SELECT round(pur, 9) AS purity, round(mi / ((ht + hp) / 2), 9) AS nmi, round((same - pt * pp / (n * (n - 1) / 2.0)) / ((pt + pp) / 2 - pt * pp / (n * (n - 1) / 2.0)), 9) AS ari, k AS n_clusters FROM
+(SELECT sum(n) AS n, sum(n * (n - 1) / 2.0) AS same FROM ctab) a, (SELECT sum(m) / (SELECT sum(n) FROM ctab) AS pur, count(*) AS k FROM (SELECT predicted, max(n) AS m FROM ctab GROUP BY 1)),
+(SELECT sum(n * (n - 1) / 2.0) AS pt, -sum(n / t * ln(n / t)) AS ht FROM (SELECT truth, sum(n) AS n, (SELECT sum(n) FROM ctab) AS t FROM ctab GROUP BY 1)),
+(SELECT sum(n * (n - 1) / 2.0) AS pp, -sum(n / t * ln(n / t)) AS hp FROM (SELECT predicted, sum(n) AS n, (SELECT sum(n) FROM ctab) AS t FROM ctab GROUP BY 1)),
+(SELECT sum(c.n / t * ln(c.n * t / (x.n * y.n))) AS mi FROM ctab c JOIN (SELECT truth, sum(n) AS n FROM ctab GROUP BY 1) x ON x.truth = c.truth
+ JOIN (SELECT predicted, sum(n) AS n FROM ctab GROUP BY 1) y ON y.predicted = c.predicted, (SELECT sum(n) AS t FROM ctab))""")
+def partition_scores(spark, sf_dir):
+    return metrics.partition_scores(bridge.partitions(spark, sf_dir))
+
+
+@query("""SELECT grp, hits, n, round(greatest((p + 1.9208 / n) / d - 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n)) / d, 0), 9) AS low,
+round(least((p + 1.9208 / n) / d + 1.96 * sqrt(p * (1 - p) / n + 0.9604 / (n * n)) / d, 1), 9) AS high FROM (
+SELECT grp, count(*) FILTER (correct) AS hits, count(*) AS n, count(*) FILTER (correct) / count(*) AS p, 1 + 3.8416 / count(*) AS d FROM outc GROUP BY 1)""")
+def wilson_ci(spark, sf_dir):
+    return intervals.wilson_by(bridge.outcomes(spark, sf_dir), "grp")
+
+
+@query("""SELECT grp, b AS only_a, c AS only_b, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1.0) - lgamma(i + 1.0) - lgamma(b + c - i + 1.0)))
+FROM generate_series(0, least(b, c)) t(i)) / pow(2.0, b + c)), 9) END AS p FROM (SELECT grp, count(*) FILTER (correct AND NOT correct2) AS b, count(*) FILTER (NOT correct AND correct2) AS c FROM outc GROUP BY 1)""")
+def mcnemar(spark, sf_dir):
+    return intervals.mcnemar_test(bridge.outcomes(spark, sf_dir), "correct", "correct2", "grp")
+
+
+@query(f"""SELECT round(est, 9) AS estimate, round(low, 9) AS low, round(high, 9) AS high FROM (SELECT max(CASE WHEN k = 6 THEN r END) AS low, max(CASE WHEN k = 195 THEN r END) AS high FROM (
+SELECT r, row_number() OVER (ORDER BY r, draw) AS k FROM (SELECT d.draw, sum(g.s) / sum(g.c) AS r FROM (
+SELECT draw, ('0x' || substr(md5(draw || ':' || slot), 1, 8))::BIGINT % (SELECT count(DISTINCT grp) FROM outc) AS at FROM generate_series(0, {DRAWS - 1}) a(draw), generate_series(0, (SELECT count(DISTINCT grp) FROM outc) - 1) b(slot)) d
+JOIN (SELECT row_number() OVER (ORDER BY grp) - 1 AS at, count(*) FILTER (correct) AS s, count(*) AS c FROM outc GROUP BY grp) g ON g.at = d.at GROUP BY 1))), (SELECT avg(correct::INT) AS est FROM outc)""")
+def cluster_bootstrap(spark, sf_dir):
+    sums = intervals.group_sums(bridge.outcomes(spark, sf_dir))
+    return intervals.bootstrap(sums, intervals.hashed_draws(sums.select("grp"), DRAWS), DRAWS).select(*r9("estimate", "low", "high"))
+
+
+@query()
+def jackknife_ari(spark, sf_dir):
+    return intervals.jackknife(bridge.partitions(spark, sf_dir), metrics.partition_scores, "ari")
+
+
+@query("SELECT fold, round(avg(p), 9) AS mean, round(stddev_samp(p), 9) AS sd, count(*) AS n FROM outc GROUP BY 1")
+def mean_sd(spark, sf_dir):
+    return intervals.mean_sd(bridge.outcomes(spark, sf_dir), "p", "fold").select("fold", *r9("mean", "sd"), "n")
+
+
+# --- clustering --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS node, 'event' AS kind FROM bask UNION SELECT facet || ':' || value, facet FROM bask")
+def diamond_nodes(spark, sf_dir):
+    return clustering.diamond_nodes(bridge.baskets(spark, sf_dir))
+
+
+@query("SELECT DISTINCT event_id AS a, facet || ':' || value AS b, facet FROM bask")
+def diamond_edges(spark, sf_dir):
+    return clustering.diamond_edges(bridge.baskets(spark, sf_dir))
+
+
+@query("SELECT a, b, sim FROM jac5")
+def weighted_jaccard(spark, sf_dir):
+    return clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.5)
+
+
+@query("""SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b DESC) AS k FROM
+(SELECT a, b, sim FROM jac5 UNION ALL SELECT b, a, sim FROM jac5)) WHERE k <= 5""")
+def knn_edges(spark, sf_dir):
+    return clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.5))
+
+
+def _components(spark, sf_dir):
+    f = clustering.event_weights(bridge.baskets(spark, sf_dir))
+    pairs = clustering.jaccard_pairs(f, 0.6)
+    return clustering.components(f.select("id").distinct(), pairs), f, pairs
+
+
+_REACH = """reach(id, c) AS (SELECT id, id FROM tot UNION SELECT e.x, r.c FROM reach r JOIN (SELECT a AS x, b AS y FROM jac WHERE sim >= 0.6 UNION ALL SELECT b, a FROM jac WHERE sim >= 0.6) e ON e.y = r.id WHERE r.c < e.x)"""
+
+
+@query("""SELECT id, min(c) AS component FROM (WITH RECURSIVE """ + _REACH + """ SELECT * FROM reach) GROUP BY 1""")
+def components(spark, sf_dir):
+    return _components(spark, sf_dir)[0]
+
+
+@query()
+def campaigns(spark, sf_dir):
+    comp, f, _ = _components(spark, sf_dir)
+    return clustering.campaigns(comp, f)
+
+
+@query()
+def communities(spark, sf_dir):
+    return clustering.communities(clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.5)))
+
+
+# --- extraction and sinks ------------------------------------------------------------------------------------------------------
+
+#: A small knowledge base over the given texts' words.
+KEYWORDS = [
+    ("T1001", "ttp", "Reading", ["and the", "that the"]), ("T1002", "ttp", "Contempt", ["worthless", "pathetic"]), ("T1003.001", "ttp", "Conjunction", ["und der", "et de"]),
+    ("S0001", "tool", "Nicht", ["Nicht"]), ("S0002", "tool", "Que", ["Que la", "por"]), ("S0003", "tool", "Ing", ["ing", "Was"]),
+]
+
+
+def keyword_kb(spark):
+    rows = [(i, t, n, k, o) for o, (i, t, n, k) in enumerate(KEYWORDS)]
+    return spark.createDataFrame(rows, "item_id string, item_type string, name string, keywords array<string>, ord int")
+
+
+def _keyword_sql() -> str:
+    parts = []
+    for item, _, _, words in KEYWORDS:
+        tests = []
+        for w in words:
+            flag = "" if any(c.isupper() for c in w) else "(?i)"
+            tests.append(f"WHEN regexp_matches(text, '{flag}(^|[^A-Za-z0-9]){w}([^A-Za-z0-9]|$)') THEN '{w}'")
+        parts.append(f"SELECT doc_id, '{item}' AS item_id, CASE {' '.join(tests)} END AS matched FROM documents")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE matched IS NOT NULL"
+
+
+def _hits(spark, sf_dir):
+    return extraction.keyword_hits(bridge.table(spark, sf_dir, "documents").select("doc_id", "text"), keyword_kb(spark))
+
+
+@query(_keyword_sql())
+def keyword_hits(spark, sf_dir):
+    return _hits(spark, sf_dir).select("doc_id", "item_id", "matched")
+
+
+@query()
+def ioc_spans(spark, sf_dir):
+    return extraction.indicators(bridge.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b')) AS value FROM documents")
+def ioc_ipv4(spark, sf_dir):
+    return extraction.indicators(bridge.table(spark, sf_dir, "documents").select("doc_id", "text")).where("type = 'ipv4'").select("doc_id", "value")
+
+
+@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '\b[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,10}\b')) AS value FROM documents")
+def ioc_email(spark, sf_dir):
+    return extraction.indicators(bridge.table(spark, sf_dir, "documents").select("doc_id", "text")).where("type = 'email'").select("doc_id", "value")
+
+
+@query(r"""SELECT doc_id, s AS sentence, count(*) AS n FROM (SELECT item_id AS doc_id, trim(unnest(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\n|$)')), E' \t\n\r') AS s FROM benchmark) WHERE length(s) >= 20 GROUP BY 1, 2""")
+def sentences(spark, sf_dir):
+    d = bridge.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return extraction.sentences(d).groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def navigator_layers(spark, sf_dir):
+    return sinks.navigator(_hits(spark, sf_dir))
+
+
+@query()
+def stix_objects(spark, sf_dir):
+    d = bridge.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sinks.stix_objects(extraction.keyword_hits(d, keyword_kb(spark)), extraction.indicators(d))
+
+
+@query("""SELECT DISTINCT line FROM (SELECT 'MERGE (:Event {id: ''' || event_id || '''});' AS line FROM bask UNION ALL
+SELECT 'MERGE (e:Event {id: ''' || event_id || '''}) MERGE (f:' || CASE facet WHEN 'capability' THEN 'Capability' WHEN 'infrastructure' THEN 'Infrastructure' ELSE 'Victim' END
+|| ' {value: ''' || replace(value, '''', '\\''') || '''}) MERGE (e)-[:HAS]->(f);' FROM bask)""")
+def cypher_lines(spark, sf_dir):
+    return sinks.cypher(bridge.baskets(spark, sf_dir))
+
+
+# --- events --------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(strftime(ts, '%Y-%m-%d'), 'all') AS day, coalesce(event_type, 'all') AS event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d'), event_type), (strftime(ts, '%Y-%m-%d')), ())""")
+def daily_event_rollup(spark, sf_dir):
+    e = bridge.table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "value")
+    g = e.rollup("day", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return g.select(F.coalesce("day", F.lit("all")).alias("day"), F.coalesce("event_type", F.lit("all")).alias("event_type"), "n", "total")
+
+
+@query("""SELECT user_id, min(ts) AS started, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def event_sessions(spark, sf_dir):
+    e = bridge.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return e.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w")).agg(F.min("ts").alias("started"), F.count(F.lit(1)).alias("n")).select("user_id", "started", "n")
