@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cairnspark.llm import kernels as K
 from cairnspark.llm.passages import OCCURRENCE, classify, edge_groups, per_document
 from cairnspark.llm.rlz import covered
-from cairnspark.llm.shared import table, written
+from cairnspark.llm.shared import small_batches, table, written
 
 WINDOW = 400
 ANCHOR = 16
@@ -45,7 +45,7 @@ def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1), 2 << 20):
+            for a, b, data, offsets in K.slices(batch.column(1), 1 << 20):
                 row = np.repeat(np.arange(b - a), np.diff(offsets))
                 r, first, last, anchor, gram, whole = K.anchors(K.byte_codes(data), row, window, k)
                 yield pa.RecordBatch.from_arrays(
@@ -225,6 +225,7 @@ def sort_collections(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """(doc_id, first, last): runs of byte windows that also start anywhere else."""
+    small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
     kinds = written(classify(written(index(docs, window, k), "anchors")), "repeats")
     known = kinds.where("kind = 'factor'").select("doc_id", "first", "last")

@@ -33,7 +33,8 @@ def classify(occurrences: DataFrame) -> DataFrame:
     )
     hits = occurrences.join(live, "gram")
     factors = hits.where("uniform").drop("uniform").withColumn("kind", F.lit("factor"))
-    mixed = hits.where("not uniform").drop("uniform")
+    # Dealt by content as well: what follows would else keep the join's partitions, all of a hot anchor in one.
+    mixed = hits.where("not uniform").drop("uniform").repartition("gram", "whole")
     cells = mixed.groupBy("gram", "whole").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("model")
     )
