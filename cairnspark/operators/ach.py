@@ -263,11 +263,13 @@ def parse_override(text: str) -> tuple[str, str, str]:
 
 def assess(evidence, candidates, profile, removed=None, overrides=None, config: Config = DEFAULT):
     """All stages: a dictionary of DataFrames."""
-    hyps = hypotheses(evidence, candidates, config)
-    actor = actor_cells(evidence, candidates, profile, removed)
-    matrix = cells(evidence, hyps, actor, overrides)
-    weight = weights(evidence, matrix, config)
-    scored = scores(matrix, weight, hyps, config)
+    # What several later stages read is kept (memory, then disk) instead of being planned and computed again.
+    evidence, candidates = evidence.persist(), candidates.persist()
+    hyps = hypotheses(evidence, candidates, config).persist()
+    actor = actor_cells(evidence, candidates, profile, removed).persist()
+    matrix = cells(evidence, hyps, actor, overrides).persist()
+    weight = weights(evidence, matrix, config).persist()
+    scored = scores(matrix, weight, hyps, config).persist()
     signs = indicators(evidence, actor, candidates)
     return {
         "hypotheses": hyps, "actor_cells": actor, "cells": matrix, "weights": weight, "scores": scored, "indicators": signs,

@@ -46,13 +46,13 @@ def _facets(profile: DataFrame) -> DataFrame:
 
 def static_world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """One case per group, its first incident, with markers that point at the next group; shortlist of eight."""
-    uses = bridge.uses(spark, sf_dir)
-    kb, profile, actors = knowledge.kb(uses), knowledge.profile_items(uses), knowledge.groups(uses)
-    inc = incidents.report_incidents(uses, max_per_group=1)
-    items = incidents.incident_items(uses, inc).select(F.col("incident_id").alias("case_id"), "item_id")
+    uses = bridge.uses(spark, sf_dir).persist()
+    kb, profile, actors = knowledge.kb(uses).persist(), knowledge.profile_items(uses).persist(), knowledge.groups(uses).persist()
+    inc = incidents.report_incidents(uses, max_per_group=1).persist()
+    items = incidents.incident_items(uses, inc).select(F.col("incident_id").alias("case_id"), "item_id").persist()
     frames = incidents.framing(actors)
     markers = attribution.planted_markers(inc.join(frames, "grp").select(F.col("incident_id").alias("case_id"), F.col("framed").alias("target")))
-    sims = attribution.similarity(items, profile, kb, markers)
+    sims = attribution.similarity(items, profile, kb, markers).persist()
     cand = attribution.shortlist(sims, actors, 8, markers)
     evidence = attribution.evidence_from_items(items, kb).unionByName(markers)
     return {"uses": uses, "kb": kb, "profile": profile, "actors": actors, "incidents": inc, "items": items, "frames": frames,
@@ -177,16 +177,16 @@ def ach_weights(spark, sf_dir):
     return static_ach(spark, sf_dir)["weights"].select("case_id", "evidence_id", *r9("spread", "weight"))
 
 
-@query("SELECT case_id, hyp_id, round(inconsistency, 6) AS inconsistency, round(support, 6) AS support, round(spoof_ratio, 6) AS spoof_ratio, rank FROM scored")
+@query("SELECT case_id, hyp_id, round(inconsistency, 9) AS inconsistency, round(support, 9) AS support, round(spoof_ratio, 9) AS spoof_ratio, rank FROM scored")
 def ach_ranking(spark, sf_dir):
     s = static_ach(spark, sf_dir)["scores"]
-    return s.select("case_id", "hyp_id", *[F.round(c, 6).alias(c) for c in ("inconsistency", "support", "spoof_ratio")], "rank")
+    return s.select("case_id", "hyp_id", *[F.round(c, 9).alias(c) for c in ("inconsistency", "support", "spoof_ratio")], "rank")
 
 
-@query("SELECT case_id, leading, leading_kind, round(gap, 6) AS gap, n_diag, confidence, flagged FROM graded")
+@query("SELECT case_id, leading, leading_kind, round(gap, 9) AS gap, n_diag, confidence, flagged FROM graded")
 def ach_confidence(spark, sf_dir):
     a = static_ach(spark, sf_dir)["assessments"]
-    return a.select("case_id", "leading", "leading_kind", F.round("gap", 6).alias("gap"), "n_diag", "confidence", "flagged")
+    return a.select("case_id", "leading", "leading_kind", F.round("gap", 9).alias("gap"), "n_diag", "confidence", "flagged")
 
 
 @query("SELECT case_id, many AS many_targets, contradicted FROM signs")
@@ -266,11 +266,11 @@ def sim_attribution(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir, methods=("similarity", "coverage", "ach"), settings=None, max_per_group=1):
-    uses = bridge.uses(spark, sf_dir)
-    kb, profile, actors = knowledge.kb(uses), knowledge.profile_items(uses), knowledge.groups(uses)
-    inc = incidents.report_incidents(uses, max_per_group=max_per_group)
-    world = evaluation.worlds(uses, inc, actors, kb, profile, settings)
-    scores = evaluation.world_scores(world["cases"], world["usage"], world["deltas"], profile, kb, world["markers"])
+    uses = bridge.uses(spark, sf_dir).persist()
+    kb, profile, actors = knowledge.kb(uses).persist(), knowledge.profile_items(uses).persist(), knowledge.groups(uses).persist()
+    inc = incidents.report_incidents(uses, max_per_group=max_per_group).persist()
+    world = {k: v.persist() for k, v in evaluation.worlds(uses, inc, actors, kb, profile, settings).items()}
+    scores = evaluation.world_scores(world["cases"], world["usage"], world["deltas"], profile, kb, world["markers"]).persist()
     parts = []
     for m in methods:
         if m == "ach":
