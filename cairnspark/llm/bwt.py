@@ -59,7 +59,7 @@ def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, OCCURRENCE)
 
 
-def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFrame:
+def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW, group: int = GROUP, stride: int = STRIDE) -> DataFrame:
     """(grp, doc_id, first, last, lead, bytes): the strings to be sorted.
 
     first..last are the windows owned, lead is the distance from first to the anchor, bytes what the windows cover.
@@ -75,10 +75,10 @@ def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFra
                 flat = lists.flatten()
                 doc = np.repeat(np.arange(b - a), np.asarray(lists.value_lengths()))
                 gram, first, last, anchor, n_edge = (np.asarray(flat.field(i)).astype(np.int64) for i in range(5))
-                large = np.flatnonzero(n_edge > GROUP)
+                large = np.flatnonzero(n_edge > group)
                 if len(large):
                     doc, gram, first, last, anchor, n_edge = _divide(
-                        data, offsets, large, doc, gram, first, last, anchor, n_edge, window
+                        data, offsets, large, doc, gram, first, last, anchor, n_edge, window, stride
                     )
                 raw = data.tobytes()
                 begin = offsets[doc] + first
@@ -100,19 +100,19 @@ def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFra
     )
 
 
-def _divide(data, offsets, large, doc, gram, first, last, anchor, n_edge, window):
-    """Cuts the owned windows of large groups into runs of STRIDE by distance to the anchor, keyed by their core."""
+def _divide(data, offsets, large, doc, gram, first, last, anchor, n_edge, window, stride):
+    """Cuts the owned windows of large groups into runs of `stride` by distance to the anchor, keyed by their core."""
     sums = K.prefix_sums(K.byte_codes(data))
     rest = np.setdiff1d(np.arange(len(doc)), large)
     parts = [[x[rest] for x in (doc, gram, first, last, anchor, n_edge)]]
-    for d in range(0, window, STRIDE):  # distances d .. d + STRIDE - 1 from window start to anchor
-        lo = np.maximum(first[large], anchor[large] - d - STRIDE + 1)
+    for d in range(0, window, stride):  # distances d .. d + stride - 1 from window start to anchor
+        lo = np.maximum(first[large], anchor[large] - d - stride + 1)
         hi = np.minimum(last[large], anchor[large] - d)
         ok = np.flatnonzero(lo <= hi)
         own = large[ok]
         base = offsets[doc[own]] + anchor[own]
         # The bytes that all windows of the run share, whether the run is whole here or cut short.
-        core = K.spans(sums, base - d, base - d - STRIDE + 1 + window)
+        core = K.spans(sums, base - d, base - d - stride + 1 + window)
         key = K.mix(core + gram[own].view(np.uint64) + np.uint64(d)).view(np.int64)
         parts.append([doc[own], key, lo[ok], hi[ok], anchor[own], n_edge[own]])
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -223,7 +223,9 @@ def sort_collections(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "doc_id long, first int, last int")
 
 
-def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+def duplicate_windows(
+    docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, group: int = GROUP, stride: int = STRIDE
+) -> DataFrame:
     """(doc_id, first, last): runs of byte windows that also start anywhere else."""
     small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
@@ -231,18 +233,20 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     known = kinds.where("kind = 'factor'").select("doc_id", "first", "last")
     edges = kinds.where("kind <> 'factor'").join(edge_groups(kinds), "gram")
     found = sort_collections(
-        strings(texts, edges.select("doc_id", "gram", "first", "last", "anchor", "n_edge"), window), window
+        strings(texts, edges.select("doc_id", "gram", "first", "last", "anchor", "n_edge"), window, group, stride), window
     )
     return known.unionByName(found)
 
 
-def remove_duplicates(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_text: bool = True) -> DataFrame:
+def remove_duplicates(
+    docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_text: bool = True, group: int = GROUP, stride: int = STRIDE
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): bytes in no repeated window.
 
     Null texts count as empty. Repeated rows repeat each other's windows, so texts of a window or more go in every copy.
     A null doc_id keeps its text whole. kept is binary: a cut may fall inside a character.
     """
-    ranges = per_document(duplicate_windows(docs, window, k))
+    ranges = per_document(duplicate_windows(docs, window, k, group, stride))
     texts = docs.select("doc_id", "text").repartition("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

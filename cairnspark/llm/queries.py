@@ -24,7 +24,8 @@ def piece_model() -> str:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: fingerprint over four-word shingles and the component linked at 4 bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, near=4)
-    return found.select("doc_id", F.lower(F.hex(F.reverse("fp"))).alias("fingerprint"), "component_id")
+    digits = [F.hex(F.substring("fp", i, 1)) for i in range(8, 0, -1)]  # most significant byte first
+    return found.select("doc_id", F.lower(F.concat(*digits)).alias("fingerprint"), "component_id")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,7 +229,7 @@ def thresholds(x: np.ndarray, values: np.ndarray, parts, ones: np.ndarray, n: in
 # --- cells ------------------------------------------------------------------------------------------------------------
 
 
-def _rows(batch: pa.RecordBatch, parts, ones, n, heavy, budget, with_size):
+def _rows(batch: pa.RecordBatch, parts, ones, n, heavy, budget, cell):
     """Stored and probing rows (part, value, salt, role) of a batch; role 1 is stored, 2 probes, 3 both."""
     node = np.asarray(batch.column(0))
     x = _matrix(batch.column(1))
@@ -252,7 +252,7 @@ def _rows(batch: pa.RecordBatch, parts, ones, n, heavy, budget, with_size):
             keys = np.array(sorted(heavy[i]))
             sizes = np.array([heavy[i][k] for k in keys])
             j = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-            salts = np.where(keys[j] == value, -(-sizes[j] // CELL), 1)
+            salts = np.where(keys[j] == value, -(-sizes[j] // cell), 1)
         own = (salt_of[who] % salts.astype(np.uint64)).astype(np.int64)
         single = np.flatnonzero(salts == 1)
         take = [(single, np.zeros(len(single), np.int64), role[single])]
@@ -266,7 +266,6 @@ def _rows(batch: pa.RecordBatch, parts, ones, n, heavy, budget, with_size):
         for k, salt, r in take:
             if len(k):
                 yield i, value[k], salt, r, who[k], node
-    return
 
 
 def _forest(x: np.ndarray, sizes: np.ndarray, role: np.ndarray, near: int, far: int, ratio: float):
@@ -363,7 +362,7 @@ def _may_link(x: np.ndarray, at: np.ndarray, ends: np.ndarray, near: int, far: i
     return np.flatnonzero(worth)
 
 
-def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0, n_parts: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0, n_parts: int | None = None, cell: int = CELL) -> DataFrame:
     """Links (a, b) between the rows of nodes (node, fp, size): enough of them to connect what is linked.
 
     Rows link if their first words differ in at most `near` bits and all their words in at most `far`; with
@@ -383,7 +382,7 @@ def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v.ravel())], ["part", "value"])
 
     # At most n / share values of a part can hold `share` rows each, so the list below has a fixed bound.
-    share = max(CELL // 4, n // 1000)
+    share = max(cell // 4, n // 1000)
     sizes = nodes.select("fp").mapInArrow(values, "part int, value long").groupBy("part", "value").count()
     heavy: dict[int, dict[int, int]] = {}
     for part, value, count in sizes.where(F.col("count") > share).collect():
@@ -392,7 +391,7 @@ def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0
     def spread(batches):
         for batch in batches:
             for piece in (batch.slice(i, 20000) for i in range(0, len(batch), 20000)):
-                for i, value, salt, role, who, node in _rows(piece, parts, ones, n, heavy, budget, False):
+                for i, value, salt, role, who, node in _rows(piece, parts, ones, n, heavy, budget, cell):
                     take = pa.array(who)
                     yield pa.RecordBatch.from_arrays(
                         [
