@@ -13,12 +13,14 @@ overrides:  case_id, evidence_id, hyp_id, rating (optional)
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnspark.functions.domain import GRADE_PROBABILITY, lookup, parse_rating
+from cairnspark.functions.reuse import settled
 
 
 @dataclass(frozen=True)
@@ -261,20 +263,47 @@ def parse_override(text: str) -> tuple[str, str, str]:
     return evidence, hypothesis, rating
 
 
-def assess(evidence, candidates, profile, removed=None, overrides=None, config: Config = DEFAULT):
-    """All stages: a dictionary of DataFrames."""
-    # What several later stages read is kept (memory, then disk) instead of being planned and computed again.
-    evidence, candidates = evidence.persist(), candidates.persist()
-    hyps = hypotheses(evidence, candidates, config).persist()
-    actor = actor_cells(evidence, candidates, profile, removed).persist()
-    matrix = cells(evidence, hyps, actor, overrides).persist()
-    weight = weights(evidence, matrix, config).persist()
-    scored = scores(matrix, weight, hyps, config).persist()
-    signs = indicators(evidence, actor, candidates)
-    return {
-        "hypotheses": hyps, "actor_cells": actor, "cells": matrix, "weights": weight, "scores": scored, "indicators": signs,
-        "assessments": assessments(scored, weight, signs, config),
-    }
+class Assessment:
+    """All stages of a set of cases, each computed when first asked for and then kept (see settled)."""
+
+    def __init__(self, evidence, candidates, profile, removed=None, overrides=None, config: Config = DEFAULT):
+        self.evidence, self.candidates = settled(evidence), settled(candidates)
+        self._profile, self._removed, self._overrides, self.config = profile, removed, overrides, config
+
+    @cached_property
+    def hypotheses(self) -> DataFrame:
+        return settled(hypotheses(self.evidence, self.candidates, self.config))
+
+    @cached_property
+    def actor_cells(self) -> DataFrame:
+        return settled(actor_cells(self.evidence, self.candidates, self._profile, self._removed))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return settled(cells(self.evidence, self.hypotheses, self.actor_cells, self._overrides))
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return settled(weights(self.evidence, self.cells, self.config))
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return settled(scores(self.cells, self.weights, self.hypotheses, self.config))
+
+    @cached_property
+    def indicators(self) -> DataFrame:
+        return indicators(self.evidence, self.actor_cells, self.candidates)
+
+    @cached_property
+    def assessments(self) -> DataFrame:
+        return assessments(self.scores, self.weights, self.indicators, self.config)
+
+    def __getitem__(self, stage: str) -> DataFrame:
+        return getattr(self, stage)
+
+
+def assess(evidence, candidates, profile, removed=None, overrides=None, config: Config = DEFAULT) -> Assessment:
+    return Assessment(evidence, candidates, profile, removed, overrides, config)
 
 
 def matrix_text(matrix: DataFrame, scored: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnspark.functions.domain import GRADE_PROBABILITY, grade_of, idf, lookup
+from cairnspark.functions.reuse import settled
 from cairnspark.operators import ach
 from cairnspark.operators.attribution import evidence_from_items, planted_markers
 from cairnspark.operators.incidents import framing, incident_items, mimicry_items, removed_items
@@ -175,11 +176,11 @@ def summarise(outcome: DataFrame, *by: str) -> DataFrame:
 def worlds(uses: DataFrame, incidents: DataFrame, actors: DataFrame, kb: DataFrame, profile: DataFrame, settings=None) -> dict[str, DataFrame]:
     """Everything that the methods need: cases, items, markers, deltas, usage."""
     frames = framing(actors)
-    case = cases(incidents, frames, settings)
+    case = settled(cases(incidents, frames, settings))
     mimic = mimicry_items(uses, incidents, frames, kb.select("item_id", "usage"))
-    items = case_items(case, incident_items(uses, incidents), mimic)
-    delta = deltas(case, removed_items(uses, incidents), profile)
-    usage = case_usage(case, items, kb, delta)
+    items = settled(case_items(case, incident_items(uses, incidents), mimic))
+    delta = settled(deltas(case, removed_items(uses, incidents), profile))
+    usage = settled(case_usage(case, items, kb, delta))
     return {"cases": case, "items": items, "deltas": delta, "usage": usage, "markers": planted_markers(case.select("case_id", "target"))}
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnspark.functions.reuse import settled
 from cairnspark.operators import ach, attribution, calibration, clustering, evaluation, extraction, incidents, intervals, knowledge, metrics, sinks
 from cairnspark.plans.oracles import sql
 from cairnspark.sources import bridge
@@ -46,22 +47,22 @@ def _facets(profile: DataFrame) -> DataFrame:
 
 def static_world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """One case per group, its first incident, with markers that point at the next group; shortlist of eight."""
-    uses = bridge.uses(spark, sf_dir).persist()
-    kb, profile, actors = knowledge.kb(uses).persist(), knowledge.profile_items(uses).persist(), knowledge.groups(uses).persist()
-    inc = incidents.report_incidents(uses, max_per_group=1).persist()
-    items = incidents.incident_items(uses, inc).select(F.col("incident_id").alias("case_id"), "item_id").persist()
+    uses = settled(bridge.uses(spark, sf_dir))
+    kb, profile, actors = settled(knowledge.kb(uses)), knowledge.profile_items(uses), settled(knowledge.groups(uses))
+    inc = settled(incidents.report_incidents(uses, max_per_group=1))
+    items = settled(incidents.incident_items(uses, inc).select(F.col("incident_id").alias("case_id"), "item_id"))
     frames = incidents.framing(actors)
     markers = attribution.planted_markers(inc.join(frames, "grp").select(F.col("incident_id").alias("case_id"), F.col("framed").alias("target")))
-    sims = attribution.similarity(items, profile, kb, markers).persist()
+    sims = settled(attribution.similarity(items, profile, kb, markers))
     cand = attribution.shortlist(sims, actors, 8, markers)
     evidence = attribution.evidence_from_items(items, kb).unionByName(markers)
     return {"uses": uses, "kb": kb, "profile": profile, "actors": actors, "incidents": inc, "items": items, "frames": frames,
             "markers": markers, "sims": sims, "candidates": cand, "evidence": evidence}
 
 
-def static_ach(spark, sf_dir, config=ach.DEFAULT) -> dict[str, DataFrame]:
+def static_ach(spark, sf_dir, config=ach.DEFAULT) -> ach.Assessment:
     w = static_world(spark, sf_dir)
-    return w | ach.assess(w["evidence"], w["candidates"], _facets(w["profile"]), config=config)
+    return ach.assess(w["evidence"], w["candidates"], _facets(w["profile"]), config=config)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +184,7 @@ def ach_ranking(spark, sf_dir):
     return s.select("case_id", "hyp_id", *[F.round(c, 9).alias(c) for c in ("inconsistency", "support", "spoof_ratio")], "rank")
 
 
-@query("SELECT case_id, leading, leading_kind, round(gap, 9) AS gap, n_diag, confidence, flagged FROM graded")
+@query('SELECT case_id, "leading", leading_kind, round(gap, 9) AS gap, n_diag, confidence, flagged FROM graded')
 def ach_confidence(spark, sf_dir):
     a = static_ach(spark, sf_dir)["assessments"]
     return a.select("case_id", "leading", "leading_kind", F.round("gap", 9).alias("gap"), "n_diag", "confidence", "flagged")
@@ -228,6 +229,7 @@ def ach_ablations(spark, sf_dir):
     """How leaders and grades come out with one switch off at a time."""
     parts = []
     w = static_world(spark, sf_dir)
+    w["evidence"], w["candidates"] = settled(w["evidence"]), settled(w["candidates"])
     for name, config in ABLATIONS.items():
         a = ach.assess(w["evidence"], w["candidates"], _facets(w["profile"]), config=config)["assessments"]
         parts.append(a.groupBy("leading_kind", "confidence").agg(F.count(F.lit(1)).alias("n")).withColumn("variant", F.lit(name)))
@@ -254,8 +256,8 @@ def shortlist(spark, sf_dir):
     return static_world(spark, sf_dir)["candidates"]
 
 
-@query("""SELECT case_id, leading, round(p, 9) AS probability, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.55 THEN 'moderate' ELSE 'low' END AS confidence FROM (
-SELECT r.case_id, max(CASE WHEN rank = 1 THEN actor_id END) AS leading, 1 / (sum(exp((score - m) / 0.05)) + ((SELECT count(*) FROM actors) - count(*)) * exp(-max(m) / 0.05)) AS p
+@query("""SELECT case_id, "leading", round(p, 9) AS probability, CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.55 THEN 'moderate' ELSE 'low' END AS confidence FROM (
+SELECT r.case_id, max(CASE WHEN rank = 1 THEN actor_id END) AS "leading", 1 / (sum(exp((score - m) / 0.05)) + ((SELECT count(*) FROM actors) - count(*)) * exp(-max(m) / 0.05)) AS p
 FROM ranks r JOIN (SELECT case_id, max(score) AS m FROM ranks GROUP BY 1) t ON t.case_id = r.case_id GROUP BY 1)""")
 def sim_attribution(spark, sf_dir):
     w = static_world(spark, sf_dir)
@@ -266,11 +268,11 @@ def sim_attribution(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir, methods=("similarity", "coverage", "ach"), settings=None, max_per_group=1):
-    uses = bridge.uses(spark, sf_dir).persist()
-    kb, profile, actors = knowledge.kb(uses).persist(), knowledge.profile_items(uses).persist(), knowledge.groups(uses).persist()
-    inc = incidents.report_incidents(uses, max_per_group=max_per_group).persist()
-    world = {k: v.persist() for k, v in evaluation.worlds(uses, inc, actors, kb, profile, settings).items()}
-    scores = evaluation.world_scores(world["cases"], world["usage"], world["deltas"], profile, kb, world["markers"]).persist()
+    uses = settled(bridge.uses(spark, sf_dir))
+    kb, profile, actors = settled(knowledge.kb(uses)), knowledge.profile_items(uses), settled(knowledge.groups(uses))
+    inc = settled(incidents.report_incidents(uses, max_per_group=max_per_group))
+    world = evaluation.worlds(uses, inc, actors, kb, profile, settings)
+    scores = settled(evaluation.world_scores(world["cases"], world["usage"], world["deltas"], profile, kb, world["markers"]))
     parts = []
     for m in methods:
         if m == "ach":
@@ -297,9 +299,9 @@ def holdout_usage(spark, sf_dir):
 @query()
 def world_similarity(spark, sf_dir):
     """Cosine in hold-out worlds by corrected norms (tests/test_evaluation.py has the brute-force version)."""
-    u = bridge.uses(spark, sf_dir)
-    kb, profile, actors = knowledge.kb(u), knowledge.profile_items(u), knowledge.groups(u)
-    w = evaluation.worlds(u, incidents.report_incidents(u, max_per_group=1), actors, kb, profile, ["closed", "open"])
+    u = settled(bridge.uses(spark, sf_dir))
+    kb, profile, actors = settled(knowledge.kb(u)), knowledge.profile_items(u), settled(knowledge.groups(u))
+    w = evaluation.worlds(u, settled(incidents.report_incidents(u, max_per_group=1)), actors, kb, profile, ["closed", "open"])
     s = evaluation.world_scores(w["cases"], w["usage"], w["deltas"], profile, kb, w["markers"])
     return s.select("case_id", "actor_id", *r9("cosine", "coverage", "score"))
 
@@ -470,8 +472,8 @@ def knn_edges(spark, sf_dir):
 
 
 def _components(spark, sf_dir):
-    f = clustering.event_weights(bridge.baskets(spark, sf_dir))
-    pairs = clustering.jaccard_pairs(f, 0.6)
+    f = settled(clustering.event_weights(bridge.baskets(spark, sf_dir)))
+    pairs = settled(clustering.jaccard_pairs(f, 0.6))
     return clustering.components(f.select("id").distinct(), pairs), f, pairs
 
 

@@ -74,7 +74,7 @@ BLOCKS: dict[str, str] = {
         FROM sums JOIN hyps USING (case_id, hyp_id)""",
     "signs": """SELECT m.case_id, count(DISTINCT m.target) > 1 AS many, count(DISTINCT CASE WHEN a.rating < 0 AND NOT a.spoofable THEN a.actor_id END) AS contradicted
         FROM (SELECT DISTINCT case_id, target FROM marks) m LEFT JOIN acells a ON a.case_id = m.case_id AND a.actor_id = m.target GROUP BY 1""",
-    "assessed": """SELECT l.case_id, l.hyp_id AS leading, l.kind AS leading_kind, l.actor_id AS leading_actor, t.total, t.n_diag,
+    "assessed": """SELECT l.case_id, l.hyp_id AS "leading", l.kind AS leading_kind, l.actor_id AS leading_actor, t.total, t.n_diag,
         round((l.inconsistency - coalesce(s.inconsistency, l.inconsistency)) / t.total, 9) AS gap, l.spoof_ratio AS ratio1,
         coalesce(g.many, FALSE) OR coalesce(g.contradicted, 0) > 0 AS flagged,
         coalesce(l.kind = 'actor' AND round((l.inconsistency - f.inconsistency) / t.total, 9) < 0.35, FALSE) AS close_ff
