@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from cairnspark.llm.shared import small_batches
+
 MARK = "▁".encode()
 
 
@@ -204,6 +206,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """
     import hashlib
 
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.llm import kernels as K
-from cairnspark.llm.shared import connected_components, written
+from cairnspark.llm.shared import connected_components, small_batches, written
 
 #: Rows of one cell that a task compares; larger cells are salted.
 CELL = 4096
@@ -107,6 +107,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, n_words: int = 1) -> DataFra
                     ["doc_id", "fp", "size"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, fp binary, size long"
     )
