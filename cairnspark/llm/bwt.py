@@ -229,9 +229,8 @@ def duplicate_windows(
     """(doc_id, first, last): runs of byte windows that also start anywhere else."""
     small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
-    kinds = written(classify(written(index(docs, window, k), "anchors")), "repeats")
-    known = kinds.where("kind = 'factor'").select("doc_id", "first", "last")
-    edges = kinds.where("kind <> 'factor'").join(edge_groups(kinds), "gram")
+    known, open_ = classify(written(index(docs, window, k), "anchors"))
+    edges = open_.join(edge_groups(open_), "gram")
     found = sort_collections(
         strings(texts, edges.select("doc_id", "gram", "first", "last", "anchor", "n_edge"), window, group, stride), window
     )

@@ -9,50 +9,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.llm.shared import written
+
 #: doc_id, first..last: windows owned, as offsets in the text; anchor: the anchor's offset; gram and whole: fingerprints
 #: of the anchor and of all content the owned windows cover (with the anchor's place in it).
 OCCURRENCE = "gram long, whole long, doc_id long, first int, last int, anchor int"
 
 
-def classify(occurrences: DataFrame) -> DataFrame:
-    """Occurrences whose anchor stands elsewhere too, with `kind`:
+def classify(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(factors, open_) of the occurrences whose anchor stands elsewhere too.
 
-    - "factor": the same content stands elsewhere over all owned windows, so each of them does;
-    - "edge": this content stands here only, though the anchor stands elsewhere: single windows may still repeat;
-    - "model": one representative of a factor whose anchor also has edges, for these to be compared with.
-      It is reported besides the "factor" row.
+    - factors: the same content stands elsewhere over all owned windows, so each of them does;
+    - open_, with `edge`: one row per content of anchors that have several contents. Edges (true) stand here only, but
+      single windows may still repeat; the others are one representative of a factor, for edges to be compared with.
 
-    Anchors that stand once own windows that stand once; they drop out. Hot anchors meet only partial aggregates and
-    equi-joins, which adaptive execution splits.
+    Anchors that stand once own windows that stand once; they drop out. Hot anchors meet partial aggregates, one
+    equi-join between written tables, which adaptive execution can split, and an anti-join on single occurrences.
     """
-    live = (
+    live = written(
         occurrences.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
         .where("n > 1")
-        .select("gram", (F.col("lo") == F.col("hi")).alias("uniform"))
-    )
-    hits = occurrences.join(live, "gram")
-    factors = hits.where("uniform").drop("uniform").withColumn("kind", F.lit("factor"))
-    # Dealt by content as well: what follows would else keep the join's partitions, all of a hot anchor in one.
-    mixed = hits.where("not uniform").drop("uniform").repartition("gram", "whole")
-    cells = mixed.groupBy("gram", "whole").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first")).alias("model")
+        .select("gram", (F.col("lo") == F.col("hi")).alias("uniform")),
+        "live-anchors",
     )
-    told = mixed.join(cells, ["gram", "whole"])
-    is_model = (F.col("model.doc_id") == F.col("doc_id")) & (F.col("model.first") == F.col("first"))
-    kinds = F.when(F.col("n") == 1, F.array(F.lit("edge"))).otherwise(
-        F.when(is_model, F.array(F.lit("factor"), F.lit("model"))).otherwise(F.array(F.lit("factor")))
+    hits = written(occurrences.join(live, "gram"), "live-occurrences")
+    cells = (
+        hits.where("not uniform")
+        .groupBy("gram", "whole")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last", "anchor")).alias("one"))
     )
-    rest = told.withColumn("kind", F.explode(kinds)).drop("n", "model")
-    return factors.unionByName(rest.select(factors.columns))
+    open_ = written(cells.select("gram", "whole", "one.*", (F.col("n") == 1).alias("edge")), "open-passages")
+    key = ["doc_id", "first", "gram", "whole"]
+    alone = open_.where("edge").select(*key)
+    return hits.join(alone, key, "left_anti").select("doc_id", "first", "last"), open_
 
 
-def edge_groups(kinds: DataFrame) -> DataFrame:
-    """(gram, n_edge): how many edges and models each anchor with edges has."""
-    open_ = kinds.where("kind <> 'factor'")
+def edge_groups(open_: DataFrame) -> DataFrame:
+    """(gram, n_edge): how many edges and representatives each anchor with edges has."""
     return (
         open_.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n_edge"), F.count_if(F.col("kind") == "edge").alias("edges"))
+        .agg(F.count(F.lit(1)).alias("n_edge"), F.count_if("edge").alias("edges"))
         .where("edges > 0 and n_edge > 1")
         .select("gram", "n_edge")
     )

@@ -145,9 +145,8 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     """(doc_id, first, last): runs of word windows whose words also start anywhere else."""
     small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
-    kinds = written(classify(written(index(docs, window, k), "anchors")), "factors")
-    factors = kinds.where("kind = 'factor'").select("doc_id", "first", "last")
-    edges = kinds.where("kind <> 'factor'").join(edge_groups(kinds), "gram")
+    factors, open_ = classify(written(index(docs, window, k), "anchors"))
+    edges = open_.join(edge_groups(open_), "gram")
     edges = edges.withColumn("pieces", F.ceil(F.col("n_edge") / BLOCK).cast("long"))
     ends = parse_boundaries(boundary_windows(texts, edges.select("doc_id", "gram", "first", "last", "pieces"), window))
     return factors.unionByName(ends)
