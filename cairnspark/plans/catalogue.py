@@ -462,22 +462,22 @@ def diamond_edges(spark, sf_dir):
 
 @query("SELECT a, b, sim FROM jac5")
 def weighted_jaccard(spark, sf_dir):
-    return clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.5)
+    return clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.35)
 
 
 @query("""SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b DESC) AS k FROM
 (SELECT a, b, sim FROM jac5 UNION ALL SELECT b, a, sim FROM jac5)) WHERE k <= 5""")
 def knn_edges(spark, sf_dir):
-    return clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.5))
+    return clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.35))
 
 
 def _components(spark, sf_dir):
     f = settled(clustering.event_weights(bridge.baskets(spark, sf_dir)))
-    pairs = settled(clustering.jaccard_pairs(f, 0.6))
+    pairs = settled(clustering.jaccard_pairs(f, 0.4))
     return clustering.components(f.select("id").distinct(), pairs), f, pairs
 
 
-_REACH = """reach(id, c) AS (SELECT id, id FROM tot UNION SELECT e.x, r.c FROM reach r JOIN (SELECT a AS x, b AS y FROM jac WHERE sim >= 0.6 UNION ALL SELECT b, a FROM jac WHERE sim >= 0.6) e ON e.y = r.id WHERE r.c < e.x)"""
+_REACH = """reach(id, c) AS (SELECT id, id FROM tot UNION SELECT e.x, r.c FROM reach r JOIN (SELECT a AS x, b AS y FROM jac WHERE sim >= 0.4 UNION ALL SELECT b, a FROM jac WHERE sim >= 0.4) e ON e.y = r.id WHERE r.c < e.x)"""
 
 
 @query("""SELECT id, min(c) AS component FROM (WITH RECURSIVE """ + _REACH + """ SELECT * FROM reach) GROUP BY 1""")
@@ -493,7 +493,7 @@ def campaigns(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    return clustering.communities(clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.5)))
+    return clustering.communities(clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.35)))
 
 
 # --- extraction and sinks ------------------------------------------------------------------------------------------------------

@@ -89,17 +89,17 @@ BLOCKS: dict[str, str] = {
         l.quality = 1 AS correct, l.toxic = 0 AS correct2 FROM labels l JOIN documents d USING (doc_id)""",
     "parts": """SELECT vec_id AS id, label AS truth, (embedding[1] > 0)::INT * 4 + (embedding[2] > 0)::INT * 2 + (embedding[3] > 0)::INT AS predicted FROM embeddings""",
     "ctab": "SELECT truth, predicted, count(*) AS n FROM parts GROUP BY 1, 2",
-    "bask": """SELECT DISTINCT 'E' || l_orderkey AS event_id, f.facet, f.value FROM (SELECT l_orderkey, p_type, p_size, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey
-          WHERE l_orderkey % 50 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)) x,
-        LATERAL (SELECT 'capability' AS facet, p_type || '-' || (p_size // 10) AS value UNION ALL SELECT 'infrastructure', p_brand) f
-        UNION SELECT DISTINCT 'E' || o_orderkey, 'victim', c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 50 = 0""",
+    "bask": """SELECT DISTINCT 'E' || l_orderkey AS event_id, f.facet, f.value FROM lineitem,
+        LATERAL (SELECT 'capability' AS facet, 'P' || l_partkey AS value UNION ALL SELECT 'infrastructure', 'S' || l_suppkey) f
+        WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+        UNION ALL SELECT 'E' || o_orderkey, 'victim', 'C' || o_custkey FROM orders""",
     "fw": """SELECT event_id AS id, facet || ':' || value AS feature, ln((1.0 + n) / (1.0 + df)) * (CASE WHEN facet = 'infrastructure' THEN 3 ELSE 1 END) AS w
         FROM bask JOIN (SELECT facet, value, count(*) AS df FROM bask GROUP BY 1, 2) USING (facet, value), (SELECT count(DISTINCT event_id) AS n FROM bask) WHERE df < n""",
     "tot": "SELECT id, sum(w) AS total FROM fw GROUP BY 1",
     "jac": """SELECT a, b, round(low / (x.total + y.total - low), 9) AS sim FROM
         (SELECT f.id AS a, g.id AS b, sum(least(f.w, g.w)) AS low FROM fw f JOIN fw g ON f.feature = g.feature AND f.id < g.id GROUP BY 1, 2)
         JOIN tot x ON x.id = a JOIN tot y ON y.id = b""",
-    "jac5": "SELECT * FROM jac WHERE sim >= 0.5",
+    "jac5": "SELECT * FROM jac WHERE sim >= 0.35",
     "gold": "SELECT doc_id, unnest(regexp_extract_all(lang || ' ' || source, '[a-z]+[0-9]*')) AS label FROM documents",
     "pred": "SELECT doc_id, unnest([CASE WHEN n_chars % 5 = 0 THEN 'en' ELSE lang END, 'src' || (doc_id % 20 + (n_chars % 7 = 0)::INT)]) AS label FROM documents",
     "lcount": """SELECT label, count(*) FILTER (g.label IS NOT NULL AND p.label IS NOT NULL) AS tp, count(*) FILTER (g.label IS NULL) AS fp, count(*) FILTER (p.label IS NULL) AS fn

@@ -65,18 +65,16 @@ def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def baskets(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
-    """(event_id, facet, value): orders as events; capabilities are part types with size, victims market segments,
-    infrastructure brands."""
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").where(F.col("o_orderkey") % 50 == 0)
-    lp = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    event = F.concat(F.lit("E"), F.col("l_orderkey").cast("string")).alias("event_id")
-    cap = lp.select(event, F.lit("capability").alias("facet"), F.concat_ws("-", "p_type", F.floor(F.col("p_size") / 10).cast("string")).alias("value"))
-    inf = lp.select(event, F.lit("infrastructure").alias("facet"), F.col("p_brand").alias("value"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    vic = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("event_id"), F.lit("victim").alias("facet"), F.col("c_mktsegment").alias("value")
+def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, facet, value): every order as an event; its parts are capabilities, its suppliers infrastructure, its
+    customer the victim."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    l = l.join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    named = lambda head, key: F.concat(F.lit(head), F.col(key).cast("string"))
+    facets = F.array(
+        F.struct(F.lit("capability").alias("facet"), named("P", "l_partkey").alias("value")),
+        F.struct(F.lit("infrastructure").alias("facet"), named("S", "l_suppkey").alias("value")),
     )
-    return cap.union(inf).union(vic).distinct()
+    lines = l.select(named("E", "l_orderkey").alias("event_id"), F.inline(facets)).distinct()
+    return lines.union(o.select(named("E", "o_orderkey"), F.lit("victim"), named("C", "o_custkey")))
