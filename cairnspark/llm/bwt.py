@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cairnspark.llm import kernels as K
 from cairnspark.llm.passages import OCCURRENCE, classify, edge_groups, per_document
 from cairnspark.llm.rlz import covered
-from cairnspark.llm.shared import small_batches, table, written
+from cairnspark.llm.shared import small_batches, table
 
 WINDOW = 400
 ANCHOR = 16
@@ -229,7 +229,7 @@ def duplicate_windows(
     """(doc_id, first, last): runs of byte windows that also start anywhere else."""
     small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
-    known, open_ = classify(written(index(docs, window, k), "anchors"))
+    known, open_ = classify(index(docs, window, k))
     edges = open_.join(edge_groups(open_), "gram")
     found = sort_collections(
         strings(texts, edges.select("doc_id", "gram", "first", "last", "anchor", "n_edge"), window, group, stride), window

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm import kernels as K
 from cairnspark.llm.passages import OCCURRENCE, classify, edge_groups, per_document
-from cairnspark.llm.shared import small_batches, table, written
+from cairnspark.llm.shared import small_batches, table
 
 WINDOW = 35
 ANCHOR = 8
@@ -145,7 +145,7 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     """(doc_id, first, last): runs of word windows whose words also start anywhere else."""
     small_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
-    factors, open_ = classify(written(index(docs, window, k), "anchors"))
+    factors, open_ = classify(index(docs, window, k))
     edges = open_.join(edge_groups(open_), "gram")
     edges = edges.withColumn("pieces", F.ceil(F.col("n_edge") / BLOCK).cast("long"))
     ends = parse_boundaries(boundary_windows(texts, edges.select("doc_id", "gram", "first", "last", "pieces"), window))
