@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.llm import jaccard
 from cairnspark.llm import kernels as K
 from cairnspark.llm.shared import connected_components, small_batches, written
 
@@ -440,22 +441,11 @@ def near_duplicates(
     )
 
 
-def far_for(similarity: float, n_bits: int) -> int:
-    """Bits that differ, on average, between texts whose shingle sets have this Jaccard similarity."""
-    return math.floor(n_bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, n_words: int = 4) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Documents without those whose near-duplicate group has a smaller doc_id (one of each group stays).
 
-    Five-word shingles; similarity is the Jaccard similarity of shingle multisets, as 256 SimHash bits estimate it.
-    Parts of 14 bits are probed so that pairs at that similarity meet in some part with high probability. Rows with a
-    null doc_id or without words are nobody's copies and stay.
+    Groups are connected by pairs whose sets of five-word shingles have this Jaccard similarity or more, found and
+    verified without loss. Rows with a null doc_id or without words are nobody's copies and stay.
     """
-    far = far_for(similarity, 64 * n_words)
-    found = near_duplicates(
-        docs, shingle, n_words, near=64, far=far, budget=64 * n_words // 14, ratio=similarity, n_parts=64 * n_words // 14
-    )
-    zero = F.lit(bytes(8 * n_words))
-    drop = found.where((F.col("component_id") != F.col("doc_id")) & (F.col("fp") != zero)).select("doc_id").distinct()
+    drop = jaccard.near_copies(docs, similarity, shingle).where("doc_id <> first").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairnspark.llm import ann, bwt, chat, decontaminate, kernels, language, lines, pii, queries, rlz, sentencepiece_codec, shared, simhash
+from cairnspark.llm import ann, bwt, chat, decontaminate, jaccard, kernels, language, lines, pii, queries, rlz, sentencepiece_codec, shared, simhash
 
 SF = "/root/testdata/sf0.001"
 H = lambda b: hashlib.sha256(b).hexdigest()
@@ -186,6 +186,61 @@ def test_near_copies_go_and_clean_stay(spark):
     assert kept == set(range(30))
 
 
+def brute_sets(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_copies_at_the_limit(spark):
+    """Pairs of 0.80 (just), 0.85 and 0.78: all of the former two are found, none of the last."""
+    rng = np.random.default_rng(11)
+    rows = []
+
+    def add(i, n, changed):
+        base = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n + 4)]
+        rows.append((i, " ".join(base)))
+        # The last words differ, so `changed` shingles of each set do.
+        rows.append((i + 1, " ".join(base[: n + 4 - changed] + [f"new{i}x{j}" for j in range(changed)])))
+
+    for p in range(60):  # of n shingles a set, `changed` differ: J = (n - changed) / (n + changed)
+        add(1000 + 2 * p, 360, 40)  # 0.80 exactly
+        add(2000 + 2 * p, 370, 30)  # 0.85
+        add(3000 + 2 * p, 356, 44)  # 0.78
+    sets = {i: brute_sets(t) for i, t in rows}
+    far = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (1000, 2000, 3000)]
+    assert far[0] == 0.8 and far[1] == 0.85 and 0.775 < far[2] < 0.785
+    kept = {r.doc_id for r in simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or i >= 3000}
+
+
+@pytest.mark.parametrize("cell", [4096, 4])
+def test_near_copies_brute_force(spark, monkeypatch, cell):
+    """Chains, hubs and neighbours just below the limit, with large cells dealt over blocks."""
+    monkeypatch.setattr(jaccard, "CELL", cell)
+    monkeypatch.setattr(jaccard, "SMALL", cell // 2)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    docs = []
+    for _ in range(6):
+        hub = [word() for _ in range(int(rng.integers(40, 90)))]
+        docs.append(hub)
+        for _ in range(14):
+            w = list(docs[-1] if rng.random() < 0.3 else hub)
+            for at in rng.integers(0, len(w), rng.integers(0, 3)):
+                w[at] = word()
+            docs.append(w)
+    docs += [["one"], ["ONE"], ["one", "two"], []]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    sets, root = {i: brute_sets(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i in sets:
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if r == old else r for k, r in root.items()}
+    kept = {r.doc_id for r in simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, r in root.items() if i == r} and 10 < len(kept) < 80
+
+
 # --- op3 -----------------------------------------------------------------------------------------------------------------
 
 PATTERNS = {
