@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session has none (one machine, tests) a temporary folder is set and used.
+    Only on one machine (a local master, as in tests) a temporary folder is set where the session has none; a cluster's
+    executors could not read it, so there the setting is asked for.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
