@@ -11,7 +11,10 @@ only has to compare suffixes of its own column. Columns are read from one extern
 symbols and common prefixes are appended to another; memory holds a single column. A last sequential pass over that
 file reports each window whose common prefix with a neighbour reaches 400 bytes.
 
-Occurrences whose whole surroundings stand elsewhere need no sorting: all windows they own repeat.
+Equal strings are told by their fingerprints before any of that: all windows they own repeat, and one of them is sorted
+for all. Collections that are still too large are divided into ever shorter runs of windows, keyed by the bytes that
+all windows of a run share, and equal runs are again told first; single windows end the division, so that no
+collection, however many documents share a passage, outgrows a task.
 """
 
 from __future__ import annotations
@@ -26,22 +29,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.llm import kernels as K
-from cairnspark.llm.passages import OCCURRENCE, classify, edge_groups, per_document
+from cairnspark.llm.passages import OCCURRENCE, classify, edge_groups, keyed, per_row
 from cairnspark.llm.rlz import covered
 from cairnspark.llm.shared import small_batches, table
 
 WINDOW = 400
 ANCHOR = 16
-#: Strings of an anchor that one collection takes; beyond it they are divided into runs of STRIDE windows, by the
-#: bytes that all windows of such a run share.
+#: Strings of an anchor that one collection takes; beyond it they are divided into runs of windows of these lengths.
 GROUP = 8192
-STRIDE = 32
+STRIDES = (32, 1)
 #: Strings sorted at once in a task (whole anchors).
 COLLECTION = 8192
 
 
 def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """The anchors of every document, in bytes. Rows with a null doc_id or text have none."""
+    """The anchors of every document, in bytes. Rows with a null text have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,33 +55,36 @@ def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
                         pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(r + a)),
                         *(pa.array((x - offsets[r]).astype(np.int32)) for x in (first, last, anchor)),
                     ],
-                    ["gram", "whole", "doc_id", "first", "last", "anchor"],
+                    ["gram", "whole", "row", "first", "last", "anchor"],
                 )
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, OCCURRENCE)
+    return docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, OCCURRENCE)
 
 
-def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW, group: int = GROUP, stride: int = STRIDE) -> DataFrame:
-    """(grp, doc_id, first, last, lead, bytes): the strings to be sorted.
+def _with_edges(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(row, text, edges) of the texts that have edges (gram, row, first, last, anchor)."""
+    wanted = edges.groupBy("row").agg(F.collect_set(F.struct("gram", "first", "last", "anchor")).alias("edges"))
+    return texts.join(wanted, "row").select("row", "text", "edges", "doc_id")
+
+
+def _edge_slices(batch: pa.RecordBatch):
+    """Per slice of texts: first row, bytes, offsets, and for each edge its text's place in the slice and its columns."""
+    for a, b, data, offsets in K.slices(batch.column(1)):
+        lists = batch.column(2).slice(a, b - a)
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(b - a), np.asarray(lists.value_lengths()))
+        yield a, data, offsets, doc, *(np.asarray(flat.field(i)).astype(np.int64) for i in range(4))
+
+
+def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(grp, row, first, last, lead, bytes): the strings to be sorted.
 
     first..last are the windows owned, lead is the distance from first to the anchor, bytes what the windows cover.
     """
-    wanted = edges.groupBy("doc_id").agg(
-        F.collect_list(F.struct("gram", "first", "last", "anchor", "n_edge")).alias("edges")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1)):
-                lists = batch.column(2).slice(a, b - a)
-                flat = lists.flatten()
-                doc = np.repeat(np.arange(b - a), np.asarray(lists.value_lengths()))
-                gram, first, last, anchor, n_edge = (np.asarray(flat.field(i)).astype(np.int64) for i in range(5))
-                large = np.flatnonzero(n_edge > group)
-                if len(large):
-                    doc, gram, first, last, anchor, n_edge = _divide(
-                        data, offsets, large, doc, gram, first, last, anchor, n_edge, window, stride
-                    )
+            for a, data, offsets, doc, gram, first, last, anchor in _edge_slices(batch):
                 raw = data.tobytes()
                 begin = offsets[doc] + first
                 end = offsets[doc] + last + window
@@ -92,30 +97,38 @@ def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW, group: int
                             *(pa.array(v[q].astype(np.int32)) for v in (first, last, anchor - first)),
                             pa.array(pieces, pa.binary()),
                         ],
-                        ["grp", "doc_id", "first", "last", "lead", "bytes"],
+                        ["grp", "row", "first", "last", "lead", "bytes"],
                     )
 
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "edges").mapInArrow(
-        run, "grp long, doc_id long, first int, last int, lead int, bytes binary"
-    )
+    return _with_edges(texts, edges).mapInArrow(run, "grp long, row long, first int, last int, lead int, bytes binary")
 
 
-def _divide(data, offsets, large, doc, gram, first, last, anchor, n_edge, window, stride):
-    """Cuts the owned windows of large groups into runs of `stride` by distance to the anchor, keyed by their core."""
-    sums = K.prefix_sums(K.byte_codes(data))
-    rest = np.setdiff1d(np.arange(len(doc)), large)
-    parts = [[x[rest] for x in (doc, gram, first, last, anchor, n_edge)]]
-    for d in range(0, window, stride):  # distances d .. d + stride - 1 from window start to anchor
-        lo = np.maximum(first[large], anchor[large] - d - stride + 1)
-        hi = np.minimum(last[large], anchor[large] - d)
-        ok = np.flatnonzero(lo <= hi)
-        own = large[ok]
-        base = offsets[doc[own]] + anchor[own]
-        # The bytes that all windows of the run share, whether the run is whole here or cut short.
-        core = K.spans(sums, base - d, base - d - stride + 1 + window)
-        key = K.mix(core + gram[own].view(np.uint64) + np.uint64(d)).view(np.int64)
-        parts.append([doc[own], key, lo[ok], hi[ok], anchor[own], n_edge[own]])
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+def divided(texts: DataFrame, edges: DataFrame, stride: int, window: int = WINDOW) -> DataFrame:
+    """The owned windows of edges in runs of `stride` by distance to the anchor, as occurrences keyed by their core.
+
+    The core is what all windows of a whole run share, so that equal windows are in runs of equal cores.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, data, offsets, doc, gram, first, last, anchor in _edge_slices(batch):
+                sums = K.prefix_sums(K.byte_codes(data))
+                for d in range(0, window, stride):  # distances d .. d + stride - 1 from window start to anchor
+                    lo, hi = np.maximum(first, anchor - d - stride + 1), np.minimum(last, anchor - d)
+                    ok = np.flatnonzero(lo <= hi)
+                    base = offsets[doc[ok]]
+                    core = K.spans(sums, base + anchor[ok] - d, base + anchor[ok] - d - stride + 1 + window)
+                    key = K.mix(core + gram[ok].view(np.uint64) + np.uint64(d))
+                    whole = K.mix(K.spans(sums, base + lo[ok], base + hi[ok] + window) + (anchor[ok] - lo[ok]).astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(doc[ok] + a)),
+                            *(pa.array(x.astype(np.int32)) for x in (lo[ok], hi[ok], anchor[ok])),
+                        ],
+                        ["gram", "whole", "row", "first", "last", "anchor"],
+                    )
+
+    return _with_edges(texts, edges).mapInArrow(run, OCCURRENCE)
 
 
 def repeated(groups: np.ndarray, lead: np.ndarray, owned: np.ndarray, texts: list[bytes], window: int):
@@ -182,7 +195,7 @@ def repeated(groups: np.ndarray, lead: np.ndarray, owned: np.ndarray, texts: lis
 
 
 def sort_collections(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, first, last): runs of owned windows that stand in another string of the group."""
+    """(row, first, last): runs of owned windows that stand in another string of the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -207,7 +220,7 @@ def sort_collections(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         t = t.filter(pa.array(count[inverse] > 1))
         if not len(t):
             return
-        doc, first, last, lead = (np.asarray(t[c]) for c in ("doc_id", "first", "last", "lead"))
+        doc, first, last, lead = (np.asarray(t[c]) for c in ("row", "first", "last", "lead"))
         who, w = repeated(np.asarray(t["grp"]), lead, last - first + 1, t["bytes"].to_pylist(), window)
         if not len(who):
             return
@@ -217,47 +230,56 @@ def sort_collections(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         end = np.append(new[1:], len(at)) - 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[who[new]]), pa.array(at[new].astype(np.int32)), pa.array(at[end].astype(np.int32))],
-            ["doc_id", "first", "last"],
+            ["row", "first", "last"],
         )
 
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "doc_id long, first int, last int")
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "row long, first int, last int")
 
 
 def duplicate_windows(
-    docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, group: int = GROUP, stride: int = STRIDE
+    docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, group: int = GROUP, strides: tuple[int, ...] = STRIDES
 ) -> DataFrame:
-    """(doc_id, first, last): runs of byte windows that also start anywhere else."""
+    """(row, first, last): runs of byte windows that also start anywhere else. The last stride is 1."""
     small_batches(docs.sparkSession)
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
+    texts = keyed(docs)
     known, open_ = classify(index(docs, window, k))
-    edges = open_.join(edge_groups(open_), "gram")
-    found = sort_collections(
-        strings(texts, edges.select("doc_id", "gram", "first", "last", "anchor", "n_edge"), window, group, stride), window
-    )
-    return known.unionByName(found)
+    columns = ["gram", "row", "first", "last", "anchor"]
+    edges = open_.join(edge_groups(open_), "gram").select(*columns, "n_edge")
+    small = edges.where(F.col("n_edge") <= group).select(*columns)
+    for stride in strides:
+        large = edges.where(F.col("n_edge") > group).select(*columns)
+        if not large.limit(1).count():
+            break
+        more, open_ = classify(divided(texts, large, stride, window))
+        known = known.unionByName(more)
+        edges = open_.join(edge_groups(open_), "gram").select(*columns, "n_edge")
+        small = small.unionByName(edges.where(F.col("n_edge") <= group).select(*columns))
+    return known.unionByName(sort_collections(strings(texts, small, window), window))
 
 
 def remove_duplicates(
-    docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_text: bool = True, group: int = GROUP, stride: int = STRIDE
+    docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_text: bool = True, group: int = GROUP, strides: tuple[int, ...] = STRIDES
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): bytes in no repeated window.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of each row: bytes in no repeated window.
 
-    Null texts count as empty. Repeated rows repeat each other's windows, so texts of a window or more go in every copy.
-    A null doc_id keeps its text whole. kept is binary: a cut may fall inside a character.
+    Null texts count as empty; an empty table gives an empty one. Repeated rows, and rows of one doc_id (null too), are
+    rows of their own: they repeat each other's windows, so texts of a window or more go in every copy. A text of any
+    length is one slice in one task. Columns other than doc_id and text are left out, so their names cannot clash.
+    kept is binary: a cut may fall inside a character.
     """
-    ranges = per_document(duplicate_windows(docs, window, k, group, stride))
-    texts = docs.select("doc_id", "text").repartition("doc_id")
+    ranges = per_row(duplicate_windows(docs, window, k, group, strides))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, lasts = batch.column(2), batch.column(3)
+            found = batch.column(2)
             for a, b, data, offsets in K.slices(batch.column(1)):
                 gone, spans, kept = [], [], []
                 for i in range(b - a):
                     own = data[offsets[i] : offsets[i + 1]]
                     out = np.zeros(len(own), bool)
-                    if firsts[a + i].is_valid:
-                        out = covered(len(own), firsts[a + i].values.to_numpy(), lasts[a + i].values.to_numpy(), window)
+                    if found[a + i].is_valid:
+                        at = found[a + i].values
+                        out = covered(len(own), np.asarray(at.field(0)), np.asarray(at.field(1)), window)
                     gone.append(int(out.sum()))
                     spans.append(int((out[1:] & ~out[:-1]).sum() + (out[0] if len(out) else 0)))
                     kept.append(own[~out].tobytes())
@@ -270,8 +292,9 @@ def remove_duplicates(
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed(docs).join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 

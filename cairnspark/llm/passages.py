@@ -2,6 +2,9 @@
 
 Every window of a text is owned by one anchor, the smallest k-gram inside it, so that equal windows are owned by equal
 anchors at equal distance. An occurrence of an anchor stands for all windows it owns there.
+
+Texts are told apart by a row key, the hash of doc_id and text: rows of one doc_id with different texts stay different
+rows, and rows repeated in full share a key and what is found for it.
 """
 
 from __future__ import annotations
@@ -11,9 +14,14 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.shared import written
 
-#: doc_id, first..last: windows owned, as offsets in the text; anchor: the anchor's offset; gram and whole: fingerprints
+#: row, first..last: windows owned, as offsets in the text; anchor: the anchor's offset; gram and whole: fingerprints
 #: of the anchor and of all content the owned windows cover (with the anchor's place in it).
-OCCURRENCE = "gram long, whole long, doc_id long, first int, last int, anchor int"
+OCCURRENCE = "gram long, whole long, row long, first int, last int, anchor int"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row), dealt by row: the same exchange serves every join with texts."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).repartition("row")
 
 
 def classify(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,24 +45,25 @@ def classify(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = (
         hits.where("not uniform")
         .groupBy("gram", "whole")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "last", "anchor")).alias("one"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last", "anchor")).alias("one"))
     )
     open_ = written(cells.select("gram", "whole", "one.*", (F.col("n") == 1).alias("edge")), "open-passages")
-    key = ["doc_id", "first", "gram", "whole"]
+    key = ["row", "first", "gram", "whole"]
     alone = open_.where("edge").select(*key)
-    return hits.join(alone, key, "left_anti").select("doc_id", "first", "last"), open_
+    return hits.join(alone, key, "left_anti").select("row", "first", "last"), open_
 
 
 def edge_groups(open_: DataFrame) -> DataFrame:
-    """(gram, n_edge): how many edges and representatives each anchor with edges has."""
-    return (
+    """(gram, n_edge): how many edges and representatives each anchor with edges has; written, so that joins with it split."""
+    return written(
         open_.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("n_edge"), F.count_if("edge").alias("edges"))
         .where("edges > 0 and n_edge > 1")
-        .select("gram", "n_edge")
+        .select("gram", "n_edge"),
+        "edge-groups",
     )
 
 
-def per_document(ranges: DataFrame) -> DataFrame:
-    """(doc_id, firsts, lasts) of the ranges (doc_id, first, last) of each document."""
-    return ranges.groupBy("doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+def per_row(ranges: DataFrame) -> DataFrame:
+    """(row, ranges) of the ranges (row, first, last): each distinct range of a row once."""
+    return ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))

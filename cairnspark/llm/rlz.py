@@ -2,15 +2,16 @@
 
 The reference is the corpus itself, cut by content into blocks: a block holds the passages around one anchor (see
 passages). Only documents that hold a block's anchor can share a window with it, so each document is parsed against
-just these blocks, and none of the others could give it a factor as long as a window.
+every block that could give it a factor as long as a window.
 
-- Parsing goes greedily from anchor to anchor: while all content around an anchor stands in the block too, the factor
-  goes on. Factors of at least a window's length become duplicate spans.
-- Where the content around an anchor stands here only, a factor ends (or none begins): at such boundaries every window
-  is fingerprinted and looked up in the block among its other passages; runs of found windows are the factors' ends.
+- Where all content around an anchor stands in the block too, that content is one factor.
+- Other passages of a block are parsed greedily against the block's rest, whose windows are indexed by fingerprint: a
+  factor starts at the first window that the index has, and goes on in the sources that still agree until none does.
+- A factor's end is checked: parsing goes on with the first window that the factor does not hold, which reaches back into
+  it, so that windows across two factors are found from other sources too. Factors have a window's length at least and
+  become duplicate spans.
 
-So every window that stands twice is found, either inside a factor or at a boundary: the result is exact up to 64-bit
-fingerprints of 35-word content.
+So every window that stands twice is in a factor: the result is exact up to 64-bit fingerprints of 35-word content.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.llm import kernels as K
-from cairnspark.llm.passages import OCCURRENCE, classify, edge_groups, per_document
+from cairnspark.llm.passages import OCCURRENCE, classify, edge_groups, keyed, per_row
 from cairnspark.llm.shared import small_batches, table
 
 WINDOW = 35
 ANCHOR = 8
-#: Boundary passages of a block that a task compares at once; larger blocks are divided by window fingerprint.
+#: Passages of a block that a task parses at once; the windows of larger blocks are counted one by one by Spark.
 BLOCK = 2048
 
 
 def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """The anchors of every document, in words. Rows with a null doc_id or text have none."""
+    """The anchors of every document, in words. Rows with a null text have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,23 +43,20 @@ def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
                 s, e, row = K.words(data, offsets)
                 base = np.searchsorted(row, np.arange(len(offsets) - 1))
                 r, first, last, anchor, gram, whole = K.anchors(K.word_hashes(data, s, e), row, window, k)
-                ids = batch.column(0).take(pa.array(r + a))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), ids,
+                        pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(r + a)),
                         *(pa.array((x - base[r]).astype(np.int32)) for x in (first, last, anchor)),
                     ],
-                    ["gram", "whole", "doc_id", "first", "last", "anchor"],
+                    ["gram", "whole", "row", "first", "last", "anchor"],
                 )
 
-    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, OCCURRENCE)
+    return docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, OCCURRENCE)
 
 
-def boundary_windows(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(block, doc_id, first, prints): fingerprints of the windows of every edge and model, divided as BLOCK says."""
-    wanted = edges.groupBy("doc_id").agg(
-        F.collect_list(F.struct("gram", "first", "last", "pieces")).alias("edges")
-    )
+def window_prints(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(gram, row, first, prints): fingerprints of the windows of every passage to be parsed."""
+    wanted = edges.groupBy("row").agg(F.collect_set(F.struct("gram", "first", "last")).alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,59 +67,89 @@ def boundary_windows(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -
                 lists = batch.column(2).slice(a, b - a)
                 flat = lists.flatten()
                 doc = np.repeat(np.arange(b - a), np.asarray(lists.value_lengths()))
-                gram, first, last, pieces = (np.asarray(flat.field(i)) for i in range(4))
+                gram, first, last = (np.asarray(flat.field(i)) for i in range(3))
                 n = last - first + 1
-                at = np.repeat(base[doc] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                ends = np.cumsum(n)
+                at = np.repeat(base[doc] + first, n) + np.arange(n.sum()) - np.repeat(ends - n, n)
                 prints = K.spans(sums, at, at + window)
-                piece = (prints % np.repeat(pieces, n).astype(np.uint64)).astype(np.int64)
-                owner = np.repeat(np.arange(len(n)), n)
-                # One row per edge and piece, with its windows' offsets and fingerprints.
-                order = np.lexsort((piece, owner))
-                key = np.stack([owner[order], piece[order]], 1)
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, int)
-                end = np.append(new[1:], len(order))
-                own = owner[order][new]
-                block = K.mix(gram[own].view(np.uint64) + piece[order][new].astype(np.uint64)).view(np.int64)
-                where = (at - base[doc][owner])[order].astype(np.int32)
-                sorted_prints = prints[order]
-                lists_of = [
-                    pa.array([x[p:q].tobytes() for p, q in zip(new.tolist(), end.tolist(), strict=True)], pa.binary())
-                    for x in (where, sorted_prints)
-                ]
+                raw = [prints[p:q].tobytes() for p, q in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block), batch.column(0).take(pa.array(doc[own] + a)), *lists_of],
-                    ["block", "doc_id", "windows", "prints"],
+                    [pa.array(gram), batch.column(0).take(pa.array(doc + a)), pa.array(first.astype(np.int32)), pa.array(raw, pa.binary())],
+                    ["gram", "row", "first", "prints"],
                 )
 
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "edges").mapInArrow(
-        run, "block long, doc_id long, windows binary, prints binary"
+    return texts.join(wanted, "row").select("row", "text", "edges", "doc_id").mapInArrow(
+        run, "gram long, row long, first int, prints binary"
     )
 
 
-def _parse_block(docs: np.ndarray, windows: list[bytes], prints: list[bytes]):
-    """Runs of windows of each boundary passage that stand in another passage of the block."""
-    size = np.array([len(p) // 8 for p in prints])
-    owner = np.repeat(np.arange(len(size)), size)
-    h, at = np.frombuffer(b"".join(prints), np.uint64), np.frombuffer(b"".join(windows), np.int32)
-    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    hit = np.flatnonzero(count[inverse] > 1)
-    owner, at = owner[hit], at[hit]
-    if not len(hit):
-        return None
-    cut = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])
-    new = np.flatnonzero(cut)
-    return docs[owner[new]], at[new], at[np.append(new[1:], len(at)) - 1]
+def single_windows(prints: DataFrame) -> DataFrame:
+    """Every window of (gram, row, first, prints) as an occurrence of its own, for blocks too large for one task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
+                raw = p.column(3).to_pylist()
+                n = np.array([len(x) // 8 for x in raw])
+                h = np.frombuffer(b"".join(raw), np.int64)
+                at = np.repeat(np.asarray(p.column(2)), n) + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                places = pa.array(at.astype(np.int32))
+                row = p.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(h), row, places, places, places], ["gram", "whole", "row", "first", "last", "anchor"]
+                )
 
-def parse_boundaries(rows: DataFrame) -> DataFrame:
-    """(doc_id, first, last) of windows at factor boundaries that stand elsewhere in their block."""
+    return prints.mapInArrow(run, OCCURRENCE)
+
+
+def parse(prints: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """Greedy factors (passage, first window, last window) of each passage relative to the others of its blocks.
+
+    Also to itself, as far as the same windows stand elsewhere in it. Passages of several blocks may stand side by side:
+    equal windows have equal anchors, so that no factor reaches over to another block.
+    """
+    size = np.array([len(p) for p in prints])
+    h = np.concatenate(prints)
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    group_of = np.empty(len(h), np.int64)
+    group_of[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(h)))
+    known = counts[group_of] > 1
+    out, i, n = [], 0, len(h)
+    hits = np.flatnonzero(known)
+    while True:
+        j = np.searchsorted(hits, i)
+        if j == len(hits):
+            return out
+        i = int(hits[j])
+        g = group_of[i]
+        sources = order[starts[g] : starts[g] + counts[g]]
+        sources = sources[sources != i]
+        end = i
+        while end + 1 < n and owner[end + 1] == owner[i] and known[end + 1]:
+            step = sources + (end + 1 - i)
+            step = step[step < n]
+            agree = step[(group_of[step] == group_of[end + 1]) & (owner[step] == owner[step - (end + 1 - i)])]
+            if not len(agree):
+                break
+            sources, end = agree - (end + 1 - i), end + 1
+        out.append((int(owner[i]), int(at[i]), int(at[end])))
+        i = end + 1
+
+
+def parse_blocks(rows: DataFrame) -> DataFrame:
+    """(row, first, last): the factors of the passages (gram, row, first, prints), as ranges of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            key = np.asarray(held["block"])
+            key = np.asarray(held["gram"])
             change = np.flatnonzero(key[1:] != key[:-1])
             if len(change):
                 cut = int(change[-1]) + 1
@@ -131,25 +159,29 @@ def parse_boundaries(rows: DataFrame) -> DataFrame:
             yield from solve(held)
 
     def solve(t: pa.Table):
-        # Equal windows have equal anchors, so blocks side by side can be searched together.
-        found = _parse_block(np.asarray(t["doc_id"]), t["windows"].to_pylist(), t["prints"].to_pylist())
+        found = parse([np.frombuffer(p, np.uint64) for p in t["prints"].to_pylist()])
         if found:
+            who, first, last = np.array(found).T
+            base = np.asarray(t["first"])[who]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], ["doc_id", "first", "last"]
+                [t["row"].combine_chunks().take(pa.array(who)), pa.array((base + first).astype(np.int32)), pa.array((base + last).astype(np.int32))],
+                ["row", "first", "last"],
             )
 
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "doc_id long, first int, last int")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "row long, first int, last int")
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, first, last): runs of word windows whose words also start anywhere else."""
+    """(row, first, last): runs of word windows whose words also start anywhere else."""
     small_batches(docs.sparkSession)
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
     factors, open_ = classify(index(docs, window, k))
-    edges = open_.join(edge_groups(open_), "gram")
-    edges = edges.withColumn("pieces", F.ceil(F.col("n_edge") / BLOCK).cast("long"))
-    ends = parse_boundaries(boundary_windows(texts, edges.select("doc_id", "gram", "first", "last", "pieces"), window))
-    return factors.unionByName(ends)
+    edges = open_.join(edge_groups(open_), "gram").select("gram", "row", "first", "last", "n_edge")
+    texts = keyed(docs)
+    large = edges.where(F.col("n_edge") > BLOCK)
+    if large.limit(1).count():
+        more, _ = classify(single_windows(window_prints(texts, large, window)))  # a window's content is its anchor: none stays open
+        factors = factors.unionByName(more)
+    return factors.unionByName(parse_blocks(window_prints(texts, edges.where(F.col("n_edge") <= BLOCK), window)))
 
 
 def covered(n: int, firsts: np.ndarray, lasts: np.ndarray, window: int) -> np.ndarray:
@@ -161,17 +193,18 @@ def covered(n: int, firsts: np.ndarray, lasts: np.ndarray, window: int) -> np.nd
 
 
 def remove_duplicates(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): words in no repeated window, joined by one space.
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of each row: words in no repeated window, joined by one space.
 
-    Words are what stands between spaces and tab to carriage return. Null texts count as empty. Repeated rows repeat
-    each other's windows, so texts of a window or more go in every copy. A null doc_id keeps its text whole.
+    Words are what stands between spaces and tab to carriage return. Null and empty texts have none; an empty table
+    gives an empty one. Repeated rows, and rows of one doc_id (null too), are rows of their own: they repeat each
+    other's windows, so texts of a window or more go in every copy. A text of any length is one slice in one task.
+    Columns other than doc_id and text are left out, so their names cannot clash.
     """
-    ranges = per_document(duplicate_windows(docs, window, k))
-    texts = docs.select("doc_id", "text").repartition("doc_id")
+    ranges = per_row(duplicate_windows(docs, window, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, lasts = batch.column(2), batch.column(3)
+            found = batch.column(2)
             for a, b, data, offsets in K.slices(batch.column(1)):
                 s, e, row = K.words(data, offsets)
                 n = np.bincount(row, minlength=b - a)
@@ -179,8 +212,9 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wi
                 raw, gone, kept = data.tobytes(), [], []
                 for i in range(b - a):
                     p, q = int(base[i]), int(base[i] + n[i])
-                    if firsts[a + i].is_valid:
-                        out = covered(q - p, firsts[a + i].values.to_numpy(), lasts[a + i].values.to_numpy(), window)
+                    if found[a + i].is_valid:
+                        own = found[a + i].values
+                        out = covered(q - p, np.asarray(own.field(0)), np.asarray(own.field(1)), window)
                         stay = np.flatnonzero(~out) + p
                     else:
                         stay = np.arange(p, q)
@@ -198,8 +232,9 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wi
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    return texts.join(ranges, "doc_id", "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed(docs).join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(
+        run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
     )
 
 

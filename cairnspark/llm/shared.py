@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnspark.functions.reuse import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session has none (local tests, one machine) a temporary folder is set and used.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cairnspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Paths that written() has made in this process and nobody has deleted yet.
+_MADE: list[str] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written as Parquet into the shared folder and read again: cuts lineage, survives lost executors.
+
+    The table stays until sweep() takes it, as results that read it are computed later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many written tables there are: a mark for sweep()."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since a mark, but for those that `keep` reads."""
+    kept = [f for f in keep.inputFiles()] if keep is not None else []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _MADE[since:]:
+        if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in kept):
+            continue
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _MADE.remove(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Fewer rows per Arrow batch: texts are long, and a batch stands in memory on both sides of the worker's pipe."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
@@ -52,7 +65,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     edges = edges.where("u <> v")
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
+        mark = made()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         # Large star: each larger neighbour of u goes to the smallest of u and its neighbours.
@@ -72,6 +86,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         new = written(small, "stars")
+        if i:
+            sweep(links.sparkSession, mark - 1, new)  # the round before
         # Stars: every node hangs on one centre and no centre hangs on another.
         state = (
             new.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
