@@ -104,6 +104,20 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return spans(prefix_sums(byte_codes(data)), start, end)
 
 
+def majority_bits(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per row, the 64 bits that are set in over half of its run of hashes (SimHash)."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    # Runs follow each other, so their sums are one reduction.
+    sums = np.add.reduceat(bits, first[full], axis=0, dtype=np.int32)
+    packed = np.packbits(sums * 2 > counts[full][:, None], axis=1, bitorder="little")
+    out[full] = packed.view(np.uint64).ravel()
+    return out
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """For each i, the position of the (leftmost) smallest of values[i : i + width]."""
     n = len(values) - width + 1

@@ -14,8 +14,9 @@ the votes. Search (after Qin et al., "GPH: similarity search in Hamming space"):
    that a cell of n rows returns fewer than n links, however dense.
 4. Links go to connected components, written round by round to the shared folder.
 
-Equal fingerprints collapse into one row before all that, so exact copies cost nothing. Cells above CELL rows are
-salted: stored rows are dealt over the salts, probes visit every salt.
+Equal fingerprints collapse into one row before all that, so exact copies cost nothing. Every cell above CELL rows is
+salted: stored rows are dealt over the salts, probes visit every salt. A task holds the stored rows of one salt, and
+probes stream past them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from cairnspark.llm import jaccard
 from cairnspark.llm import kernels as K
 from cairnspark.llm.shared import connected_components, small_batches, written
 
-#: Rows of one cell that a task compares; larger cells are salted.
+#: Stored rows of a cell that a task holds; larger cells are salted.
 CELL = 4096
 #: What it costs to send one probe through a shuffle, in comparisons of two fingerprints.
 PROBE = 200.0
@@ -57,20 +58,6 @@ def _normal(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, n
     return joined, start, start + n, row
 
 
-def _votes(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Per row, the fingerprint of its run of hashes."""
-    out = np.zeros(len(counts), np.uint64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    # Sums per run; runs follow each other, so the sums are differences of block-wise prefix sums.
-    sums = np.add.reduceat(bits, first[full], axis=0, dtype=np.int32)
-    packed = np.packbits(sums * 2 > counts[full][:, None], axis=1, bitorder="little")
-    out[full] = packed.view(np.uint64).ravel()
-    return out
-
-
 def fingerprint_slice(data: np.ndarray, offsets: np.ndarray, shingle: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints, shingles per row) of a slice; fingerprints has n_words columns of 64 bits."""
     joined, s, e, row = _normal(data, offsets)
@@ -87,7 +74,7 @@ def fingerprint_slice(data: np.ndarray, offsets: np.ndarray, shingle: int, n_wor
     h = np.fromiter((digest(joined[a:b], 42) for a, b in pairs), np.uint64, len(at))
     out = np.empty((n_rows, n_words), np.uint64)
     for j in range(n_words):
-        out[:, j] = _votes(np.ascontiguousarray(h), first_sh, n_sh)
+        out[:, j] = K.majority_bits(np.ascontiguousarray(h), first_sh, n_sh)
         h = K.mix(h + np.uint64(0x9E3779B97F4A7C15))
     return out, n_sh
 
@@ -231,43 +218,19 @@ def thresholds(x: np.ndarray, values: np.ndarray, parts, ones: np.ndarray, n: in
 # --- cells ------------------------------------------------------------------------------------------------------------
 
 
-def _rows(batch: pa.RecordBatch, parts, ones, n, heavy, budget, cell):
-    """Stored and probing rows (part, value, salt, role) of a batch; role 1 is stored, 2 probes, 3 both."""
-    node = np.asarray(batch.column(0))
+def _rows(batch: pa.RecordBatch, parts, ones, n, heavy, budget):
+    """Stored and probing rows (part, value, role) of a batch; role 1 is stored, 2 probes, 3 both."""
     x = _matrix(batch.column(1))
     v = part_values(x, parts)
     t = thresholds(x, v, parts, ones, n, heavy, budget)
-    salt_of = K.mix(x[:, 0] ^ np.uint64(0x5851F42D4C957F2D))
-    out = []
     for i, bits in enumerate(parts):
-        masks = [np.zeros(1, np.int64), np.int64(1) << np.arange(len(bits))]
-        masks.append(np.array([(1 << a) | (1 << b) for a in range(len(bits)) for b in range(a)], np.int64))
-        out.append((i, np.arange(len(x)), v[:, i], np.where(t[:, i] >= 0, 3, 1)))
+        yield i, np.arange(len(x)), v[:, i], np.where(t[:, i] >= 0, 3, 1)
+        masks = {1: np.int64(1) << np.arange(len(bits)), 2: np.array([(1 << a) | (1 << b) for a in range(len(bits)) for b in range(a)], np.int64)}
         for r in (1, 2):
             who = np.flatnonzero(t[:, i] >= r)
             if len(who):
                 near = (v[who, i][:, None] ^ masks[r][None, :]).ravel()
-                out.append((i, np.repeat(who, len(masks[r])), near, np.full(len(near), 2)))
-    for i, who, value, role in out:
-        salts = np.ones(len(who), np.int64)
-        if heavy.get(i):
-            keys = np.array(sorted(heavy[i]))
-            sizes = np.array([heavy[i][k] for k in keys])
-            j = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-            salts = np.where(keys[j] == value, -(-sizes[j] // cell), 1)
-        own = (salt_of[who] % salts.astype(np.uint64)).astype(np.int64)
-        single = np.flatnonzero(salts == 1)
-        take = [(single, np.zeros(len(single), np.int64), role[single])]
-        many = np.flatnonzero(salts > 1)
-        if len(many):
-            rep = np.repeat(many, salts[many])
-            salt = np.arange(len(rep)) - np.repeat(np.cumsum(salts[many]) - salts[many], salts[many])
-            here = salt == own[rep]
-            r = (role[rep] & 2) | np.where(here, role[rep] & 1, 0)
-            take.append((rep[r > 0], salt[r > 0], r[r > 0]))
-        for k, salt, r in take:
-            if len(k):
-                yield i, value[k], salt, r, who[k], node
+                yield i, np.repeat(who, len(masks[r])), near, np.full(len(near), 2)
 
 
 def _forest(x: np.ndarray, sizes: np.ndarray, role: np.ndarray, near: int, far: int, ratio: float):
@@ -295,23 +258,27 @@ def _forest(x: np.ndarray, sizes: np.ndarray, role: np.ndarray, near: int, far:
     return edges_a, edges_b
 
 
-def _cells(near: int, far: int, ratio: float):
-    """Streams over rows sorted by cell; a cell that ends with its batch is carried over."""
+def _cells(near: int, far: int, ratio: float, cell: int):
+    """Streams over rows sorted by cell, stored rows first; a cell that goes on keeps its stored rows alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
         for batch in batches:
-            held.append(batch)
-            t = pa.Table.from_batches(held)
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
             key = _cell_key(t)
             change = np.flatnonzero(key[1:] != key[:-1])
             cut = int(change[-1]) + 1 if len(change) else 0
             if cut:
                 yield from _solve(t.slice(0, cut), key[:cut], near, far, ratio)
-                held = t.slice(cut).combine_chunks().to_batches()
-        if held:
-            t = pa.Table.from_batches(held)
-            yield from _solve(t, _cell_key(t), near, far, ratio)
+            held = t.slice(cut).combine_chunks()
+            if len(held) > 4 * cell:
+                yield from _solve(held, key[cut:], near, far, ratio)
+                kept = held.filter(pa.array(np.asarray(held["role"]) & 1 == 1))
+                done = pa.array(np.ones(len(kept), np.int32))  # they have met each other
+                held = kept.set_column(kept.schema.get_field_index("role"), "role", done)
+        if held is not None and len(held):
+            yield from _solve(held, _cell_key(held), near, far, ratio)
 
     return run
 
@@ -383,38 +350,37 @@ def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0
             part = np.tile(np.arange(len(parts), dtype=np.int32), len(v))
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v.ravel())], ["part", "value"])
 
-    # At most n / share values of a part can hold `share` rows each, so the list below has a fixed bound.
-    share = max(cell // 4, n // 1000)
-    sizes = nodes.select("fp").mapInArrow(values, "part int, value long").groupBy("part", "value").count()
+    # Values of a thousandth of the rows or more, for the estimates: a thousand a part at most.
+    sizes = written(nodes.select("fp").mapInArrow(values, "part int, value long").groupBy("part", "value").count(), "cell-sizes")
     heavy: dict[int, dict[int, int]] = {}
-    for part, value, count in sizes.where(F.col("count") > share).collect():
+    for part, value, count in sizes.where(F.col("count") > max(cell // 4, n // 1000)).collect():
         heavy.setdefault(part, {})[value] = count
+    large = written(sizes.where(F.col("count") > cell).select("part", "value", F.ceil(F.col("count") / cell).cast("int").alias("salts")), "large-cells")
 
     def spread(batches):
         for batch in batches:
             for piece in (batch.slice(i, 20000) for i in range(0, len(batch), 20000)):
-                for i, value, salt, role, who, node in _rows(piece, parts, ones, n, heavy, budget, cell):
+                for i, who, value, role in _rows(piece, parts, ones, n, heavy, budget):
                     take = pa.array(who)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(who), i, np.int32)),
-                            pa.array(value),
-                            pa.array(salt.astype(np.int32)),
-                            pa.array(role.astype(np.int32)),
-                            pa.array(node[who]),
-                            piece.column(1).take(take),
-                            piece.column(2).take(take),
+                            pa.array(np.full(len(who), i, np.int32)), pa.array(value), pa.array(role.astype(np.int32)),
+                            *(piece.column(c).take(take) for c in range(3)),
                         ],
-                        ["part", "value", "salt", "role", "node", "fp", "size"],
+                        ["part", "value", "role", "node", "fp", "size"],
                     )
 
-    rows = nodes.select("node", "fp", "size").mapInArrow(
-        spread, "part int, value long, salt int, role int, node long, fp binary, size long"
-    )
+    rows = nodes.select("node", "fp", "size").mapInArrow(spread, "part int, value long, role int, node long, fp binary, size long")
+    rows = rows.join(large, ["part", "value"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("salts")).cast("int"))
+    where = F.when(F.col("role") == 1, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    rows = rows.withColumn("salt", F.explode(where)).withColumn("role", F.when(F.col("salt") == F.col("own"), F.col("role")).otherwise(2))
+    rows = rows.withColumn("late", F.col("role") == 2)
     return (
-        rows.repartition("part", "value", "salt")
-        .sortWithinPartitions("part", "value", "salt")
-        .mapInArrow(_cells(near, far, ratio), "a long, b long")
+        rows.select("part", "value", "salt", "late", "role", "node", "fp", "size")
+        .repartition("part", "value", "salt")
+        .sortWithinPartitions("part", "value", "salt", "late")
+        .mapInArrow(_cells(near, far, ratio, cell), "a long, b long")
     )
 
 
@@ -424,7 +390,10 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs: the smallest doc_id that its fingerprint reaches by links.
 
-    Repeated doc_ids stay repeated. Rows whose doc_id is null keep a null component. An empty table gives an empty one.
+    One row out for each row in: rows repeated or sharing a doc_id are rows of their own, with the id's texts each in
+    the component of its fingerprint. Null and wordless texts have fingerprint zero. Rows whose doc_id is null keep a
+    null component. An empty table gives an empty one. A text of any length is one slice in one task. Columns other than
+    doc_id and text are left out, so their names cannot clash.
     """
     fps = written(fingerprints(docs, shingle, n_words), "fingerprints")
     by = ["fp"] if n_words == 1 else ["fp", "size"]
@@ -444,8 +413,9 @@ def near_duplicates(
 def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Documents without those whose near-duplicate group has a smaller doc_id (one of each group stays).
 
-    Groups are connected by pairs whose sets of five-word shingles have this Jaccard similarity or more, found and
-    verified without loss. Rows with a null doc_id or without words are nobody's copies and stay.
+    Groups are connected by pairs whose sets of five-word shingles have this Jaccard similarity or more: found by shared
+    prefixes and SimHash fingerprints, and verified exactly (see jaccard). Rows with a null doc_id or without words are
+    nobody's copies and stay; a row repeated in full stays with its copy. All columns are kept as they are.
     """
-    drop = jaccard.near_copies(docs, similarity, shingle).where("doc_id <> first").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = jaccard.near_copies(docs.select("doc_id", "text"), similarity, shingle).where("not stays").select("row")
+    return docs.join(drop, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")) == drop["row"], "left_anti")
