@@ -3,22 +3,25 @@ r"""Personal data: patterns, and terms that disclose them, in DataFrame operatio
 Base findings are e-mail addresses, IP addresses, card numbers and telephone numbers, found leftmost and without overlap
 per kind and then validated. Offsets come from the lengths of matches and of the gaps between them.
 
-The information-theoretic step (after Sanchez and Batet, "C-sanitized"): the corpus tells how much a term near a
-protected entity reveals of it. With document frequencies over distinct texts,
+The information-theoretic step (after Sanchez and Batet, "C-sanitized"): the corpus tells how much a term reveals of the
+protected entities that its texts hold. An entity counts as its value and as what it generalises to (a mail domain, the
+first two parts of an address, the first digits of a number, the kind). With document frequencies over distinct texts,
 
     disclosure(term; entity) = PMI(term; entity) / IC(entity) = log(p(t, e) / (p(t) p(e))) / -log p(e),
 
-1 if the term stands only with the entity. Terms that stand within CONTEXT characters of the entity in at least
-SUPPORT distinct texts and disclose THRESHOLD or more become findings of kind "term" there. sanitise() replaces base
-findings by their kind and terms by a coarse class.
+1 if the term stands only with the entity; one joint text is discounted, so that chance meetings weigh less. Entities and
+pairs need SUPPORT distinct texts to be estimated. Terms that disclose THRESHOLD or more become findings of kind "term"
+wherever they stand in texts that hold the entity, outside its base findings. sanitise() replaces base findings by their
+kind, generalises terms that give a class or kind away to it, and removes terms that give a value away.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import table, written
+from cairnspark.llm.shared import aside, table, written
 
 #: Fixed patterns. Possessive and guarded forms of the leftmost matches asked for, so that long runs cost linear time:
 #: a local part or number can only begin where a run of its characters begins, or where the last match ended.
@@ -30,7 +33,7 @@ PATTERNS = {
 }
 #: What a text must contain to be searched at all.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CONTEXT, SUPPORT, THRESHOLD = 60, 3, 0.8
+SUPPORT, THRESHOLD = 3, 0.8
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -83,86 +86,118 @@ def found(kind: str, text: Column) -> Column:
 
 
 def base_findings(docs: DataFrame) -> DataFrame:
-    """docs with a column `base`: findings by kind as listed, then by start. Null texts have none."""
-    return docs.withColumn("base", F.concat(*[found(k, F.col("text")) for k in PATTERNS]))
+    """docs with a column `base`: findings by kind as listed, then by start. Null and empty texts have none.
+
+    One row out for each row in, a text of any length within its row. A column of the caller named base, terms or clean
+    is kept as base_in, terms_in or clean_in, here and below.
+    """
+    return aside(docs, "base", "terms", "clean").withColumn("base", F.concat(*[found(k, F.col("text")) for k in PATTERNS]))
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}+"), F.lit(0))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the values of its findings."""
+    return F.aggregate(spans, text, lambda t, s: F.replace(t, s["value"], F.lit(" ")))
+
+
+def entities(span: Column) -> Column:
+    """What a finding counts as: its value, the class it belongs to, its kind; as level:kind:text."""
+    value, digits = F.lower(span["value"]), F.regexp_replace(span["value"], "[^0-9]", "")
+    group = (
+        F.when(span["kind"] == "email", F.substring_index(value, "@", -1)).when(span["kind"] == "ip", F.substring_index(value, ".", 2))
+        .when(span["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+    named = lambda level, x: F.concat_ws(":", F.lit(level), span["kind"], x)
+    return F.array(named("value", value), named("class", group), named("kind", F.lit("")))
+
+
+def _with_entities(docs: DataFrame) -> DataFrame:
+    """(row, text, base, entities) of texts with findings; rows alike in full become one."""
+    held = F.array_distinct(F.flatten(F.transform("base", entities)))
+    some = docs.where(F.size("base") > 0).select("text", "base", held.alias("entities"))
+    return some.withColumn("row", F.xxhash64("text")).dropDuplicates(["row"])
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """(value, term, disclosure) from base_findings: terms of the neighbourhood that give an entity away.
+    """(entity, term, disclosure) from base_findings: terms that give an entity away.
 
     Frequencies are over distinct texts, so that copies of a text count once.
     """
-    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"), "base")
-    some = texts.where(F.size("base") > 0).select("text", "h", F.explode("base").alias("s"))
-    before = F.substring("text", F.greatest(F.col("s.start") - CONTEXT + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(CONTEXT)))
-    near = F.concat(before, F.lit(" "), F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)))
-    entity = F.concat_ws(":", "s.kind", F.lower("s.value"))
-    pairs = some.select("h", entity.alias("value"), F.explode(F.array_distinct(_words(near))).alias("term"))
-    joint = pairs.groupBy("value", "term").agg(F.countDistinct("h").alias("both")).where(F.col("both") >= SUPPORT)
+    some = written(_with_entities(docs), "entity-texts")
+    of_entity = some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_value"))
+    of_entity = written(of_entity.where(F.col("n_value") >= SUPPORT), "entities")
+    known = some.select("row", F.explode("entities").alias("entity")).join(of_entity.select("entity"), "entity")
+    terms = some.select("row", F.array_distinct(_words(_outside(F.col("text"), F.col("base")))).alias("terms"))
+    pairs = known.join(terms, "row").select("entity", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     joint = written(joint, "disclosure-pairs")
-    entities = some.select(entity.alias("value"), "h").join(joint.select("value").distinct(), "value", "left_semi")
-    of_entity = entities.groupBy("value").agg(F.countDistinct("h").alias("n_value"))
-    terms = joint.select("term").distinct()
+    texts = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
     told = texts.dropDuplicates(["h"]).select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     # Counted before the join: candidates may be frequent words, and their occurrences outgrow the input. An inner
     # join, as a semi-join would be moved below the count.
-    of_term = told.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term")
+    wanted = joint.select("term").distinct()
+    of_term = told.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
     total = texts.agg(F.approx_count_distinct("h", 0.01).alias("n"))
     p = lambda c: F.col(c) / F.col("n")
-    share = F.try_divide(F.log(p("both") / (p("n_term") * p("n_value"))), -F.log(p("n_value")))
+    share = F.try_divide(F.log((F.col("both") - 1) / F.col("n") / (p("n_term") * p("n_value"))), -F.log(p("n_value")))
     return (
-        joint.join(of_entity, "value")
+        joint.join(of_entity, "entity")
         .join(of_term, "term")
         .join(F.broadcast(total))  # one row
-        .select("value", "term", share.alias("disclosure"))
+        .select("entity", "term", share.alias("disclosure"))
         .where(F.col("disclosure") >= THRESHOLD)
     )
 
 
 def with_terms(docs: DataFrame) -> DataFrame:
-    """base_findings with a column `terms`: spans of disclosing terms near the entities they disclose."""
+    """base_findings with a column `terms`: spans of disclosing terms in texts that hold the entities they disclose.
+
+    The value of a term's span is level:kind of the closest entity it discloses. Rows are matched by text, so that each
+    row, whatever its doc_id, has the spans of its own text.
+    """
     bad = written(disclosing_terms(docs), "disclosing-terms")
-    some = docs.where(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("s"))
-    told = some.withColumn("value", F.concat_ws(":", "s.kind", F.lower("s.value"))).join(bad, "value")
-    a = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
-    window = F.substring("text", a + 1, F.col("s.end") - a + CONTEXT)
-    pattern = F.concat(F.lit(r"(?i)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    gaps, hits = F.split(window, pattern, -1), F.regexp_extract_all(window, pattern, F.lit(0))
-    starts = F.transform(
-        hits,
-        lambda m, i: a
-        + F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda x, g: x + F.length(g))
-        + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda x, g: x + F.length(g)),
+    some = _with_entities(docs)
+    level = F.concat_ws(":", F.substring_index("entity", ":", 2))
+    bad = bad.groupBy("term").agg(F.collect_set("entity").alias("discloses"))
+    told = some.select("row", "entities", F.explode(F.array_distinct(_words(_outside(F.col("text"), F.col("base"))))).alias("term")).join(bad, "term")
+    told = told.select("row", "term", F.explode(F.array_intersect("entities", "discloses")).alias("entity"))
+    told = written(told.groupBy("row", "term").agg(F.max(level).alias("level")), "told-terms")  # value over kind over class, in that order of names
+    # Words with offsets, of texts with terms only: gaps and words laid end to end.
+    cut = F.arrays_zip(F.split("text", r"\p{L}+", -1).alias("gap"), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("word"))
+    places = some.join(told.select("row").distinct(), "row", "left_semi").select("row", "base", F.posexplode(cut).alias("pos", "p"))
+    end = F.sum(F.length("p.gap") + F.coalesce(F.length("p.word"), F.lit(0))).over(W.partitionBy("row").orderBy("pos"))
+    places = places.select("row", "base", F.col("p.word").alias("word"), F.lower("p.word").alias("term"), end.cast("int").alias("end")).where("word is not null")
+    spans = places.withColumn("start", F.col("end") - F.length("word")).join(told, ["row", "term"])
+    spans = spans.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    per_row = spans.groupBy("row").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("start"), F.col("end"), F.col("level").alias("value")))).alias("found")
     )
-    spans = told.select("doc_id", "term", F.explode(starts).alias("start"))
-    per_doc = spans.select(
-        "doc_id",
-        F.struct(F.lit("term").alias("kind"), F.col("start"), (F.col("start") + F.length("term")).alias("end"), F.col("term").alias("value")).alias("s"),
-    ).groupBy("doc_id").agg(F.array_sort(F.collect_set("s")).alias("terms"))
-    ids, extra = per_doc.withColumnRenamed("doc_id", "__id"), F.array().cast(_SPAN)
-    return docs.join(ids, F.col("doc_id") == F.col("__id"), "left").drop("__id").withColumn("terms", F.coalesce("terms", extra))
+    per_row = per_row.select("row", F.transform("found", lambda s: F.struct(F.lit("term").alias("kind"), s["start"], s["end"], s["value"])).cast(_SPAN).alias("terms"))
+    extra = F.array().cast(_SPAN)
+    return docs.join(per_row, F.xxhash64("text") == per_row["row"], "left").drop(per_row["row"]).withColumn("terms", F.coalesce("terms", extra))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with `base`, `terms` and `clean`: base findings replaced by their kind in brackets, terms by [word].
+    """docs with `base`, `terms` and `clean`: base findings replaced by their kind in brackets, terms generalised or removed.
 
-    Where findings overlap, the first (then the longest) is replaced. Null texts stay null; empty tables stay empty.
+    A term that discloses a class or kind becomes [about KIND]; one that discloses a value goes. Where findings overlap,
+    the first (then the longest) is replaced. Null texts stay null; empty tables stay empty.
     """
     marked = with_terms(base_findings(docs))
     order = F.array_sort(
         F.transform(
             F.concat("base", "terms"),
-            lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")),
+            lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["value"].alias("value")),
         )
     )
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        label = F.when(s["kind"] == "term", F.lit("[word]")).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        about = F.when(s["value"].startswith("value:"), F.lit("")).otherwise(F.concat(F.lit("[about "), F.substring_index(s["value"], ":", -1), F.lit("]")))
+        label = F.when(s["kind"] == "term", about).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
         piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), label)
         return F.when(s["start"] >= acc["at"], F.struct((-s["back"]).alias("at"), piece.alias("out"))).otherwise(acc)
 
@@ -176,13 +211,13 @@ def joined(spans: Column) -> Column:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; and n_base, n_term."""
     docs = base_findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return report(docs)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest columns of base_findings(docs)."""
+    """The digest columns of base_findings(docs), one row for each row, and n_base and n_term: spans of either sort."""
     marked = with_terms(docs)
 
     def number(kind: str) -> Column:
@@ -191,5 +226,5 @@ def report(docs: DataFrame) -> DataFrame:
     counts = [number(k) for k in PATTERNS]
     return marked.select(
         "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"),
+        joined(F.concat("base", "terms")).alias("spans"), F.size("base").cast("long").alias("n_base"), F.size("terms").cast("long").alias("n_term"),
     )

@@ -48,6 +48,19 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns of these names renamed to NAME_in, so that an operator can add its own of the names."""
+    taken = set(df.columns)
+    for name in names:
+        if name in taken:
+            new = f"{name}_in"
+            while new in taken:
+                new += "_in"
+            df = df.withColumnRenamed(name, new)
+            taken.add(new)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

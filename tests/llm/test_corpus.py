@@ -295,13 +295,54 @@ def test_op3_patterns(spark, texts):
         assert r.spans.startswith(base)
 
 
+def brute_terms(rows):
+    """Spans of disclosing terms per text, by the formula over distinct texts."""
+    texts = sorted({t for _, t in rows if t})
+
+    def names(kind, value):
+        value, digits = value.lower(), re.sub("[^0-9]", "", value)
+        group = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+        return {f"value:{kind}:{value}", f"class:{kind}:{group}", f"kind:{kind}:"}
+
+    held, own, every = {}, {}, {}
+    for t in texts:
+        base, rest = brute_pii(t), t
+        for _, a, b in base:
+            rest = rest.replace(t[a:b], " ")
+        held[t] = set().union(*[names(k, t[a:b]) for k, a, b in base]) if base else set()
+        own[t] = set(re.findall(r"[^\W\d_]{4,}", rest.lower()))
+        every[t] = set(re.findall(r"[^\W\d_]{4,}", t.lower()))
+    n = len(texts)
+    n_e = collections.Counter(e for t in texts for e in held[t])
+    n_t = collections.Counter(w for t in texts for w in every[t])
+    both = collections.Counter((e, w) for t in texts for e in held[t] if n_e[e] >= pii.SUPPORT for w in own[t])
+    bad = {k for k, c in both.items() if c >= pii.SUPPORT and math.log((c - 1) * n / (n_t[k[1]] * n_e[k[0]])) / -math.log(n_e[k[0]] / n) >= pii.THRESHOLD}
+    out = {}
+    for t in texts:
+        base = brute_pii(t)
+        terms = {w for e in held[t] for w in own[t] if (e, w) in bad}
+        spots = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in terms]
+        out[t] = [(a, b) for a, b in spots if not any(x < b and y > a for _, x, y in base)]
+    return out
+
+
+def test_op3_terms_brute_force(spark):
+    """Term spans against the formula, on a given table, where the method finds some."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = brute_terms(rows)
+    assert sum(map(len, want.values())) > 0
+    for r in pii.with_terms(pii.base_findings(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        assert [(s.start, s.end) for s in r.terms] == (want[r.text] if r.text else [])
+
+
 def test_op3_terms_disclose(spark):
-    rows = [(i, f"note {i} writes quixotine to jo@ex.org about thing{i}") for i in range(5)] + [(100 + i, f"plain note number {i} writes about thing{i}") for i in range(40)]
-    marked = pii.with_terms(pii.base_findings(spark.createDataFrame(rows, "doc_id long, text string")))
-    terms = {r.doc_id: {s.value for s in r.terms} for r in marked.collect()}
-    assert terms[0] == {"quixotine"} and not terms[100]
-    clean = {r.doc_id: r.clean for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert clean[0] == "note 0 writes [word] to [email] about thing0" and clean[100] == rows[5][1]
+    rows = [(i, f"note {i} writes Quixotine to jo@ex.org about thing{i}") for i in range(5)] + [(100 + i, f"plain note number {i} writes about thing{i}") for i in range(400)]
+    rows += [(1000 + i, f"see {i} ÉCLAIRE 10.20.{i}.1 and more words here, éclaire") for i in range(9)] + [(0, "no data under a repeated id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("terms", F.lit("clash"))
+    out = {(r.doc_id, r.text): r for r in pii.sanitise(df).collect()}
+    assert out[rows[0]].clean == "note 0 writes  to [email] about thing0" and out[rows[0]].terms_in == "clash"
+    assert out[rows[5]].clean == rows[5][1] and out[rows[-1]].clean == rows[-1][1]
+    assert "[about ip]" in out[rows[406]].clean and "CLAIRE" not in out[rows[406]].clean and len(out[rows[406]].terms) >= 2
 
 
 def test_op3_awkward(spark):
