@@ -58,7 +58,7 @@ def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
                     ["gram", "whole", "row", "first", "last", "anchor"],
                 )
 
-    return docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, OCCURRENCE)
+    return docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(K.tidy(run), OCCURRENCE)
 
 
 def _with_edges(texts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def strings(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFra
                         ["grp", "row", "first", "last", "lead", "bytes"],
                     )
 
-    return _with_edges(texts, edges).mapInArrow(run, "grp long, row long, first int, last int, lead int, bytes binary")
+    return _with_edges(texts, edges).mapInArrow(K.tidy(run), "grp long, row long, first int, last int, lead int, bytes binary")
 
 
 def divided(texts: DataFrame, edges: DataFrame, stride: int, window: int = WINDOW) -> DataFrame:
@@ -128,7 +128,7 @@ def divided(texts: DataFrame, edges: DataFrame, stride: int, window: int = WINDO
                         ["gram", "whole", "row", "first", "last", "anchor"],
                     )
 
-    return _with_edges(texts, edges).mapInArrow(run, OCCURRENCE)
+    return _with_edges(texts, edges).mapInArrow(K.tidy(run), OCCURRENCE)
 
 
 def repeated(groups: np.ndarray, lead: np.ndarray, owned: np.ndarray, texts: list[bytes], window: int):
@@ -233,7 +233,7 @@ def sort_collections(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             ["row", "first", "last"],
         )
 
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "row long, first int, last int")
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(K.tidy(run), "row long, first int, last int")
 
 
 def duplicate_windows(
@@ -294,7 +294,7 @@ def remove_duplicates(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed(docs).join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        K.tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
 
 

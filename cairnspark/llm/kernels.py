@@ -6,7 +6,8 @@ depend on the batch size (one document longer than that forms a slice by itself)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -65,6 +66,20 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * q[start] + n * np.uint64(0xD6E8FEB86659FD93))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, giving freed memory back to the system when a task ends: workers stay for the next stage, their peak should not."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps what it has
+            pass
+
+    return task
+
+
 def byte_codes(data: np.ndarray) -> np.ndarray:
     return _BYTE_CODES[data]
 

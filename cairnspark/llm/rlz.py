@@ -39,7 +39,7 @@ def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, data, offsets in K.slices(batch.column(1)):
+            for a, _, data, offsets in K.slices(batch.column(1), 1 << 20):
                 s, e, row = K.words(data, offsets)
                 base = np.searchsorted(row, np.arange(len(offsets) - 1))
                 r, first, last, anchor, gram, whole = K.anchors(K.word_hashes(data, s, e), row, window, k)
@@ -51,16 +51,19 @@ def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
                     ["gram", "whole", "row", "first", "last", "anchor"],
                 )
 
-    return docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, OCCURRENCE)
+    return docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(K.tidy(run), OCCURRENCE)
 
 
-def window_prints(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(gram, row, first, prints): fingerprints of the windows of every passage to be parsed."""
+def window_prints(texts: DataFrame, edges: DataFrame, window: int = WINDOW, single: bool = False) -> DataFrame:
+    """(gram, row, first, prints): fingerprints of the windows of every passage to be parsed.
+
+    With `single`, every window as an occurrence of its own, for blocks too large for one task.
+    """
     wanted = edges.groupBy("row").agg(F.collect_set(F.struct("gram", "first", "last")).alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1)):
+            for a, b, data, offsets in K.slices(batch.column(1), 1 << 20):
                 s, e, row = K.words(data, offsets)
                 sums = K.prefix_sums(K.word_hashes(data, s, e))
                 base = np.searchsorted(row, np.arange(b - a))
@@ -72,6 +75,14 @@ def window_prints(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> D
                 ends = np.cumsum(n)
                 at = np.repeat(base[doc] + first, n) + np.arange(n.sum()) - np.repeat(ends - n, n)
                 prints = K.spans(sums, at, at + window)
+                if single:
+                    owner = np.repeat(doc, n)
+                    print_, place = pa.array(prints.view(np.int64)), pa.array((at - base[owner]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [print_, print_, batch.column(0).take(pa.array(owner + a)), place, place, place],
+                        ["gram", "whole", "row", "first", "last", "anchor"],
+                    )
+                    continue
                 raw = [prints[p:q].tobytes() for p, q in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(gram), batch.column(0).take(pa.array(doc + a)), pa.array(first.astype(np.int32)), pa.array(raw, pa.binary())],
@@ -79,29 +90,10 @@ def window_prints(texts: DataFrame, edges: DataFrame, window: int = WINDOW) -> D
                 )
 
     return texts.join(wanted, "row").select("row", "text", "edges", "doc_id").mapInArrow(
-        run, "gram long, row long, first int, prints binary"
+        K.tidy(run), OCCURRENCE if single else "gram long, row long, first int, prints binary"
     )
 
 
-def single_windows(prints: DataFrame) -> DataFrame:
-    """Every window of (gram, row, first, prints) as an occurrence of its own, for blocks too large for one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
-                raw = p.column(3).to_pylist()
-                n = np.array([len(x) // 8 for x in raw])
-                h = np.frombuffer(b"".join(raw), np.int64)
-                at = np.repeat(np.asarray(p.column(2)), n) + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                places = pa.array(at.astype(np.int32))
-                row = p.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(h), row, places, places, places], ["gram", "whole", "row", "first", "last", "anchor"]
-                )
-
-    return prints.mapInArrow(run, OCCURRENCE)
-
-
 def parse(prints: list[np.ndarray]) -> list[tuple[int, int, int]]:
     """Greedy factors (passage, first window, last window) of each passage relative to the others of its blocks.
 
@@ -168,7 +160,7 @@ def parse_blocks(rows: DataFrame) -> DataFrame:
                 ["row", "first", "last"],
             )
 
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "row long, first int, last int")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(K.tidy(run), "row long, first int, last int")
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
@@ -179,7 +171,7 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     texts = keyed(docs)
     large = edges.where(F.col("n_edge") > BLOCK)
     if large.limit(1).count():
-        more, _ = classify(single_windows(window_prints(texts, large, window)))  # a window's content is its anchor: none stays open
+        more, _ = classify(window_prints(texts, large, window, single=True))  # a window's content is its anchor: none stays open
         factors = factors.unionByName(more)
     return factors.unionByName(parse_blocks(window_prints(texts, edges.where(F.col("n_edge") <= BLOCK), window)))
 
@@ -234,7 +226,7 @@ def remove_duplicates(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, wi
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return keyed(docs).join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(
-        run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
+        K.tidy(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
     )
 
 

@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, n_words: int = 1) -> DataFra
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, fp binary, size long"
+        K.tidy(run), "doc_id long, fp binary, size long"
     )
 
 
@@ -119,7 +119,7 @@ def bit_statistics(fps: DataFrame, n_bits: int) -> tuple[int, np.ndarray]:
             [pa.array(range(n_bits + 1), pa.int32()), pa.array([[float(n)], *total.tolist()])], ["i", "c"]
         )
 
-    parts = fps.select("fp").mapInArrow(run, "i int, c array<double>")
+    parts = fps.select("fp").mapInArrow(K.tidy(run), "i int, c array<double>")
     sums = parts.groupBy("i").agg(
         *[F.sum(F.get("c", F.lit(j))).alias(f"c{j}") for j in range(n_bits)]
     )
@@ -351,7 +351,7 @@ def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v.ravel())], ["part", "value"])
 
     # Values of a thousandth of the rows or more, for the estimates: a thousand a part at most.
-    sizes = written(nodes.select("fp").mapInArrow(values, "part int, value long").groupBy("part", "value").count(), "cell-sizes")
+    sizes = written(nodes.select("fp").mapInArrow(K.tidy(values), "part int, value long").groupBy("part", "value").count(), "cell-sizes")
     heavy: dict[int, dict[int, int]] = {}
     for part, value, count in sizes.where(F.col("count") > max(cell // 4, n // 1000)).collect():
         heavy.setdefault(part, {})[value] = count
@@ -370,7 +370,7 @@ def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0
                         ["part", "value", "role", "node", "fp", "size"],
                     )
 
-    rows = nodes.select("node", "fp", "size").mapInArrow(spread, "part int, value long, role int, node long, fp binary, size long")
+    rows = nodes.select("node", "fp", "size").mapInArrow(K.tidy(spread), "part int, value long, role int, node long, fp binary, size long")
     rows = rows.join(large, ["part", "value"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("salts")).cast("int"))
     where = F.when(F.col("role") == 1, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
@@ -380,7 +380,7 @@ def links(nodes: DataFrame, budget: int, near: int, far: int, ratio: float = 0.0
         rows.select("part", "value", "salt", "late", "role", "node", "fp", "size")
         .repartition("part", "value", "salt")
         .sortWithinPartitions("part", "value", "salt", "late")
-        .mapInArrow(_cells(near, far, ratio, cell), "a long, b long")
+        .mapInArrow(K.tidy(_cells(near, far, ratio, cell)), "a long, b long")
     )
 
 
