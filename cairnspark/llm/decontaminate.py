@@ -1,8 +1,10 @@
 """Benchmark decontamination by greedy string tiling (running Karp-Rabin).
 
-1. Every run of SEED benchmark tokens is a seed. Documents are scanned for seeds and keep only the places they have.
-2. Seeds are joined to the benchmark items that hold them: only (document, item) pairs that share enough seeds to reach
-   the coverage at all go on (a tile of n tokens holds n - SEED + 1 seeds, so this loses no pair).
+1. Every run of SEED benchmark tokens is a seed. A bitmap of fixed size, with a bit for each seed's hash, goes to every
+   task; documents are scanned and keep the seeds whose bit is set.
+2. An item can only be covered as asked if it shares some number of its seeds, so that a document must share one of the
+   others once that many less one are put aside; put aside are the seeds that most items have. These rarest seeds join
+   documents with items, and pairs that share enough seeds in all go on: no pair is lost, and common phrases join nothing.
 3. Each pair is tiled: the longest unmarked common run is marked, again and again, with rolling hashes whose length
    falls until it is SEED. The share of the item's tokens under tiles is its coverage, so that reordered passages count
    in full.
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnspark.llm import kernels as K
@@ -24,8 +27,8 @@ from cairnspark.llm.shared import small_batches, table, written
 
 SEED = 5
 COVERAGE = 0.5
-#: Benchmarks of up to this many seeds (8 bytes each) are sent to every task; larger ones are joined by a shuffle.
-SENT_SEEDS = 2_000_000
+#: log2 of the bits of the bitmap of seeds (8 MB).
+BITMAP = 26
 _CLASS = np.zeros(256, bool)
 _CLASS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,7 +57,7 @@ def seeds(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def benchmark_seeds(benchmark: DataFrame, k: int) -> DataFrame:
-    """(item_id, n_tokens, tokens, k, seeds): items of fewer than `SEED` tokens are one seed of all their tokens."""
+    """(item_id, tokens, seeds): distinct seeds; items of fewer than k tokens have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,23 +74,34 @@ def benchmark_seeds(benchmark: DataFrame, k: int) -> DataFrame:
                 )
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        run, "item_id long, tokens binary, seeds array<long>"
+        K.tidy(run), "item_id long, tokens binary, seeds array<long>"
     )
 
 
-def document_hits(docs: DataFrame, known: np.ndarray | None, k: int) -> DataFrame:
-    """(doc_id, tokens, seeds) of documents; with `known` (sorted) only their seeds and only documents that have any."""
-    box = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+def seed_bitmap(items: DataFrame) -> np.ndarray:
+    """The bits of all seeds, as 64-bit words: at most 2 ** BITMAP / 64 rows come to the driver."""
+    bit = F.pmod(F.col("seed"), F.lit(1 << BITMAP))
+    words = (
+        items.select(F.explode("seeds").alias("seed")).select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(seed, 64) AS INT))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    )
+    out = np.zeros((1 << BITMAP) // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def document_hits(docs: DataFrame, bitmap: np.ndarray, k: int) -> DataFrame:
+    """(row, doc_id, tokens, seeds) of documents with a seed whose bit is set, and these seeds; row is the hash of id and text."""
+    box = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in K.slices(batch.column(1)):
                 h, row = tokens(data, offsets)
                 s, at = seeds(h, row, k)
-                if box is not None:
-                    j = np.searchsorted(box.value, s)
-                    hit = np.flatnonzero(box.value[np.minimum(j, len(box.value) - 1)] == s) if len(box.value) else []
-                    s, at = s[hit], at[hit]
+                bit = s & np.uint64((1 << BITMAP) - 1)
+                hit = np.flatnonzero((box.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                s, at = s[hit], at[hit]
                 own = row[at]
                 ids, toks, found = [], [], []
                 first = np.searchsorted(row, np.arange(b - a + 1))
@@ -96,13 +110,16 @@ def document_hits(docs: DataFrame, known: np.ndarray | None, k: int) -> DataFram
                     toks.append(h[first[i] : first[i + 1]].tobytes())
                     found.append(np.unique(s[own == i]).view(np.int64))
                 if ids:
+                    take = pa.array(ids)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(ids)), pa.array(toks, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                        ["doc_id", "tokens", "seeds"],
+                        [batch.column(2).take(take), batch.column(0).take(take), pa.array(toks, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                        ["row", "doc_id", "tokens", "seeds"],
                     )
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, tokens binary, seeds array<long>")
+    rows = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row")
+    )
+    return rows.mapInArrow(K.tidy(run), "row long, doc_id long, tokens binary, seeds array<long>")
 
 
 def tile(text: np.ndarray, item: np.ndarray, least: int) -> int:
@@ -162,34 +179,26 @@ def _matches(text, item, free_t, free_i, length) -> list[tuple[int, int, int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_tokens, covered, coverage) of pairs whose item is covered to `coverage` or more.
 
-    Null and empty texts, items of fewer than k tokens, and empty tables match nothing. Repeated doc_ids are joined as
-    one id: a pair is reported once, with its best coverage. Copies of an item are reported one by one.
+    Null and empty texts, items of fewer than k tokens (too short to tell), and empty tables match nothing. A pair is
+    reported once, with its best coverage over the texts of the doc_id. Copies of an item are reported one by one. Texts
+    of any length are tiled whole. Columns other than ids and texts are left out, so their names cannot clash.
     """
     small_batches(docs.sparkSession)
-    items = written(benchmark_seeds(benchmark.where("item_id is not null"), k), "benchmark-seeds")
-    flat = items.select("item_id", (F.length("tokens") / 8).cast("long").alias("n_tokens"), F.explode("seeds").alias("seed"))
-    known = None
-    if flat.select("seed").limit(SENT_SEEDS + 1).count() <= SENT_SEEDS:
-        known = np.sort(np.array([r[0] for r in flat.select("seed").distinct().collect()], np.int64).view(np.uint64))
-    hits = document_hits(docs, known, k)
-    if known is not None:
-        hits = written(hits, "benchmark-hits")
-    shared = (
-        hits.select("doc_id", F.explode("seeds").alias("seed"))
-        .join(flat, "seed")
-        .groupBy("doc_id", "item_id")
-        .agg(F.countDistinct("seed").alias("shared"), F.max("n_tokens").alias("n_tokens"))
-    )
+    items = written(benchmark_seeds(benchmark.where("item_id is not null"), k).where(F.size("seeds") > 0), "benchmark-seeds")
+    items = items.withColumn("item", F.xxhash64("item_id", "tokens")).withColumn("n_tokens", (F.length("tokens") / 8).cast("long"))
+    hits = written(document_hits(docs, seed_bitmap(items), k), "benchmark-hits")
     # Tiles of n >= k tokens hold n - k + 1 distinct places, so covering c tokens takes at least c / k shared seeds
-    # unless seeds repeat within the item; repeats are counted once, hence the bound by distinct seeds of the item.
-    distinct = items.select("item_id", F.size("seeds").alias("n_seeds"))
-    pairs = (
-        shared.join(distinct, "item_id")
-        .where((F.col("shared") * k >= F.ceil(F.col("n_tokens") * coverage)) | (F.col("n_seeds") + k - 1 < F.col("n_tokens")))
-        .select("doc_id", "item_id")
-    )
-    todo = pairs.join(hits.select("doc_id", F.col("tokens").alias("text")), "doc_id").join(
-        items.select("item_id", F.col("tokens").alias("item")), "item_id"
+    # unless seeds repeat within the item: then one will do.
+    least = F.when(F.size("seeds") + k - 1 < F.col("n_tokens"), 1).otherwise(F.ceil(F.ceil(F.col("n_tokens") * coverage) / k))
+    items = items.withColumn("least", F.greatest(least, F.lit(1)))
+    flat = items.select("item", F.explode("seeds").alias("seed"), (F.size("seeds") - F.col("least") + 1).alias("probes"))
+    flat = flat.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("seed")))
+    flat = flat.withColumn("place", F.row_number().over(W.partitionBy("item").orderBy("df", "seed"))).where("place <= probes")
+    pairs = hits.select("row", F.explode("seeds").alias("seed")).join(flat.select("item", "seed"), "seed").select("row", "item").distinct()
+    todo = (
+        pairs.join(hits.dropDuplicates(["row"]).select("row", "doc_id", F.col("tokens").alias("text"), F.col("seeds").alias("own")), "row")
+        .join(items.dropDuplicates(["item"]).select("item", "item_id", F.col("tokens").alias("wanted"), "seeds", "least"), "item")
+        .where(F.size(F.array_intersect("own", "seeds")) >= F.col("least"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +213,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = SEED, coverage
                 ["doc_id", "item_id", "n_tokens", "covered"],
             )
 
-    tiled = todo.select("doc_id", "item_id", "text", "item").mapInArrow(
-        run, "doc_id long, item_id long, n_tokens long, covered long"
+    tiled = todo.select("doc_id", "item_id", "text", "wanted").mapInArrow(
+        K.tidy(run), "doc_id long, item_id long, n_tokens long, covered long"
     )
     return (
         tiled.groupBy("doc_id", "item_id", "n_tokens")
