@@ -1,40 +1,42 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Per language, an order-4 character model over words: every word is padded with three word marks in front and one
-behind. Counts of all training words are summed in Spark (words by task, then four-grams by language). The model is a
-few sorted arrays of 64-bit n-gram hashes with one column of log-probabilities per language; texts are scored by binary
-search, each distinct word of a slice once. The language is that of the lowest cross-entropy per character.
-
-Confidence is a softmax over the per-character cross-entropies, its temperature fitted to the training texts; a text
-whose cross-entropy lies far above what its language's training texts have is rejected (see accept).
+behind. Spark counts the four-grams of all training words, and works out continuation counts, discounts (n1 / (n1 + 2 n2)
+of each order), probabilities and back-off weights by grouping and joining over (language, gram) rows; nothing is cut off.
+The model is sorted arrays of 64-bit n-gram hashes with one column of log-probabilities per language; texts are scored by
+binary search, each distinct word of a slice once. A model of more than MODEL_BYTES stays a table, and distinct words are
+scored by joins with it: the same numbers by another way. The language is that of the lowest cross-entropy per character.
+
+Confidence is a softmax over the per-character cross-entropies. Its temperature, and the cross-entropy of each language
+beyond which texts are rejected, are fitted to labelled rows that were left out of the counts.
 """
 
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.llm import kernels as K
-from cairnspark.llm.shared import small_batches, table
+from cairnspark.llm.shared import small_batches, table, written
 
 ORDER = 4
+#: Discount where an order has no grams of count one or two.
 DISCOUNT = 0.75
 PAD = "\x01"
-#: Bound of the model: the four-grams kept over all languages, the most frequent first. Counts cover every row.
-MAX_GRAMS = 2_000_000
-#: Bound of the calibration sample (rows); the training counts are not sampled.
-CALIBRATION_ROWS = 20_000
+#: Models of up to this size are sent to every task.
+MODEL_BYTES = 256 << 20
+#: Bounds of the calibration sample: share of a language's rows, and rows a language. No other row is left out of the counts.
+CALIBRATION_SHARE, CALIBRATION_ROWS = 0.1, 5000
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +60,13 @@ def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     _, one, place = np.unique(h, return_index=True, return_inverse=True)
     raw = data.tobytes()
     text = [raw[a:b].decode("utf-8", "ignore").lower() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-    return [w if w.isalpha() else _NOT_LETTER.sub(" ", w).strip() for w in text], place
+    return [w if w.isalpha() else letters(w) for w in text], place
+
+
+def letters(w: str) -> str:
+    """The runs of letters, with the marks that go with them, joined by blanks."""
+    kept = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in w)
+    return " ".join(p for p in kept.split() if any(c.isalpha() for c in p))
 
 
 def gram_codes(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +92,7 @@ def gram_codes(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return out, owner[at]
 
 
-def gram_table(words: list[str], weight: np.ndarray, order: int = ORDER) -> pd.Series:
+def gram_table(words: list[str], weight: np.ndarray, order: int = ORDER) -> dict[str, int]:
     """Counts of the four-grams (as strings) of weighted words."""
     total: dict[str, int] = {}
     for w, n in zip(words, weight.tolist(), strict=True):
@@ -112,7 +120,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for a, b, data, offsets in K.slices(batch.column(1)):
+            for a, b, data, offsets in K.slices(batch.column(1), 1 << 20):
                 s, e, row = runs(data, offsets)
                 words, place = distinct_words(data, s, e)
                 names, code = np.unique(np.array(langs[a:b], dtype=object), return_inverse=True)
@@ -123,18 +131,21 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     own = total.setdefault(name, {})
                     for g, c in gram_table([words[j] for j in used], n[used]).items():
                         own[g] = own.get(g, 0) + c
-            if sum(map(len, total.values())) > 500_000:
+            if sum(map(len, total.values())) > 200_000:
                 yield from flush()
         yield from flush()
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(
+    return rows.select("lang", "text").mapInArrow(K.tidy(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n")
     )
 
 
 @dataclass
 class Model:
-    """Sorted hash arrays: grams[n] and their log-probabilities, contexts[n] and their log back-off weights."""
+    """Sorted hash arrays: grams[n] and their log-probabilities, contexts[n] and their log back-off weights.
+
+    Where the model is too large for that, the arrays are empty and rows is the table of it: (context, n, key, value).
+    """
 
     langs: list[str]
     grams: list[np.ndarray]
@@ -144,6 +155,7 @@ class Model:
     floor: np.ndarray
     sharpness: float = 12.0
     limit: np.ndarray | None = None
+    rows: DataFrame | None = None
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log-probability per word and language, and scored characters per word."""
@@ -199,69 +211,102 @@ def _hash(grams: list[str]) -> np.ndarray:
     return h
 
 
-def fit_counts(counts: pd.DataFrame) -> Model:
-    """Interpolated Kneser-Ney from four-gram counts (lang, gram, n): continuation counts below the highest order."""
-    langs = sorted(counts["lang"].unique())
-    tables: list[dict[str, dict[str, float]]] = []  # per order 1..ORDER: gram -> lang -> probability
-    probs = {lang: {} for lang in langs}
-    weights: dict[str, list[dict[str, float]]] = {}
-    vocabulary = max(2, len({g[-1] for g in counts["gram"]}) + 1)
-    for lang in langs:
-        c = counts[counts["lang"] == lang]
-        level = [dict(zip(c["gram"], c["n"].astype(float), strict=True))]
-        for _ in range(ORDER - 1):
-            seen: dict[str, float] = {}
-            for g in level[-1]:
-                seen[g[1:]] = seen.get(g[1:], 0.0) + 1.0
-            level.append(seen)
-        level.reverse()
-        lower: dict[str, float] = {}
-        weights[lang] = []
-        for n, grams in enumerate(level, 1):
-            total: dict[str, float] = {}
-            kinds: dict[str, int] = {}
-            for g, x in grams.items():
-                total[g[:-1]] = total.get(g[:-1], 0.0) + x
-                kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-            weight = {h: DISCOUNT * kinds[h] / total[h] for h in total}
-            p = {}
-            for g, x in grams.items():
-                h = g[:-1]
-                below = lower[g[1:]] if n > 1 else 1.0 / vocabulary
-                p[g] = max(x - DISCOUNT, 0.0) / total[h] + weight[h] * below
-            weights[lang].append(weight)
-            probs[lang][n] = p
-            lower = p
-    floor = np.array([math.log(weights[x][0].get("", 1.0) / vocabulary) for x in langs])
-
-    def backed(lang: str, g: str) -> float:
-        """log-probability of the last character of g given the rest, backing off as far as needed."""
-        n, w = len(g), 0.0
-        while n:
-            p = probs[lang][n].get(g)
-            if p is not None:
-                return w + math.log(p)
-            w += math.log(weights[lang][n - 1].get(g[:-1], 1.0))
-            g, n = g[1:], n - 1
-        return w + math.log(1.0 / vocabulary)
-
-    grams, logp, contexts, backoff = [], [], [], []
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, n, gram, p, context, weight) for all orders of (lang, gram, n) four-gram counts, and the alphabet's size.
+
+    Below the highest order, a gram counts as often as there are different characters before it. weight is what the
+    gram's context leaves to the order below.
+    """
+    level = counts.select("lang", "gram", F.col("n").cast("double").alias("c"))
+    levels = [level]
+    for _ in range(ORDER - 1):
+        level = level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+        levels.insert(0, level)
+    alphabet = max(2, levels[0].select("gram").distinct().count() + 1)
+    out = []
+    for n, level in enumerate(levels, 1):
+        x = level.withColumn("context", F.substring("gram", 1, n - 1) if n > 1 else F.lit(""))
+        ones, twos = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+        cut = F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(F.lit(DISCOUNT))
+        x = x.join(x.groupBy("lang").agg(cut.alias("d")), "lang")
+        sums = x.groupBy("lang", "context").agg((F.first("d") * F.count(F.lit(1)) / F.sum("c")).alias("weight"), F.sum("c").alias("total"))
+        x = x.join(sums, ["lang", "context"])
+        if n == 1:
+            x = x.withColumn("below", F.lit(1.0 / alphabet))
+        else:
+            lower = out[-1].select("lang", F.col("gram").alias("rest"), F.col("p").alias("below"))
+            x = x.withColumn("rest", F.expr("substring(gram, 2)")).join(lower, ["lang", "rest"])
+        p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("below")
+        out.append(written(x.select("lang", F.lit(n).alias("n"), "gram", p.alias("p"), "context", "weight"), f"kneser-ney-{n}"))
+    return reduce(DataFrame.union, out), alphabet
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """(context, n, key, value) of rows (context boolean, n, gram, value): grams by the hash of gram_codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, n = batch.column(2).to_pylist(), np.asarray(batch.column(1))
+            key = np.zeros(len(grams), np.uint64)
+            for k in np.unique(n).tolist():
+                at = np.flatnonzero(n == k)
+                key[at] = _hash([grams[i] for i in at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key.view(np.int64)), batch.column(3)], ["context", "n", "key", "value"])
+
+    return rows.mapInArrow(K.tidy(run), "context boolean, n int, key long, value array<float>")
+
+
+def model_rows(levels: DataFrame, langs: list[str], alphabet: int) -> DataFrame:
+    """(context, n, key, value): per gram the log-probability in every language, per context the log back-off weight.
+
+    A language that lacks a gram backs off, with weight one where it lacks the context too.
+    """
+    every = F.array(*[F.lit(x) for x in langs])
+
+    def by_lang(value: Column) -> Column:
+        return F.map_from_entries(F.collect_list(F.struct(F.col("lang"), F.log(value).alias("v"))))
+
+    parts, lower = [], None
     for n in range(1, ORDER + 1):
-        every = sorted({g for x in langs for g in probs[x][n]})
-        key = _hash(every)
-        value = np.array([[backed(x, g) for x in langs] for g in every]).reshape(len(every), len(langs))
-        order = np.argsort(key)
-        grams.append(key[order])
-        logp.append(value[order])
+        x = levels.where(F.col("n") == n)
+        contexts = x.dropDuplicates(["lang", "context"]).groupBy("context").agg(by_lang(F.col("weight")).alias("w"))
+        grams = x.groupBy("gram").agg(by_lang(F.col("p")).alias("m"), F.first("context").alias("context")).join(contexts, "context", "left")
+        if n == 1:
+            grams = grams.withColumn("below", F.array_repeat(F.lit(math.log(1.0 / alphabet)), len(langs)))
+        else:
+            grams = grams.withColumn("rest", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("rest"), F.col("value").alias("below")), "rest")
+        value = F.transform(every, lambda x, i: F.coalesce(F.element_at("m", x), F.coalesce(F.element_at("w", x), F.lit(0.0)) + F.get("below", i)))
+        lower = written(grams.select("gram", value.alias("value")), f"log-probabilities-{n}")
+        parts.append(lower.select(F.lit(False).alias("context"), F.lit(n).alias("n"), "gram", F.col("value").cast("array<float>").alias("value")))
         if n > 1:
-            every = sorted({h for x in langs for h in weights[x][n - 1]})
-            key = _hash(every)
-            value = np.array([[math.log(weights[x][n - 1].get(h, 1.0)) for x in langs] for h in every])
-            order = np.argsort(key)
-            contexts.append(key[order])
-            backoff.append(value.reshape(len(every), len(langs))[order])
-    del tables
-    return Model(langs, grams, logp, contexts, backoff, floor)
+            weights = F.transform(every, lambda x: F.coalesce(F.element_at("w", x), F.lit(0.0))).cast("array<float>")
+            parts.append(contexts.select(F.lit(True).alias("context"), F.lit(n - 1).alias("n"), F.col("context").alias("gram"), weights.alias("value")))
+    return _hashed(reduce(DataFrame.union, parts))
+
+
+def fit_counts(counts: DataFrame) -> Model:
+    """The model of (lang, gram, n) four-gram counts."""
+    counts = written(counts, "four-grams")
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())  # one row per language
+    if not langs:
+        return Model([], [], [], [], [], np.zeros(0))
+    levels, alphabet = kneser_ney(counts)
+    rows = written(model_rows(levels, langs, alphabet), "language-model")
+    first = {r[0]: r[1] for r in levels.where("n = 1").groupBy("lang").agg(F.first("weight")).collect()}
+    floor = np.array([math.log(first[x] / alphabet) for x in langs])
+    if rows.count() * (8 + 4 * len(langs)) > MODEL_BYTES:
+        return Model(langs, [], [], [], [], floor, rows=rows)
+    found = rows.toArrow()
+    context, n, key = (np.asarray(found[c].combine_chunks()) if c != "context" else found[c].to_numpy() for c in ("context", "n", "key"))
+    value = np.asarray(found["value"].combine_chunks().flatten()).reshape(len(key), len(langs))
+    key, parts = key.view(np.uint64), []
+    for kind, orders in ((False, range(1, ORDER + 1)), (True, range(1, ORDER))):
+        for k in orders:
+            at = np.flatnonzero((n == k) & (context == kind))
+            at = at[np.argsort(key[at])]
+            parts.append((key[at], value[at]))
+    keys, values = [p[0] for p in parts], [p[1] for p in parts]
+    return Model(langs, keys[:ORDER], values[:ORDER], keys[ORDER:], values[ORDER:], floor)
 
 
 def slice_entropies(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,41 +323,113 @@ def slice_entropies(model: Model, data: np.ndarray, offsets: np.ndarray) -> tupl
     return -total / np.maximum(chars, 1)[:, None], chars
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model of the non-null languages of (doc_id, lang, text); counts over all rows, calibration on a sample."""
-    spark = labelled.sparkSession
-    small_batches(spark)
-    rows = labelled.where("lang is not null and text is not null")
-    grams = count_grams(rows)
-    counts = grams.orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toPandas()
-    if not len(counts):
-        return Model([], [], [], [], [], np.zeros(0))
-    model = fit_counts(counts)
-    box = spark.sparkContext.broadcast(model)
+def _sent_entropies(rows: DataFrame, columns: list[str], model: Model) -> DataFrame:
+    """rows' columns with chars and h, the scored characters and cross-entropies of text, by a model sent to every task."""
+    box = rows.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = box.value
         for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1)):
+            for a, b, data, offsets in K.slices(batch.column(0), 1 << 20):
                 h, chars = slice_entropies(m, data, offsets)
-                lang = batch.column(0).slice(a, b - a)
-                ok = chars > 0
+                own = [batch.column(i).slice(a, b - a) for i in range(1, len(columns) + 1)]
+                wide = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(m.langs), pa.int32()), pa.array(h.ravel()))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(chars), wide], [*columns, "chars", "h"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.select("text", *columns).mapInArrow(K.tidy(run), f"{kinds}, chars double, h array<double>")
+
+
+def _joined_entropies(rows: DataFrame, columns: list[str], model: Model) -> DataFrame:
+    """The same by joins with the table of a model of any size: distinct words meet it, and texts meet their words."""
+    row = F.xxhash64("text").alias("row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in K.slices(batch.column(0), 1 << 20):
+                s, e, at = runs(data, offsets)
+                words, place = distinct_words(data, s, e)
+                pair, n = np.unique(at * len(words) + place, return_counts=True) if len(words) else (np.zeros(0, np.int64),) * 2
+                owner, word = pair // max(1, len(words)), pair % max(1, len(words))
                 yield pa.RecordBatch.from_arrays(
-                    [lang.filter(pa.array(ok)), pa.array(chars[ok]), pa.array(h[ok].tolist(), pa.list_(pa.float64()))],
-                    ["lang", "chars", "h"],
+                    [batch.column(1).take(pa.array(owner + a)), pa.array([words[i] for i in word.tolist()], pa.string()), pa.array(n)], ["row", "word", "n"]
                 )
 
-    share = min(1.0, CALIBRATION_ROWS / max(1, rows.count()))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    sample = picked.select("lang", "text").mapInArrow(run, "lang string, chars double, h array<double>").toPandas()
-    _calibrate(model, sample)
+    texts = rows.where("text is not null").select("text", row).dropDuplicates(["row"])
+    held = written(texts.mapInArrow(K.tidy(cut), "row long, word string, n long").where("word <> ''").groupBy("row", "word").agg(F.sum("n").alias("n")), "text-words")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            codes, owner = gram_codes(words)
+            every = np.arange(len(codes))
+            keys = [codes[:, n - 1] for n in range(1, ORDER + 1)] + [_context_codes(codes, owner, every, n) for n in range(1, ORDER)]
+            kinds = [(False, n) for n in range(1, ORDER + 1)] + [(True, n) for n in range(1, ORDER)]
+            for (context, n), key in zip(kinds, keys, strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([words[i] for i in owner.tolist()], pa.string()), pa.array(every.astype(np.int32)),
+                        pa.array(np.full(len(key), context)), pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)),
+                    ],
+                    ["word", "pos", "context", "n", "key"],
+                )
+
+    words = held.select("word").distinct().mapInArrow(K.tidy(look), "word string, pos int, context boolean, n int, key long")
+    met = words.join(model.rows, ["context", "n", "key"], "left").groupBy("word", "pos").agg(
+        *[F.max(F.when((F.col("n") == n) & ~F.col("context"), F.col("value"))).alias(f"g{n}") for n in range(1, ORDER + 1)],
+        *[F.max(F.when((F.col("n") == n) & F.col("context"), F.col("value"))).alias(f"c{n}") for n in range(1, ORDER)],
+    )
+
+    def one(i: int) -> Column:
+        """The log-probability of a character in language i: the longest known gram, after the weights passed by."""
+        passed, value = F.lit(0.0), None
+        for n in range(ORDER, 0, -1):
+            here = (F.col(f"g{n}").isNotNull(), F.get(f"g{n}", F.lit(i)).cast("double") + passed)
+            value = F.when(*here) if value is None else value.when(*here)
+            if n > 1:
+                passed = passed + F.coalesce(F.get(f"c{n - 1}", F.lit(i)).cast("double"), F.lit(0.0))
+        return value.otherwise(passed + F.lit(float(model.floor[i])))
+
+    size = range(len(model.langs))
+    scores = met.groupBy("word").agg(F.count(F.lit(1)).alias("chars"), *[F.sum(one(i)).alias(f"s{i}") for i in size])
+    total = held.join(scores, "word").groupBy("row").agg(
+        F.sum(F.col("n") * F.col("chars")).cast("double").alias("chars"), *[F.sum(F.col("n") * F.col(f"s{i}")).alias(f"s{i}") for i in size]
+    )
+    total = total.select("row", "chars", F.array(*[-F.col(f"s{i}") / F.col("chars") for i in size]).alias("h"))
+    none = F.array_repeat(F.lit(0.0), len(model.langs))
+    return rows.join(total, F.xxhash64("text") == total["row"], "left").select(
+        *columns, F.coalesce("chars", F.lit(0.0)).alias("chars"), F.coalesce("h", none).alias("h")
+    )
+
+
+def entropies(rows: DataFrame, columns: list[str], model: Model) -> DataFrame:
+    return (_sent_entropies if model.rows is None else _joined_entropies)(rows, columns, model)
+
+
+def train(labelled: DataFrame) -> Model:
+    """A model of the non-null languages of (doc_id, lang, text).
+
+    Counts are over all rows but the calibration sample: at most a tenth of a language's rows, and CALIBRATION_ROWS.
+    Languages whose rows have no letter, and empty tables, give no language.
+    """
+    small_batches(labelled.sparkSession)
+    rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(CALIBRATION_SHARE), F.lit(CALIBRATION_ROWS) / F.col("n"))
+    dealt = rows.join(F.broadcast(sizes), "lang")  # one row per language
+    dealt = dealt.withColumn("held", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share * 1_000_000)
+    model = fit_counts(count_grams(dealt.where("not held")))
+    if model.langs:
+        sample = dealt.where("held").where(F.col("lang").isin(model.langs))
+        sample = entropies(sample, ["lang"], model).where("chars > 0").select("lang", "chars", "h").toArrow()
+        _calibrate(model, sample["lang"].to_pylist(), sample["chars"].to_numpy(), sample["h"].to_pylist())
     return model
 
 
-def _calibrate(model: Model, sample: pd.DataFrame) -> None:
+def _calibrate(model: Model, langs: list[str], chars: np.ndarray, found: list[list[float]]) -> None:
     """Temperature with the best likelihood of the true languages; per language, the entropy beyond which to reject."""
-    h = np.array(sample["h"].tolist()).reshape(len(sample), len(model.langs))
-    true = np.searchsorted(model.langs, sample["lang"].to_numpy(dtype=object).astype(str))
+    h = np.array(found, float).reshape(len(langs), len(model.langs))
+    true = np.searchsorted(model.langs, langs) if langs else np.zeros(0, int)
     best = (math.inf, model.sharpness)
     for k in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
         z = -k * (h - h.min(1, keepdims=True))
@@ -320,7 +437,7 @@ def _calibrate(model: Model, sample: pd.DataFrame) -> None:
     model.sharpness = best[1]
     pick, limit = h.argmin(1) if len(h) else np.zeros(0, int), np.full(len(model.langs), np.inf)
     for i in range(len(model.langs)):
-        own = h[(true == i) & (pick == i) & (sample["chars"].to_numpy() >= 40), i]
+        own = h[(true == i) & (pick == i) & (chars >= 40), i]
         if len(own) >= 20:
             middle, spread = np.median(own), np.quantile(own, 0.75) - np.quantile(own, 0.25)
             limit[i] = max(np.quantile(own, 0.999), middle + 8 * spread) + 0.25
@@ -331,31 +448,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, accepted): `und` with score 0, rejected, for null texts and texts without a letter.
 
     score is the calibrated confidence in 0..1; accepted is false where the cross-entropy is above the language's limit.
-    Works row by row: repeated and null doc_ids keep their rows.
+    One row out for each row in, whatever its doc_id; of equal entropies the first language by name wins. A text of any
+    length is scored whole. Columns other than doc_id and text are left out, so their names cannot clash.
     """
-    box = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS
-
-    def run(batches):
-        m = box.value
-        names = np.array([*m.langs, "und"], dtype=object)
-        for batch in batches:
-            for a, b, data, offsets in K.slices(batch.column(1)):
-                if m.langs:
-                    h, chars = slice_entropies(m, data, offsets)
-                    ok = chars > 0
-                    best = h.argmin(1)
-                    z = np.exp(-m.sharpness * (h - h.min(1, keepdims=True)))
-                    score = np.where(ok, 1.0 / z.sum(1), 0.0)
-                    fine = ok & (h[np.arange(len(h)), best] <= m.limit[best])
-                    pred = names[np.where(ok, best, len(m.langs))]
-                else:
-                    pred, score, fine = np.array(["und"] * (b - a), dtype=object), np.zeros(b - a), np.zeros(b - a, bool)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(score), pa.array(fine)],
-                    ["doc_id", "lang_pred", "score", "accepted"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    if not model.langs:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
+    least = F.array_min("h")
+    best = F.array_position("h", least).cast("int")
+    others = F.aggregate("h", F.lit(0.0), lambda z, x: z + F.exp(-model.sharpness * (x - least)))
+    limit = F.element_at(F.array(*[F.lit(float(x)) for x in model.limit]), best)
+    told = F.col("chars") > 0
+    return entropies(docs.select("doc_id", "text"), ["doc_id"], model).select(
+        "doc_id", F.when(told, F.element_at(F.array(*[F.lit(x) for x in model.langs]), best)).otherwise("und").alias("lang_pred"),
+        F.when(told, 1.0 / others).otherwise(0.0).alias("score"), (told & (least <= limit)).alias("accepted"),
+    )
 
 
 def fold(column: str = "doc_id"):
