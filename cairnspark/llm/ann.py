@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairnspark.llm import kernels as K
 from cairnspark.llm.shared import table, written
 
 #: Rows, at most, that graph, parts and classifier are fitted on; rows of one cell; recall aimed at on the sample.
@@ -150,19 +151,21 @@ def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBa
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
-    s = q @ x.T
-    s[q_ids[:, None] == ids[None, :]] = -np.inf
-    k = min(top, len(ids))
-    least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-    out_q, out_v, out_s = [], [], []
-    for i in range(len(q)):
-        near = np.flatnonzero((s[i] >= least[i] - slack[i]) & np.isfinite(s[i]))
-        exact = (x[near] * q[i]).sum(1)  # the same order of addition for every row, so equal vectors tie
-        order = np.lexsort((ids[near], -exact))[:top]
-        out_q.append(np.full(len(order), q_ids[i]))
-        out_v.append(ids[near[order]])
-        out_s.append(exact[order])
+    own = q_ids[:, None] == ids[None, :]
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        s[own] = -np.inf
+        k = min(top, len(ids))
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+        out_q, out_v, out_s = [], [], []
+        for i in range(len(q)):
+            near = np.flatnonzero((s[i] >= least[i] - slack[i]) & ~own[i])
+            exact = (x[near] * q[i]).sum(1)  # the same order of addition for every row, so equal vectors tie
+            order = np.lexsort((ids[near], -exact))[:top]
+            out_q.append(np.full(len(order), q_ids[i]))
+            out_v.append(ids[near[order]])
+            out_s.append(exact[order])
     if out_q:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"]
@@ -172,8 +175,10 @@ def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, top:
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the `top` nearest rows found, by inner product.
 
-    A row with the query's own vec_id is no candidate. Ties go to the smaller vec_id. Both inputs come from usable().
-    Vectors whose dimension differs from the most common one take no part. Empty tables give an empty result.
+    A row with the query's own vec_id is no candidate. Ties go to the smaller vec_id. Both inputs come from usable(),
+    which leaves other columns out. Vectors whose dimension differs from the most common one take no part. Repeated rows
+    are candidates and queries of their own; a product beyond double precision counts as infinite. Empty tables give an
+    empty result.
     """
     spark = vectors.sparkSession
     n = vectors.count()
@@ -207,13 +212,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target: floa
         return run
 
     out = "vec_id long, v array<double>, parts array<int>"
-    stored = written(vectors.mapInArrow(route(1), out).select("vec_id", "v", F.get("parts", F.lit(0)).alias("part")), "vectors")
+    stored = written(vectors.mapInArrow(K.tidy(route(1)), out).select("vec_id", "v", F.get("parts", F.lit(0)).alias("part")), "vectors")
     salts = stored.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"))  # a row per part
     stored = stored.join(F.broadcast(salts), "part").select(
         "part", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("ask"), "vec_id", "v"
     )
     asked = (
-        queries.mapInArrow(route(probes), out)
+        queries.mapInArrow(K.tidy(route(probes)), out)
         .select("vec_id", "v", F.explode("parts").alias("part"))
         .join(F.broadcast(salts), "part")
         .select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("ask"), "vec_id", "v")
@@ -222,7 +227,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target: floa
         stored.unionByName(asked)
         .repartition("part", "salt")
         .sortWithinPartitions("part", "salt", "ask")
-        .mapInArrow(lambda it: _search(it, top), "query_id long, vec_id long, score double")
+        .mapInArrow(K.tidy(lambda it: _search(it, top)), "query_id long, vec_id long, score double")
     )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

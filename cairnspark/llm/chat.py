@@ -1,8 +1,9 @@
 r"""Chat formatting by schema fingerprints.
 
-A record's layout is told by the hash of its sorted nested field paths (array items as []). The hash selects a
+A record's layout is told by the hash of all its sorted nested field paths (array items as []). The hash selects a
 declarative mapping, which turns prompt/completion, instruction, message-list and row-per-turn layouts into canonical
-turns (role, text). The template marks each turn:
+turns (role, text). A hash that is not known is settled once, by the layout with the most fields among those whose
+fields the record has, and remembered; so records may carry any further fields. The template marks each turn:
 
     <turn ROLE>\nTEXT\n</turn>\n
 
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnspark.llm.shared import table
+from cairnspark.llm import kernels as K
+from cairnspark.llm.shared import aside, table
 
 #: What would be read as control if it stood in a text: turn marks, and header lines of common chat layouts.
 _CONTROL = re.compile(r"\\|</?turn|###|<\||\|>")
@@ -57,7 +59,25 @@ def fingerprint(paths: list[str]) -> int:
     return xxhash.xxh64_intdigest("\n".join(sorted(set(paths))))
 
 
-BY_FINGERPRINT = {fingerprint(v["paths"]): k for k, v in LAYOUTS.items()}
+BY_FINGERPRINT: dict[int, str | None] = {fingerprint(v["paths"]): k for k, v in LAYOUTS.items()}
+#: Fingerprints that a worker remembers beyond those.
+REMEMBERED = 100_000
+
+
+def select_layout(paths: list[str]) -> str | None:
+    """The layout of records with these field paths, looked up by their fingerprint; None if there is none."""
+    key = fingerprint(paths)
+    if key not in BY_FINGERPRINT:
+        # A list without items shows as its own path; it stands for any fields of items.
+        have, empty = set(paths), [p for p in paths if p.endswith("[]")]
+        fits = [
+            (len(v["paths"]), k) for k, v in LAYOUTS.items()
+            if all(p in have or any(p.startswith(e + ".") for e in empty) for p in v["paths"])
+        ]
+        if len(BY_FINGERPRINT) >= REMEMBERED:
+            return max(fits)[1] if fits else None
+        BY_FINGERPRINT[key] = max(fits)[1] if fits else None
+    return BY_FINGERPRINT[key]
 
 
 def value_paths(value: Any, at: str = "") -> Iterator[str]:
@@ -66,6 +86,8 @@ def value_paths(value: Any, at: str = "") -> Iterator[str]:
         for k, v in value.items():
             yield from value_paths(v, f"{at}.{k}" if at else k)
     elif isinstance(value, list):
+        if not value:
+            yield f"{at}[]"
         for v in value:
             yield from value_paths(v, f"{at}[]")
     else:
@@ -83,21 +105,22 @@ def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
         yield at
 
 
-def canonical_turns(record: Any) -> list[tuple[str, str]] | None:
-    """Turns of a JSON record, or None if no layout has its fingerprint. Null texts count as empty in lists."""
-    name = BY_FINGERPRINT.get(fingerprint(list(value_paths(record))))
+def canonical_turns(record: Any) -> tuple[str | None, list[tuple[str, str]] | None]:
+    """Layout and turns of a JSON record, or nulls if no layout fits. Null texts count as empty in lists."""
+    name = select_layout(list(value_paths(record)))
     layout = LAYOUTS.get(name or "")
     if layout is None or layout["kind"] == "rows":
-        return None
+        return None, None
+    shown = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if layout["kind"] == "list":
-        turns = [(m.get(layout["role"]), m.get(layout["text"])) for m in record[layout["list"]]]
-        return [(ROLES.get(r, r) or "", "" if t is None else str(t)) for r, t in turns]
+        turns = [m if isinstance(m, dict) else {} for m in record[layout["list"]]]
+        return name, [(ROLES.get(shown(m.get(layout["role"])), shown(m.get(layout["role"]))), shown(m.get(layout["text"]))) for m in turns]
     out = []
     for role, fields in layout["fields"]:
-        parts = [str(record[f]) for f in fields if record.get(f) not in (None, "")]
+        parts = [shown(record[f]) for f in fields if record.get(f) not in (None, "")]
         if parts:
             out.append((role, "\n\n".join(parts)))
-    return out
+    return name, out
 
 
 def escape(text: str, control: re.Pattern = _CONTROL) -> str:
@@ -123,8 +146,11 @@ def parse(output: str) -> list[tuple[str, str]]:
 def format_records(records: DataFrame, column: str = "record") -> DataFrame:
     """Adds layout, formatted and mask (code point ranges of assistant texts) to rows of JSON records.
 
-    Rows that are null, no JSON or of an unknown layout get nulls. One row in, one row out.
+    Rows that are null, no JSON or of no known layout get nulls; further fields are ignored, and a list without turns
+    gives an empty output. One row in, one row out, repeated rows too; a record of any length within its row; an empty
+    table gives an empty one. A column of the caller named layout, formatted or mask is kept as layout_in and so on.
     """
+    records = aside(records, "layout", "formatted", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,8 +159,7 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
                 turns = name = None
                 try:
                     record = json.loads(raw) if raw is not None else None
-                    turns = canonical_turns(record) if isinstance(record, dict) else None
-                    name = BY_FINGERPRINT.get(fingerprint(list(value_paths(record)))) if turns is not None else None
+                    name, turns = canonical_turns(record) if isinstance(record, dict) else (None, None)
                 except ValueError:
                     pass
                 at, text, mask = 0, [], []
@@ -153,23 +178,21 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
             )
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
-    return records.mapInArrow(run, f"{base}, layout string, formatted string, mask array<array<int>>")
+    return records.mapInArrow(K.tidy(run), f"{base}, layout string, formatted string, mask array<array<int>>")
 
 
 def format_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, formatted, begin, end) of row-per-turn tables: one turn's output per row.
 
-    The layout is looked up by the fingerprint of the schema's field paths; other columns than those of the layout are
-    left out. Null roles and texts count as empty. A conversation's output is its turns' outputs in order of turn (ties
-    by role, then text; null turns first). begin..end are the code points that hold the text; it is under the loss mask
-    for the role assistant.
+    The layout is selected by the fingerprint of the table's field paths; columns that the layout does not name are left
+    out. Null roles and texts count as empty. A conversation's output is its turns' outputs in order of turn (ties by
+    role, then text; null turns first); repeated rows are repeated turns. begin..end are the code points that hold the
+    text; it is under the loss mask for the role assistant. An empty table gives an empty one.
     """
-    want = LAYOUTS["rows"]["paths"]
-    have = [p for p in schema_paths(rows.schema) if p in want]
-    name = BY_FINGERPRINT.get(fingerprint(have))
-    if name != "rows":
-        raise ValueError(f"no layout for the fields {sorted(rows.columns)}")
-    layout = LAYOUTS[name]
+    name = select_layout(list(schema_paths(rows.schema)))
+    layout = LAYOUTS.get(name or "", {})
+    if layout.get("kind") != "rows":
+        raise ValueError(f"no row-per-turn layout for the fields {sorted(rows.columns)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +208,7 @@ def format_rows(rows: DataFrame) -> DataFrame:
             )
 
     return rows.select("conv_id", "turn", F.col(layout["role"]).alias("role"), F.col(layout["text"]).alias("text")).mapInArrow(
-        run, "conv_id long, turn long, role string, formatted string, begin long, end long"
+        K.tidy(run), "conv_id long, turn long, role string, formatted string, begin long, end long"
     )
 
 
@@ -233,14 +256,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     in_order = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return in_order.select("conv_id", "turn", "role", "formatted", "begin", "end").mapInArrow(
-        run,
+        K.tidy(run),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""All conversations, and conversation -7, whose texts look like control strings; read back from the output."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations")
     odd = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    return read_back(format_rows(rows.unionByName(more)))
+    return read_back(format_rows(rows.unionByName(more, allowMissingColumns=True)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.shared import table, written
+from cairnspark.llm.shared import aside, table, written
 
 #: log2 of the registers of a sketch; the standard error is about 1.04 / sqrt(2 ** LG_K) = 3.25 %.
 LG_K = 10
@@ -18,15 +18,16 @@ LG_K = 10
 MARGIN = 0.25
 
 
-def line_hashes(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
-    """(doc_id, pos, line, site) of every line of at least min_chars characters, as a 128-bit hash pair.
+def line_hashes(docs: DataFrame, site: str) -> DataFrame:
+    """(row, pos, line, site) of every line that is not empty, as a 128-bit hash pair; row is the hash of doc_id and text.
 
     A line is what stands between line feeds, without spaces around it.
     """
     cut = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x))
-    rows = docs.where("text is not null").select("doc_id", F.col(site).alias("site"), F.posexplode(cut).alias("pos", "line"))
-    return rows.where(F.length("line") >= min_chars).select(
-        "doc_id", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("line"), "site"
+    row = F.xxhash64("doc_id", "text").alias("row")
+    rows = docs.where("text is not null").select(row, F.col(site).alias("site"), F.posexplode(cut).alias("pos", "line"))
+    return rows.where(F.length("line") > 0).select(
+        "row", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("line"), "site"
     )
 
 
@@ -54,30 +55,33 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return likely.where(~near).select("line", F.col("about").alias("n_sites"), F.lit(False).alias("exact")).unionByName(exact)
 
 
-def removed_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 20) -> DataFrame:
-    """(doc_id, gone): positions, from 0, of the boilerplate lines of each document that has any."""
-    lines = line_hashes(docs, site, min_chars)
+def removed_lines(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
+    """(row, gone): positions, from 0, of the boilerplate lines of each text that has any."""
+    lines = line_hashes(docs, site)
     common = boilerplate(lines, min_sites).select("line")
-    return lines.join(common, "line", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    return lines.join(common, "line", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("gone"))
 
 
-def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10, min_chars: int = 20) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
     """docs with boilerplate lines taken out of text; adds n_lines and n_removed.
 
-    Null texts stay null with n_lines 0. Documents with no boilerplate keep their text byte for byte. An empty table
-    gives an empty one; repeated doc_ids are treated as one document's positions (keep ids unique for exact removal).
+    Null texts stay null with n_lines 0; empty lines stay. Documents with no boilerplate keep their text byte for byte.
+    Rows with a null site keep a say in nothing but lose boilerplate too. Repeated rows, and rows of one doc_id with
+    different texts, are rows of their own. An empty table gives an empty one; a text of any length is split within its
+    row. A column of the caller named n_lines or n_removed is kept as n_lines_in or n_removed_in.
     """
-    gone = removed_lines(docs, site, min_sites, min_chars).withColumnRenamed("doc_id", "__id").withColumnRenamed("gone", "__gone")
+    found = removed_lines(docs, site, min_sites)
+    docs = aside(docs, "n_lines", "n_removed", "__row", "__gone")
+    gone = found.withColumnRenamed("row", "__row").withColumnRenamed("gone", "__gone")
     cut = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    none = F.lit(0).cast("long")
     return (
-        docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-        .withColumn("n_lines", F.coalesce(F.size(cut), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_removed")))
+        docs.join(gone, F.xxhash64("doc_id", "text") == F.col("__row"), "left")
+        .withColumn("n_lines", F.when(F.col("text").isNull(), none).otherwise(F.size(cut).cast("long")))
+        .withColumn("n_removed", F.when(F.col("__gone").isNull(), none).otherwise(F.size("__gone").cast("long")))
         .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-        .drop("__id", "__gone")
+        .drop("__row", "__gone")
     )
 
 
@@ -95,7 +99,7 @@ WITH cut AS (
 ), lines AS (
   SELECT doc_id, source, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM cut
 ), common AS (
-  SELECT trim(raw, ' ') AS line FROM lines WHERE length(trim(raw, ' ')) >= 20
+  SELECT trim(raw, ' ') AS line FROM lines WHERE length(trim(raw, ' ')) > 0
   GROUP BY 1 HAVING count(DISTINCT source) >= 10
 ), marked AS (
   SELECT l.doc_id, l.pos, l.raw, c.line IS NOT NULL AS gone

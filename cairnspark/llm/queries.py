@@ -29,6 +29,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; a null text counts as empty."""
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), piece_model())
 
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from cairnspark.llm import kernels as K
 from cairnspark.llm.shared import small_batches
 
 MARK = "▁".encode()
@@ -117,12 +118,13 @@ class Codec:
                     pieces.append(byte)
                     at_list.append(i)
                 i += known[0]
-            if self.squeeze:
-                keep = [
-                    j for j, c in enumerate(pieces)
-                    if c != 0x20 or (j + 1 < len(pieces) and pieces[j + 1] != 0x20 and any(p != 0x20 for p in pieces[:j][-1:]))
-                ]
-                pieces, at_list = [pieces[j] for j in keep], [at_list[j] for j in keep]
+            if self.squeeze:  # blanks at either end go, and of several the first stays
+                blank = np.array([c == 0x20 for c in pieces], bool)
+                inner = np.flatnonzero(~blank)
+                first, last = (inner[0], inner[-1]) if len(inner) else (len(blank), -1)
+                place = np.arange(len(blank))
+                stays = ~blank | ((place > first) & (place < last) & ~np.concatenate([[False], blank[:-1]]))
+                pieces, at_list = [pieces[j] for j in np.flatnonzero(stays)], [at_list[j] for j in np.flatnonzero(stays)]
             joined, wide = [], []
             for c, j in zip(pieces, at_list, strict=True):
                 new = MARK if c == 0x20 and self.escape else bytes([c])
@@ -145,17 +147,27 @@ class Codec:
         A character that is spelled in byte pieces gives each of them its own byte.
         """
         out, at = self.normalise(text.encode())
-        ends = np.cumsum(self.piece_bytes[ids])
-        if len(ends) and ends[-1] != len(out):  # an unknown piece covers what no other piece does
-            missing = len(out) - int(ends[-1])
-            unknown = np.flatnonzero(ids == self.sp.unk_id())
-            if len(unknown):
-                sizes = self.piece_bytes[ids].copy()
-                sizes[unknown[0]] += missing
-                ends = np.cumsum(sizes)
+        sizes = self.piece_bytes[ids].copy()
+        if int(sizes.sum()) != len(out):  # unknown pieces cover what no other piece does
+            self._unknown_sizes(out, ids, sizes)
+        ends = np.cumsum(sizes)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return at[np.minimum(starts, len(out))], at[np.minimum(ends, len(out))]
 
+    def _unknown_sizes(self, out: bytes, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Sizes of unknown pieces: each reaches to the next place where the piece after it stands."""
+        unknown, at, listed = self.sp.unk_id(), 0, ids.tolist()
+        after, follows = b"", [b""] * len(listed)
+        for i in range(len(listed) - 1, -1, -1):
+            follows[i] = after
+            if self.piece_bytes[listed[i]]:
+                after = self.sp.id_to_piece(listed[i]).encode()
+        for i, x in enumerate(listed):
+            if x == unknown:
+                end = out.find(follows[i], at + 1) if follows[i] else len(out)
+                sizes[i] = (end if end >= 0 else len(out)) - at
+            at += int(sizes[i])
+
     def decode(self, ids: np.ndarray) -> str:
         return self.sp.decode(ids.tolist())
 
@@ -172,7 +184,10 @@ def text_slices(column: pa.Array, rows: int = 64) -> Iterator[tuple[int, list[st
 
 
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id") -> DataFrame:
-    """(id, ids, begins, ends) of every row; a null text counts as empty and gets the begin and end ids alone."""
+    """(id, ids, begins, ends) of every row; a null text counts as empty and gets the begin and end ids alone.
+
+    Repeated rows stay repeated, an empty table stays empty, other columns are left out.
+    """
     with open(model_path, "rb") as f:
         model = f.read()  # a vocabulary file: its size is fixed, well under a megabyte
 
@@ -194,7 +209,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id") -> DataF
 
     rows = docs.select(docs[id_column].alias("id"), "text")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>").withColumnRenamed(
+    return rows.mapInArrow(K.tidy(run), f"id {kind}, ids array<int>, begins array<int>, ends array<int>").withColumnRenamed(
         "id", id_column
     )
 
@@ -202,6 +217,9 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id") -> DataF
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and spans_sha256 over the projected spans.
 
+    One row out for each row in, whatever its doc_id; null and empty texts have the begin and end ids alone. A text of
+    any length is encoded whole. Columns other than doc_id and text are left out, so their names cannot clash.
+
     ids are digested as little-endian unsigned 32-bit integers, spans as pairs of them, decoded text as UTF-8.
     """
     import hashlib
@@ -227,5 +245,5 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+        K.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
     )

@@ -388,46 +388,107 @@ def test_op4_reordered_passages(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0 == decontaminate.contamination(docs, bench.limit(0)).count()
 
 
-def test_op4_shuffle_join_of_large_benchmarks(spark, monkeypatch):
-    a = sorted(tuple(r) for r in decontaminate.op4_tiling(spark, SF).collect())
-    monkeypatch.setattr(decontaminate, "SENT_SEEDS", 0)
-    assert sorted(tuple(r) for r in decontaminate.op4_tiling(spark, SF).collect()) == a and a
+@pytest.mark.parametrize("bits", [26, 8])
+def test_op4_brute_force(spark, texts, monkeypatch, bits):
+    """The query's pairs against tiling every pair, with a bitmap that tells seeds apart and one that hardly does."""
+    monkeypatch.setattr(decontaminate, "BITMAP", bits)
+
+    def toks(t):
+        return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    items = {r.item_id: toks(r.text) for r in shared.table(spark, SF, "benchmark").collect()}
+    want = {}
+    for d, t in texts.items():
+        doc = toks(t)
+        have = {tuple(doc[i : i + 5]) for i in range(len(doc) - 4)}
+        for i, item in items.items():
+            # What no tile of five can reach needs no tiling.
+            if len(item) >= 5 and 5 * sum(tuple(item[j : j + 5]) in have for j in range(len(item) - 4)) >= len(item) / 2:
+                code = {w: n for n, w in enumerate(dict.fromkeys(doc + item))}
+                covered = brute_tiles([code[w] for w in doc], [code[w] for w in item], 5)
+                if covered >= len(item) / 2:
+                    want[d, i] = (len(item), covered)
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.covered) for r in decontaminate.op4_tiling(spark, SF).collect()}
+    assert got == want and want
+
+
+def test_op4_common_phrases_and_rows_of_one_id(spark):
+    common = "as an answer please choose the right one of these"
+    docs = [(i, f"{common} no. {i}") for i in range(30)] + [(1, " ".join(f"w{j}x3" for j in range(12)))]
+    items = [(i, f"{common} " + " ".join(f"w{j}x{i}" for j in range(12))) for i in range(20)] + [(3, "w0x3 w1x3 w2x3 w3x3 w4x3 w5x3"), (None, common)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("seeds", F.lit(1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.lit(1))
+    got = {(r.doc_id, r.item_id, r.n_tokens): r.covered for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {(1, 3, 22): 12, (1, 3, 6): 6}
 
 
 # --- op5 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_op5_probabilities_sum_to_one():
-    import pandas as pd
-
-    words = ["abba", "abc", "cab", "bab"]
-    rows = [("x", g, n) for g, n in language.gram_table(words, np.array([3, 1, 2, 1])).items()]
-    m = language.fit_counts(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
-    for stem in ("ab", "", "ca", "zz"):
-        total = 0.0
-        for c in "abc\x01":
-            # Score of the character alone: the difference between the words with and without it.
-            pieces = language.PAD * 3 + stem + c
-            codes = language._hash([pieces[-4:]])
-            at, found = language._find(m.grams[3], codes)
-            p = m.logp[3][at[0], 0] if found[0] else None
-            if p is None:
-                w, g = 0.0, pieces[-4:]
-                while g:
-                    n = len(g)
-                    at, found = language._find(m.grams[n - 1], language._hash([g]))
-                    if found[0]:
-                        p = w + m.logp[n - 1][at[0], 0]
-                        break
-                    if n > 1:
-                        at, found = language._find(m.contexts[n - 2], language._hash([g[:-1]]))
-                        w += m.backoff[n - 2][at[0], 0] if found[0] else 0.0
-                    g = g[1:]
-                else:
-                    p = w + m.floor[0]
-            total += math.exp(p)
-        # All characters are a, b, c, the mark and one unseen; the unseen one has what is left.
-        assert 0.6 < total <= 1.0 + 1e-9
+def brute_kneser_ney(counts, langs):
+    """log p(character | context) by the textbook recursion, over dicts: a function of (lang, gram of any length)."""
+    alphabet = max(2, len({g[-1] for _, g in counts}) + 1)
+    level = {4: dict(counts)}
+    for n in (3, 2, 1):
+        level[n] = collections.Counter((x, g[1:]) for x, g in level[n + 1])
+
+    def cut(x, n):
+        c = collections.Counter(v for (y, _), v in level[n].items() if y == x)
+        return c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else language.DISCOUNT
+
+    d = {(x, n): cut(x, n) for x in langs for n in level}
+
+    def p(x, g):
+        if not g:
+            return 1.0 / alphabet
+        n, followers = len(g), [v for (y, k), v in level[len(g)].items() if y == x and k[:-1] == g[:-1]]
+        if not followers:
+            return p(x, g[1:])
+        return max(level[n].get((x, g), 0) - d[x, n], 0) / sum(followers) + d[x, n] * len(followers) / sum(followers) * p(x, g[1:])
+
+    return p
+
+
+WORDS = {"x": (["abba", "abc", "cab", "bab", "abacus"], [3, 1, 2, 1, 1]), "y": (["abba", "zoo", "oz", "zab"], [1, 5, 2, 1])}
+
+
+def gram_counts(spark):
+    rows = [(x, g, n) for x, (w, k) in WORDS.items() for g, n in language.gram_table(w, np.array(k)).items()]
+    return {(x, g): n for x, g, n in rows}, language.fit_counts(spark.createDataFrame(rows, "lang string, gram string, n long"))
+
+
+def test_op5_probabilities_brute_force(spark):
+    """Every scored word equals the textbook recursion, and the characters' probabilities sum to one in any context."""
+    counts, m = gram_counts(spark)
+    p = brute_kneser_ney(counts, ["x", "y"])
+    for w in ["abba", "abz", "q", "zzzz", "oab", "bac"]:
+        padded = language.PAD * 3 + w + language.PAD
+        score, size = m.score([w])
+        for j, x in enumerate(m.langs):
+            want = sum(math.log(p(x, padded[i - 3 : i + 1])) for i in range(3, len(padded)))
+            assert abs(score[0, j] - want) < 1e-4 and size[0] == len(w) + 1
+    for x in "xy":
+        for context in ("aba", "zzz", "\x01\x01a", "qab"):
+            total = sum(p(x, context + c) for c in "abcsuzo\x01")
+            assert abs(total + p(x, context + "?") - 1) < 1e-9  # one place of the alphabet is for the unseen
+
+
+def test_op5_large_models_score_by_joins(spark, monkeypatch):
+    """The way for models that cannot be sent gives the same cross-entropies."""
+    rows = spark.createDataFrame([(1, "Abba zoo, cab!"), (2, "½ 7"), (3, None), (4, "zab zab oz qq"), (4, "abc")], "doc_id long, text string")
+    _, m = gram_counts(spark)
+    sent = {(r.doc_id, r.text): r for r in language.entropies(rows, ["doc_id", "text"], m).collect()}
+    monkeypatch.setattr(language, "MODEL_BYTES", 0)
+    _, large = gram_counts(spark)
+    assert large.rows is not None and not large.grams
+    joined = {(r.doc_id, r.text): r for r in language.entropies(rows, ["doc_id", "text"], large).collect()}
+    assert sent.keys() == joined.keys()
+    for k in sent:
+        assert sent[k].chars == joined[k].chars and np.allclose(sent[k].h if sent[k].chars else [0, 0], joined[k].h)
+
+
+def test_op5_letters():
+    assert language.letters("½²①") == "" and language.letters("a½b") == "a b" and language.letters("हिन्दी") == "हिन्दी"
 
 
 def test_op5_held_out_accuracy(spark):
@@ -460,10 +521,18 @@ def test_op6_spread(spark):
     assert lines.drop_boilerplate(empty(spark)).count() == 0
 
 
+def test_op6_rows_of_one_id_and_clashing_columns(spark):
+    rows = [(i, "short", f"s{i}", 7) for i in range(12)] + [(1, "precious first line", "s1", 7), (1, "precious first line", "s1", 7), (5, "short\nown", None, 7)]
+    out = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int")).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed, r.n_removed_in) for r in out) == sorted(
+        [(i, "", 1, 7) for i in range(12)] + [(1, "precious first line", 0, 7)] * 2 + [(5, "own", 1, 7)]
+    )
+
+
 @pytest.mark.parametrize("least", [3, 10, 20])
 def test_op6_near_threshold_is_exact(spark, least):
     rows = [(i * 100 + j, f"line with number {i} in it, longer than twenty", f"s{j}") for i in range(1, 26) for j in range(i)]
-    got = {r.line for r in lines.boilerplate(lines.line_hashes(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source", 20), least).collect()}
+    got = {r.line for r in lines.boilerplate(lines.line_hashes(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source"), least).collect()}
     assert len(got) == 26 - least
 
 
@@ -488,6 +557,13 @@ def test_op7_recall_and_ties(spark):
     assert hit / (150 * 20) >= 0.9 and not {9000, 9020, 9040, 9060} & set(got)
 
 
+def test_op7_overflow_is_no_loss(spark):
+    rows = [(i, [1e200 * (-1) ** i, float(i)]) for i in range(4)] + [(20, [1e200, 1.0]), (40, [-1e200, 2.0])]
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = collections.Counter(r.query_id for r in ann.nearest(v, v.where("vec_id % 20 = 0")).collect())
+    assert got == {0: 5, 20: 5, 40: 5}
+
+
 def test_op7_small_and_empty(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
     v = ann.usable(rows)
@@ -522,9 +598,13 @@ def test_op8_layouts(spark):
     records = [
         {"prompt": "p", "completion": "c"}, {"instruction": "i", "input": "x", "output": "o"}, {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]},
         {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, {"what": 1},
+        {"id": "x", "messages": [{"role": "user", "content": "a", "extra": 1}]}, {"messages": []}, {"meta": {"a": [1]}, "prompt": "p", "completion": "c", "system": "s"},
     ]
     rows = [(i, json.dumps(x)) for i, x in enumerate(records)] + [(9, None), (10, "not json"), (11, "[]")]
-    got = {r.id: r for r in chat.format_records(spark.createDataFrame(rows, "id long, record string")).collect()}
+    df = spark.createDataFrame(rows, "id long, record string").withColumn("layout", F.lit("clash"))
+    got = {r.id: r for r in chat.format_records(df).collect()}
+    assert [got[i].layout for i in (5, 6, 7)] == ["messages", "messages", "system_prompt"] and got[6].formatted == "" and got[5].layout_in == "clash"
+    assert chat.parse(got[5].formatted) == [("user", "a")] and chat.parse(got[7].formatted)[0] == ("system", "s")
     assert [got[i].layout for i in range(5)] == ["prompt", "instruction", "messages", "conversations", None]
     assert chat.parse(got[1].formatted) == [("user", "i\n\nx"), ("assistant", "o")]
     assert chat.parse(got[3].formatted) == [("user", "h"), ("assistant", "g")]
@@ -575,6 +655,38 @@ def test_op9_character_map():
     assert m.longest(b"ab", 0) == (1, b"b") and m.longest(b"aab", 0) == (2, b"c") and m.longest(b"xa", 0) is None
 
 
+def with_character_map(path, **spec):
+    """The given model with the library's own NMT-NFKC character map in place of its normaliser."""
+    import sentencepiece
+
+    norm = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", **spec)
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    out = b""
+    for raw, wanted in ((open(path, "rb").read(), lambda f: f != 3), (norm.serialized_model_proto(), lambda f: f == 3)):
+        for f, v in sentencepiece_codec._fields(raw):
+            if wanted(f):
+                out += varint(f << 3 | (0 if isinstance(v, int) else 2)) + (varint(v) if isinstance(v, int) else varint(len(v)) + v)
+    return out
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_op9_normaliser_equals_library(squeeze):
+    """Longest-prefix normalisation through a real character map, with white space squeezed or not."""
+    model = with_character_map(queries.piece_model(), add_dummy_prefix=True, remove_extra_whitespaces=squeeze, escape_whitespaces=True)
+    c = sentencepiece_codec.Codec(model)
+    assert c.map.units
+    rng = np.random.default_rng(6)
+    pool = list("ab \t\n\u00a0\u3000ｱﾞＡ①ﬁé½\u200b😀한") + ["e\u0301", "  ", "ㄱ"]
+    texts = ["", " ", "a  b", "  lead", "trail  ", "ﬁ ½  x"] + ["".join(rng.choice(pool, rng.integers(1, 30))) for _ in range(300)]
+    for t in texts:
+        out, at = c.normalise(t.encode())
+        assert out.decode() == c.sp.normalize(t), repr(t)
+        assert len(at) == len(out) + 1 and (np.diff(at) >= 0).all() and at[-1] == len(t.encode())
+        ids = np.array(c.sp.encode(t), np.int64)
+        begin, end = c.project(t, ids)
+        assert (begin[1:] >= begin[:-1]).all() and (not len(ids) or end[-1] == len(t.encode()))
+
+
 # --- shared --------------------------------------------------------------------------------------------------------------
 
 
