@@ -128,10 +128,11 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def mcnemar(b: Column, c: Column) -> Column:
     """Exact two-sided p of discordant counts b and c: 2 * sum of C(n, i) / 2^n up to the smaller, 1 at most."""
     n, k = (b + c).cast("double"), F.least(b, c).cast("int")
-    # Terms by ratio, from 2^-n on; n up to a thousand stays within doubles.
-    zero = F.struct(F.pow(F.lit(2.0), -n).alias("term"), F.lit(0.0).alias("sum"))
-    total = F.aggregate(
-        F.sequence(F.lit(0), k), zero,
-        lambda a, i: F.struct((a["term"] * (n - i) / (i + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum")),
+    steps = lambda first: F.when(k >= first, F.sequence(F.lit(first), k)).otherwise(F.array().cast("array<int>"))
+    # The largest term in logarithms, so that no count underflows; the smaller ones as shares of it.
+    top = F.aggregate(steps(1), -n * F.log(F.lit(2.0)), lambda a, i: a + F.log((n - i + 1) / i))
+    rest = F.aggregate(
+        steps(1), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda a, j: F.struct((a["term"] * (k - j + 1) / (n - k + j)).alias("term"), (a["sum"] + a["term"] * (k - j + 1) / (n - k + j)).alias("sum")),
     )["sum"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * rest))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.domain import idf, parent_of
+from cairnspark.functions.ranking import numbered
 
 #: Shares and counts at which items count as common and rare.
 COMMON_FRAC, RARE_MAX, MIN_PROFILE, MIN_ITEMS = 0.15, 13, 8, 4
@@ -13,10 +14,8 @@ COMMON_FRAC, RARE_MAX, MIN_PROFILE, MIN_ITEMS = 0.15, 13, 8, 4
 
 def groups(uses: DataFrame) -> DataFrame:
     """(actor_id, ord): actors by name."""
-    from pyspark.sql import Window as W
-
     names = uses.select(F.col("source").alias("actor_id")).distinct()
-    return names.withColumn("ord", F.row_number().over(W.orderBy("actor_id")) - 1)
+    return numbered(names, "actor_id", name="ord").withColumn("ord", F.col("ord") - 1)
 
 
 def usage_counts(uses: DataFrame) -> DataFrame:

@@ -61,17 +61,21 @@ def ece(x: DataFrame, bins: int = 10) -> DataFrame:
 
 def contingency(x: DataFrame, *by: str) -> DataFrame:
     """(by..., truth, predicted, n, n_truth, n_predicted, n_all)."""
-    from pyspark.sql import Window as W
-
     c = x.groupBy(*by, "truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
     t = c.groupBy(*by, "truth").agg(F.sum("n").alias("n_truth"))
     q = c.groupBy(*by, "predicted").agg(F.sum("n").alias("n_predicted"))
     a = c.groupBy(*by).agg(F.sum("n").alias("n_all"))
     c = c.join(t, [*by, "truth"]).join(q, [*by, "predicted"])
-    del W
     return c.join(a, list(by)) if by else c.crossJoin(F.broadcast(a))
 
 
+def adjusted(same: Column, truth: Column, predicted: Column, n: Column) -> Column:
+    """The adjusted Rand index of numbers of pairs: alike in both, in truth, in prediction; 1 where there is no spread."""
+    expected = F.try_divide(truth * predicted, n * (n - 1) / 2.0)
+    spread = (truth + predicted) / 2 - expected
+    return F.when(F.coalesce(F.round(spread, 9), F.lit(0.0)) == 0, 1.0).otherwise((same - expected) / spread)
+
+
 def partition_scores(x: DataFrame, *by: str) -> DataFrame:
     """(by..., purity, nmi, ari, n_clusters) of (truth, predicted): arithmetic NMI; degenerate cases count as 1."""
     c = contingency(x, *by)
@@ -92,10 +96,9 @@ def partition_scores(x: DataFrame, *by: str) -> DataFrame:
     x = cell
     for other in (best, side("truth", "t"), side("predicted", "p")):
         x = x.join(other, list(by)) if by else x.crossJoin(F.broadcast(other))
-    mean_h, expected = (F.col("h_t") + F.col("h_p")) / 2, F.try_divide(F.col("p_t") * F.col("p_p"), pairs("n_all"))
-    spread = (F.col("p_t") + F.col("p_p")) / 2 - expected
+    mean_h = (F.col("h_t") + F.col("h_p")) / 2
     return x.select(
         *by, F.round("purity", 9).alias("purity"),
         F.round(F.when(F.round(mean_h, 12) == 0, 1.0).otherwise(F.col("mi") / mean_h), 9).alias("nmi"),
-        F.round(F.when(F.coalesce(F.round(spread, 9), F.lit(0.0)) == 0, 1.0).otherwise((F.col("same") - expected) / spread), 9).alias("ari"), "n_clusters",
+        F.round(adjusted(F.col("same"), F.col("p_t"), F.col("p_p"), F.col("n_all")), 9).alias("ari"), "n_clusters",
     )

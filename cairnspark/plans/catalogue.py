@@ -437,9 +437,10 @@ def cluster_bootstrap(spark, sf_dir):
     return intervals.bootstrap(sums, intervals.hashed_draws(sums.select("grp"), DRAWS), DRAWS).select(*r9("estimate", "low", "high"))
 
 
-@query()
+@query("""SELECT round(e.ari, 9) AS estimate, round(round(e.ari, 9) - 1.96 * se, 6) AS low, round(round(e.ari, 9) + 1.96 * se, 6) AS high FROM
+(SELECT ari FROM rand WHERE t = -1) e, (SELECT sqrt((count(*) - 1) * var_pop(round(ari, 9))) AS se FROM rand WHERE t >= 0)""")
 def jackknife_ari(spark, sf_dir):
-    return intervals.jackknife(bridge.partitions(spark, sf_dir), metrics.partition_scores, "ari")
+    return intervals.jackknife(bridge.partitions(spark, sf_dir))
 
 
 @query("SELECT fold, round(avg(p), 9) AS mean, round(stddev_samp(p), 9) AS sd, count(*) AS n FROM outc GROUP BY 1")

@@ -89,6 +89,12 @@ BLOCKS: dict[str, str] = {
         l.quality = 1 AS correct, l.toxic = 0 AS correct2 FROM labels l JOIN documents d USING (doc_id)""",
     "parts": """SELECT vec_id AS id, label AS truth, (embedding[1] > 0)::INT * 4 + (embedding[2] > 0)::INT * 2 + (embedding[3] > 0)::INT AS predicted FROM embeddings""",
     "ctab": "SELECT truth, predicted, count(*) AS n FROM parts GROUP BY 1, 2",
+    # The adjusted Rand index over all rows (t = -1) and without each truth label.
+    "rtab": "SELECT l.t, c.truth, c.predicted, c.n FROM (SELECT DISTINCT truth AS t FROM parts UNION ALL SELECT -1) l JOIN ctab c ON c.truth <> l.t",
+    "rand": """SELECT s.t, (same - pt * pp / (n * (n - 1) / 2.0)) / ((pt + pp) / 2 - pt * pp / (n * (n - 1) / 2.0)) AS ari FROM
+        (SELECT t, sum(n) AS n, sum(n * (n - 1) / 2.0) AS same FROM rtab GROUP BY 1) s
+        JOIN (SELECT t, sum(n * (n - 1) / 2.0) AS pt FROM (SELECT t, truth, sum(n) AS n FROM rtab GROUP BY 1, 2) GROUP BY 1) a ON a.t = s.t
+        JOIN (SELECT t, sum(n * (n - 1) / 2.0) AS pp FROM (SELECT t, predicted, sum(n) AS n FROM rtab GROUP BY 1, 2) GROUP BY 1) b ON b.t = s.t""",
     "bask": """SELECT DISTINCT 'E' || l_orderkey AS event_id, f.facet, f.value FROM lineitem,
         LATERAL (SELECT 'capability' AS facet, 'P' || l_partkey AS value UNION ALL SELECT 'infrastructure', 'S' || l_suppkey) f
         WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
