@@ -41,14 +41,14 @@ def grade_crossfit(x: DataFrame) -> DataFrame:
     return x.join(F.broadcast(m), "fold", "left").withColumn("p_cal", F.coalesce(p, F.lit(0.5))).drop(*GRADES)
 
 
-def histogram_crossfit(x: DataFrame, bins: int = 10, prior: float = 1.0) -> DataFrame:
-    """x with p_cal: smoothed accuracy of its bin in the other fold."""
+def histogram_crossfit(x: DataFrame, bins: int = 10, prior: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """x with p_cal: smoothed accuracy of its bin in the other fold, apart for each value of `by`."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
     x = x.withColumn("bin", b)
-    base = x.groupBy("fold").agg(((F.count_if("correct") + 1) / (F.count(F.lit(1)) + 2)).alias("base"))
-    cell = x.groupBy("fold", "bin").agg(F.count_if("correct").alias("hits"), F.count(F.lit(1)).alias("m"))
+    base = x.groupBy(*by, "fold").agg(((F.count_if("correct") + 1) / (F.count(F.lit(1)) + 2)).alias("base"))
+    cell = x.groupBy(*by, "fold", "bin").agg(F.count_if("correct").alias("hits"), F.count(F.lit(1)).alias("m"))
     flip = lambda t: t.withColumn("fold", 1 - F.col("fold"))
-    y = x.join(F.broadcast(flip(base)), "fold", "left").join(F.broadcast(flip(cell)), ["fold", "bin"], "left")
+    y = x.join(flip(base), [*by, "fold"], "left").join(flip(cell), [*by, "fold", "bin"], "left")
     p = (F.coalesce("hits", F.lit(0)) + prior * F.coalesce("base", F.lit(0.5))) / (F.coalesce("m", F.lit(0)) + prior)
     return y.withColumn("p_cal", p).drop("base", "hits", "m")
 

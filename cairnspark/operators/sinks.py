@@ -104,3 +104,10 @@ def cypher(events: DataFrame, campaigns: DataFrame | None = None) -> DataFrame:
 def newest(published: DataFrame, n: int = 500) -> DataFrame:
     """The newest n published objects by arrival (ts, id): a collection's window."""
     return published.orderBy(F.desc("ts"), F.desc("id")).limit(n)
+
+
+def compact_kb(kb: DataFrame) -> DataFrame:
+    """(item_id, line): a knowledge base as JSON lines of id, kind, parent, usage and the common and rare flags."""
+    return kb.select(
+        "item_id", F.to_json(F.struct(F.col("item_id").alias("id"), "kind", "parent", "usage", F.col("is_common").alias("common"), F.col("is_rare").alias("rare"))).alias("line")
+    )

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnspark.functions.domain import parent_of
 from cairnspark.functions.reuse import settled
-from cairnspark.operators import ach, attribution, calibration, clustering, evaluation, extraction, incidents, intervals, knowledge, metrics, sinks
+from cairnspark.operators import ach, attribution, calibration, clustering, evaluation, extraction, incidents, intervals, knowledge, metrics, protocols, sinks
 from cairnspark.plans.oracles import sql
 from cairnspark.sources import bridge
 
@@ -16,6 +17,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 DRAWS = 200
+#: Thresholds to choose from, and those of the frontier.
+TAUS = [round(0.1 + 0.02 * i, 2) for i in range(21)]
+FINE_TAUS = [round(0.005 * i, 3) for i in range(161)]
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -46,10 +50,10 @@ def _facets(profile: DataFrame) -> DataFrame:
 
 
 def static_world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One case per group, its first incident, with markers that point at the next group; shortlist of eight."""
+    """Cases are incidents, three of each group at most as in hold-outs, with markers that point at the next group; shortlist of eight."""
     uses = settled(bridge.uses(spark, sf_dir))
     kb, profile, actors = settled(knowledge.kb(uses)), knowledge.profile_items(uses), settled(knowledge.groups(uses))
-    inc = settled(incidents.report_incidents(uses, max_per_group=1))
+    inc = settled(incidents.report_incidents(uses))
     items = settled(incidents.incident_items(uses, inc).select(F.col("incident_id").alias("case_id"), "item_id"))
     frames = incidents.framing(actors)
     markers = attribution.planted_markers(inc.join(frames, "grp").select(F.col("incident_id").alias("case_id"), F.col("framed").alias("target")))
@@ -267,10 +271,10 @@ def sim_attribution(spark, sf_dir):
 # --- evaluation ------------------------------------------------------------------------------------------------------------
 
 
-def _evaluated(spark, sf_dir, methods=("similarity", "coverage", "ach"), settings=None, max_per_group=1):
+def _evaluated(spark, sf_dir, methods=("similarity", "coverage"), settings=None):
     uses = settled(bridge.uses(spark, sf_dir))
     kb, profile, actors = settled(knowledge.kb(uses)), knowledge.profile_items(uses), settled(knowledge.groups(uses))
-    inc = settled(incidents.report_incidents(uses, max_per_group=max_per_group))
+    inc = settled(incidents.report_incidents(uses))
     world = evaluation.worlds(uses, inc, actors, kb, profile, settings)
     scores = settled(evaluation.world_scores(world["cases"], world["usage"], world["deltas"], profile, kb, world["markers"]))
     parts = []
@@ -283,7 +287,7 @@ def _evaluated(spark, sf_dir, methods=("similarity", "coverage", "ach"), setting
     return evaluation.outcomes(world["cases"], evaluation.union(parts))
 
 
-@query("""SELECT * FROM (WITH cs AS (SELECT i.incident_id || '#' || s AS case_id, i.incident_id, i.grp, i.reference, s AS setting FROM inc1 i, (SELECT unnest(['closed','open']) AS s) t(s)),
+@query("""SELECT * FROM (WITH cs AS (SELECT i.incident_id || '#' || s AS case_id, i.incident_id, i.grp, i.reference, s AS setting FROM inc3 i, (SELECT unnest(['closed','open']) AS s) t(s)),
 delta AS (SELECT c.case_id, c.grp, p.target AS item_id FROM cs c JOIN support p ON p.source = c.grp AND ((c.setting = 'closed' AND p.n_refs = 1 AND p.ref1 = c.reference) OR c.setting = 'open')),
 obs AS (SELECT DISTINCT c.case_id, c.setting, u.target AS item_id FROM cs c JOIN uses u ON u.source = c.grp AND u.reference = c.reference)
 SELECT o.case_id, o.item_id, k.usage - (d.item_id IS NOT NULL)::INT AS usage, k.n_groups - (o.setting = 'open')::INT AS n_groups,
@@ -291,31 +295,178 @@ round(ln((1.0 + k.n_groups - (o.setting = 'open')::INT) / (1.0 + k.usage - (d.it
 FROM obs o JOIN kb k ON k.item_id = o.item_id LEFT JOIN delta d ON d.case_id = o.case_id AND d.item_id = o.item_id)""")
 def holdout_usage(spark, sf_dir):
     u = bridge.uses(spark, sf_dir)
-    inc = incidents.report_incidents(u, max_per_group=1)
+    inc = incidents.report_incidents(u)
     w = evaluation.worlds(u, inc, knowledge.groups(u), knowledge.kb(u), knowledge.profile_items(u), ["closed", "open"])
     return w["usage"].select("case_id", "item_id", "usage", "n_groups", *r9("idf"))
 
 
-@query()
+@query("""SELECT s.case_id, s.actor_id, round(s.cosine, 9) AS cosine, round(s.coverage, 9) AS coverage, round(s.score, 9) AS score
+FROM wsim s JOIN wcs c ON c.case_id = s.case_id WHERE c.setting IN ('closed', 'open')""")
 def world_similarity(spark, sf_dir):
-    """Cosine in hold-out worlds by corrected norms (tests/test_evaluation.py has the brute-force version)."""
+    """Cosine in hold-out worlds by corrected norms; the SQL builds every world in full."""
     u = settled(bridge.uses(spark, sf_dir))
     kb, profile, actors = settled(knowledge.kb(u)), knowledge.profile_items(u), settled(knowledge.groups(u))
-    w = evaluation.worlds(u, settled(incidents.report_incidents(u, max_per_group=1)), actors, kb, profile, ["closed", "open"])
+    w = evaluation.worlds(u, settled(incidents.report_incidents(u)), actors, kb, profile, ["closed", "open"])
     s = evaluation.world_scores(w["cases"], w["usage"], w["deltas"], profile, kb, w["markers"])
     return s.select("case_id", "actor_id", *r9("cosine", "coverage", "score"))
 
 
-@query()
+@query("SELECT * REPLACE (round(probability, 9) AS probability) FROM wout")
 def eval_outcomes(spark, sf_dir):
+    """Similarity and coverage on every incident in the five settings."""
     return _evaluated(spark, sf_dir).withColumn("probability", F.round("probability", 9))
 
 
-@query()
+@query("""SELECT method, setting, count(*) AS n, round(avg(correct::INT), 9) AS accuracy, round(avg(framed_named::INT), 9) AS framed_rate, round(avg(top5::INT), 9) AS top5_rate,
+round(avg((NOT named)::INT), 9) AS declined, round(avg(detected::INT), 9) AS detected_rate, round(count(*) FILTER (correct AND named) / nullif(count(*) FILTER (named), 0), 9) AS precision_when_named,
+count(*) FILTER (probability >= 0.8 AND NOT correct) AS overconfident_errors, round(avg(probability), 9) AS mean_probability FROM wout GROUP BY 1, 2""")
 def eval_summary(spark, sf_dir):
     return evaluation.summarise(_evaluated(spark, sf_dir))
 
 
+@query()
+def eval_ach(spark, sf_dir):
+    """ACH on every incident in the five settings, summarised (tests/test_operators.py has it against one case at a time)."""
+    return evaluation.summarise(_evaluated(spark, sf_dir, ("ach",)))
+
+
+def _rank_table(spark, sf_dir):
+    u = settled(bridge.uses(spark, sf_dir))
+    kb, profile, actors = settled(knowledge.kb(u)), knowledge.profile_items(u), settled(knowledge.groups(u))
+    w = evaluation.worlds(u, settled(incidents.report_incidents(u)), actors, kb, profile)
+    scores = evaluation.world_scores(w["cases"], w["usage"], w["deltas"], profile, kb, w["markers"])
+    return settled(protocols.rank_table(evaluation.with_rank(scores, actors, w["cases"], "cosine"), w["cases"]))
+
+
+_KS = "(SELECT unnest([" + ", ".join(map(str, protocols.KS)) + "]) AS k, unnest(range(" + str(len(protocols.KS)) + ")) AS i)"
+_GATE = """SELECT *, CASE WHEN setting = 'open' THEN "leading" IS NULL WHEN setting IN ('false_flag', 'mimicry') THEN coalesce("leading" = grp, FALSE) OR coalesce(flagged = framed, FALSE)
+ELSE coalesce("leading" = grp, FALSE) END AS accuracy FROM (SELECT t.*, g.k, g.i, CASE WHEN coalesce(place <= k, FALSE) THEN visible ELSE top END AS "leading",
+CASE WHEN coalesce(place <= k, FALSE) THEN NULL ELSE visible END AS flagged FROM wtop t, """ + _KS + " g)"
+_BEST = """SELECT 1 - fold AS fold, k FROM (SELECT fold, k, row_number() OVER (PARTITION BY fold ORDER BY round((avg(accuracy::INT) FILTER (setting = '{a}') + avg(accuracy::INT) FILTER (setting = '{b}')) / 2, 9) DESC, i) AS rn
+FROM ({x}) y GROUP BY fold, k, i) WHERE rn = 1"""
+
+
+@query(f"""SELECT y.case_id, y.setting, y.grp, y.fold, y.k::DOUBLE AS chosen, y."leading", y.flagged, y.accuracy FROM ({_GATE}) y
+JOIN ({_BEST.format(a="false_flag", b="authentic", x=_GATE)}) b ON b.fold = y.fold AND b.k = y.k""")
+def consistency_gate(spark, sf_dir):
+    """The gate with the rank that did best on the other fold of groups."""
+    x = protocols.crossfit(_rank_table(spark, sf_dir), protocols.gate, protocols.KS, ("false_flag", "authentic"))
+    return x.select("case_id", "setting", "grp", F.col("fold").cast("long").alias("fold"), "chosen", "leading", "flagged", "accuracy")
+
+
+_ABSTAIN = """SELECT *, CASE WHEN setting = 'open' THEN "leading" IS NULL ELSE coalesce("leading" = grp, FALSE) END AS accuracy FROM (
+SELECT t.*, g.k, g.i, CASE WHEN hard >= k THEN top END AS "leading" FROM wtop t, (SELECT i, round(0.1 + 0.02 * i, 2)::DOUBLE AS k FROM generate_series(0, 20) q(i)) g)"""
+
+
+@query(f"""SELECT y.case_id, y.setting, y.grp, y.k AS chosen, y."leading", y.accuracy FROM ({_ABSTAIN}) y
+JOIN ({_BEST.format(a="closed", b="open", x=_ABSTAIN)}) b ON b.fold = y.fold AND b.k = y.k""")
+def abstention_crossfit(spark, sf_dir):
+    """Abstention at the threshold that did best on the other fold of groups."""
+    x = protocols.crossfit(_rank_table(spark, sf_dir), protocols.abstain, TAUS, ("closed", "open"))
+    return x.select("case_id", "setting", "grp", "chosen", "leading", "accuracy")
+
+
+@query("""SELECT i::INT AS i, tau, round(avg((coalesce(hard >= tau, FALSE) AND top = grp)::INT) FILTER (setting = 'closed'), 9) AS closed_accuracy,
+round(avg((hard < tau)::INT) FILTER (setting = 'open'), 9) AS open_declined FROM wtop, (SELECT i, round(0.005 * i, 3)::DOUBLE AS tau FROM generate_series(0, 160) q(i)) g GROUP BY 1, 2""")
+def abstention_frontier(spark, sf_dir):
+    """Accuracy when the group is there against declining when it is not, at 161 thresholds."""
+    return protocols.frontier(_rank_table(spark, sf_dir), FINE_TAUS).select("i", "tau", *r9("closed_accuracy", "open_declined"))
+
+
+@query("""SELECT method, setting, incident_id, round(p, 9) AS p, round((p - correct::INT) * (p - correct::INT), 9) AS sq, NOT correct AND p >= 0.8 AS overconfident FROM (
+SELECT o.*, (coalesce(c.h, 0) + b.base) / (coalesce(c.n, 0) + 1) AS p FROM (SELECT *, CAST(substr(grp, 2) AS BIGINT) % 2 AS fold, least(floor(probability * 10), 9) AS bin FROM wout WHERE setting IN ('closed', 'open', 'false_flag')) o
+JOIN (SELECT method, 1 - CAST(substr(grp, 2) AS BIGINT) % 2 AS fold, (count(*) FILTER (correct) + 1) / (count(*) + 2) AS base FROM wout WHERE setting IN ('closed', 'open', 'false_flag') GROUP BY 1, 2) b ON b.method = o.method AND b.fold = o.fold
+LEFT JOIN (SELECT method, 1 - CAST(substr(grp, 2) AS BIGINT) % 2 AS fold, least(floor(probability * 10), 9) AS bin, count(*) FILTER (correct) AS h, count(*) AS n FROM wout WHERE setting IN ('closed', 'open', 'false_flag') GROUP BY 1, 2, 3) c
+ON c.method = o.method AND c.fold = o.fold AND c.bin = o.bin)""")
+def pooled_records(spark, sf_dir):
+    """Outcomes of three settings pooled, with cross-fitted probabilities, squared errors and overconfident errors."""
+    return protocols.pooled_records(_evaluated(spark, sf_dir)).select("method", "setting", "incident_id", *r9("p", "sq"), "overconfident")
+
+
+@query("""SELECT n_markers, setting, count(*) AS n, round(avg(("leading" = grp)::INT), 9) AS accuracy, round(avg((setting <> 'authentic' AND "leading" = framed)::INT), 9) AS framed_rate FROM (
+SELECT n AS n_markers, s.case_id, c.setting, c.grp, c.framed, s.actor_id AS "leading", row_number() OVER (PARTITION BY n, s.case_id ORDER BY round(s.cosine + 0.15 * n * (m.actor_id IS NOT NULL)::INT, 9) DESC, a.ord) AS rank
+FROM wsim s JOIN wcs c ON c.case_id = s.case_id JOIN actors a ON a.actor_id = s.actor_id LEFT JOIN wmark m ON m.case_id = s.case_id AND m.actor_id = s.actor_id, (SELECT unnest([1, 6]) AS n) q
+WHERE c.setting IN ('false_flag', 'authentic', 'mimicry')) WHERE rank = 1 GROUP BY 1, 2""")
+def marker_sweep(spark, sf_dir):
+    """Similarity with one and with six planted markers: how often the group and the framed actor are named."""
+    u = settled(bridge.uses(spark, sf_dir))
+    kb, profile, actors = settled(knowledge.kb(u)), knowledge.profile_items(u), settled(knowledge.groups(u))
+    w = evaluation.worlds(u, settled(incidents.report_incidents(u)), actors, kb, profile, ["false_flag", "authentic", "mimicry"])
+    parts = []
+    for n in (1, 6):
+        marks = attribution.planted_markers(w["cases"].select("case_id", "target"), n)
+        s = evaluation.world_scores(w["cases"], w["usage"], w["deltas"], profile, kb, marks)
+        top = evaluation.with_rank(s, actors, w["cases"], "score").where("rank = 1").select("case_id", F.col("actor_id").alias("leading"))
+        x = w["cases"].join(top, "case_id")
+        framed = (F.col("setting") != "authentic") & (F.col("leading") == F.col("framed"))
+        rate = lambda c: F.round(F.avg(c.cast("double")), 9)
+        parts.append(x.groupBy(F.lit(n).alias("n_markers"), "setting").agg(
+            F.count(F.lit(1)).alias("n"), rate(F.col("leading") == F.col("grp")).alias("accuracy"), rate(framed).alias("framed_rate")
+        ))
+    return evaluation.union(parts)
+
+
+GRID = [(c, r) for c in (0.1, 0.15, 0.2) for r in (5, 13, 20)]
+
+
+def _grid_sql() -> str:
+    """The static assessment at each pair of thresholds."""
+    parts = []
+    for c, r in GRID:
+        one = sql("SELECT leading_kind, confidence, count(*) AS n FROM graded GROUP BY 1, 2")
+        one = one.replace("n_groups * 0.15", f"n_groups * {c}").replace("BETWEEN 1 AND 13", f"BETWEEN 1 AND {r}")
+        parts.append(f"SELECT {c}::DOUBLE AS common_frac, {r} AS rare_max, * FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_grid_sql())
+def sensitivity_grid(spark, sf_dir):
+    """ACH at a grid of common and rare thresholds: all pairs in one plan, the pair being part of the case."""
+    w = static_world(spark, sf_dir)
+    grid = spark.createDataFrame([(i, *g) for i, g in enumerate(GRID)], "v int, common_frac double, rare_max int")
+    case = F.concat_ws("@", "case_id", F.col("v").cast("string")).alias("case_id")
+    flags = w["kb"].crossJoin(F.broadcast(grid)).select(
+        F.col("v"), "item_id", (F.col("usage") >= F.col("n_groups") * F.col("common_frac")).alias("is_common"), F.col("usage").between(1, F.col("rare_max")).alias("is_rare")
+    )
+    items = w["items"].crossJoin(F.broadcast(grid.select("v")))
+    flags = items.join(flags, ["v", "item_id"]).select(case, "item_id", "is_common", "is_rare")
+    spread = lambda t: t.crossJoin(F.broadcast(grid.select("v"))).withColumn("case_id", F.concat_ws("@", "case_id", F.col("v").cast("string"))).drop("v")
+    evidence = attribution.evidence_from_items(spread(w["items"]), settled(flags), ["case_id", "item_id"]).unionByName(spread(w["markers"]))
+    a = ach.assess(settled(evidence), settled(spread(w["candidates"])), _facets(w["profile"]))["assessments"]
+    a = a.withColumn("v", F.substring_index("case_id", "@", -1).cast("int")).join(F.broadcast(grid), "v")
+    return a.groupBy("common_frac", "rare_max", "leading_kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KNOWN = "(SELECT DISTINCT target AS item_id FROM uses WHERE reference <= '2024-01-15' UNION SELECT DISTINCT split_part(target, '.', 1) FROM uses WHERE reference <= '2024-01-15')"
+
+
+@query(f"""SELECT incident_id, count(*) AS n_items, count(*) FILTER (way = 'known') AS n_known, count(*) FILTER (way = 'revoked') AS n_revoked, count(*) FILTER (way = 'parent') AS n_parent,
+count(*) FILTER (way = 'dropped') AS n_dropped, count(DISTINCT new) >= 4 AS kept FROM (SELECT x.incident_id, CASE WHEN k.item_id IS NOT NULL THEN 'known' WHEN o.item_id IS NOT NULL THEN 'revoked' WHEN p.item_id IS NOT NULL THEN 'parent' ELSE 'dropped' END AS way,
+coalesce(k.item_id, o.item_id, p.item_id) AS new FROM (SELECT DISTINCT i.incident_id, u.target AS item_id, CASE WHEN u.target LIKE '%.9' THEN left(u.target, length(u.target) - 1) || '8' END AS older
+FROM incidents i JOIN uses u ON u.source = i.grp AND u.reference = i.reference WHERE i.reference > '2024-01-15') x LEFT JOIN {_KNOWN} k ON k.item_id = x.item_id LEFT JOIN {_KNOWN} o ON o.item_id = x.older
+LEFT JOIN {_KNOWN} p ON p.item_id = split_part(x.item_id, '.', 1) AND x.item_id LIKE '%.%') GROUP BY 1""")
+def id_remap(spark, sf_dir):
+    """Items of incidents after a day in terms of what was known by it; sub-technique 9 counts as what was 8."""
+    u = bridge.uses(spark, sf_dir)
+    inc = incidents.report_incidents(u, max_per_group=None).where("reference > '2024-01-15'")
+    old = u.where("reference <= '2024-01-15'").select(F.col("target").alias("item_id"))
+    known = old.union(old.select(parent_of(F.col("item_id"))))
+    revoked = u.where("target like '%.9'").select(F.col("target").alias("item_id"), F.regexp_replace("target", "9$", "8").alias("older")).distinct()
+    return protocols.remap(incidents.incident_items(u, inc), known, revoked)[1]
+
+
+@query("SELECT incident_id, grp, n_items FROM incidents ORDER BY md5('7:' || incident_id), incident_id LIMIT 50")
+def sampled_incidents(spark, sf_dir):
+    """A seeded sample of fifty incidents."""
+    return protocols.sampled(incidents.report_incidents(bridge.uses(spark, sf_dir), max_per_group=None), 50, 7).select("incident_id", "grp", "n_items")
+
+
+@query("""SELECT item_id, to_json({'id': item_id, 'kind': kind, 'parent': parent, 'usage': usage, 'common': is_common, 'rare': is_rare})::VARCHAR AS line FROM kb""")
+def compact_kb(spark, sf_dir):
+    """The knowledge base in its compact form, a JSON line an item."""
+    return sinks.compact_kb(knowledge.kb(bridge.uses(spark, sf_dir)))
+
+
 # --- calibration, metrics, intervals ------------------------------------------------------------------------------------------
 
 
@@ -357,14 +508,13 @@ def grade_calibration(spark, sf_dir):
     return calibration.grade_map(x, "fold").select("fold", *r9("low", "moderate", "high"))
 
 
-TAUS = [round(0.1 + 0.02 * i, 2) for i in range(21)]
 _TAU = "(SELECT i, round(0.1 + 0.02 * i, 2)::DOUBLE AS tau FROM generate_series(0, 20) t(i))"
 
 
 @query(f"""SELECT i::INT AS i, tau, round(avg((p >= tau)::INT), 9) AS answered, round(count(*) FILTER (p >= tau AND correct) / nullif(count(*) FILTER (p >= tau), 0), 9) AS accuracy,
-round(count(*) FILTER (p >= tau AND correct) / count(*), 9) AS right FROM outc, {_TAU} g GROUP BY 1, 2""")
+round(count(*) FILTER (p >= tau AND correct) / count(*), 9) AS right FROM outc, (SELECT i, round(0.005 * i, 3)::DOUBLE AS tau FROM generate_series(0, 160) t(i)) g GROUP BY 1, 2""")
 def abstain_frontier(spark, sf_dir):
-    return calibration.abstention(bridge.outcomes(spark, sf_dir), TAUS).select("i", "tau", *r9("answered", "accuracy", "right"))
+    return calibration.abstention(bridge.outcomes(spark, sf_dir), FINE_TAUS).select("i", "tau", *r9("answered", "accuracy", "right"))
 
 
 @query(f"""SELECT fold, tau, round(worth / n, 9) AS worth FROM (SELECT s.*, row_number() OVER (PARTITION BY 1) AS z FROM (SELECT fold, i, tau, sum(CASE WHEN p < tau THEN 0 WHEN correct THEN 1 ELSE -1 END) AS worth, count(*) AS n
@@ -546,9 +696,9 @@ def ioc_email(spark, sf_dir):
     return extraction.indicators(bridge.table(spark, sf_dir, "documents").select("doc_id", "text")).where("type = 'email'").select("doc_id", "value")
 
 
-@query(r"""SELECT doc_id, s AS sentence, count(*) AS n FROM (SELECT item_id AS doc_id, trim(unnest(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\n|$)')), E' \t\n\r') AS s FROM benchmark) WHERE length(s) >= 20 GROUP BY 1, 2""")
+@query(r"""SELECT doc_id, s AS sentence, count(*) AS n FROM (SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\n|$)')), E' \t\n\r') AS s FROM documents) WHERE length(s) >= 20 GROUP BY 1, 2""")
 def sentences(spark, sf_dir):
-    d = bridge.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    d = bridge.table(spark, sf_dir, "documents").select("doc_id", "text")
     return extraction.sentences(d).groupBy("doc_id", "sentence").agg(F.count(F.lit(1)).alias("n"))
 
 

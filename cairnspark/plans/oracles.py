@@ -25,11 +25,10 @@ BLOCKS: dict[str, str] = {
     "incidents": """SELECT source || '|' || reference AS incident_id, source AS grp, reference, n_items, n_removed, n_left,
         row_number() OVER (PARTITION BY source ORDER BY reference) AS rn FROM inc0""",
     "inc3": "SELECT * FROM incidents WHERE rn <= 3",
-    "inc1": "SELECT * FROM incidents WHERE rn <= 1",
     "frames": "SELECT a.actor_id AS grp, b.actor_id AS framed FROM actors a JOIN actors b ON b.ord = (a.ord + 1) % (SELECT count(*) FROM actors)",
-    # One static case per group: its first incident, against full profiles.
-    "items": "SELECT DISTINCT i.incident_id AS case_id, u.target AS item_id FROM inc1 i JOIN uses u ON u.source = i.grp AND u.reference = i.reference",
-    "marks": "SELECT i.incident_id AS case_id, f.framed AS target, g AS i FROM inc1 i JOIN frames f ON f.grp = i.grp, generate_series(1, 3) t(g)",
+    # Static cases: incidents of every group against full profiles.
+    "items": "SELECT DISTINCT i.incident_id AS case_id, u.target AS item_id FROM inc3 i JOIN uses u ON u.source = i.grp AND u.reference = i.reference",
+    "marks": "SELECT i.incident_id AS case_id, f.framed AS target, g AS i FROM inc3 i JOIN frames f ON f.grp = i.grp, generate_series(1, 3) t(g)",
     "norms": "SELECT actor_id, sum(idf * idf) AS norm2 FROM profile JOIN kb USING (item_id) GROUP BY 1",
     "seen": "SELECT case_id, item_id, idf FROM items JOIN kb USING (item_id)",
     "cosines": """SELECT h.case_id, h.actor_id, h.dot / (sqrt(o.obs2) * sqrt(n.norm2)) AS cosine, h.matched / o.obs AS coverage FROM
@@ -85,6 +84,44 @@ BLOCKS: dict[str, str] = {
     "graded": """SELECT *, (['low','moderate','high'])[(least(CASE WHEN gap >= 0.35 AND n_diag >= 5 THEN 2 WHEN gap >= 0.15 AND n_diag >= 3 THEN 1 ELSE 0 END,
         CASE WHEN round(ratio1, 9) >= 0.5 THEN 0 ELSE 2 END, CASE WHEN leading_kind <> 'actor' THEN 1 ELSE 2 END, CASE WHEN close_ff THEN 1 ELSE 2 END,
         CASE WHEN flagged THEN 1 ELSE 2 END) + 1)::INT] AS confidence FROM assessed""",
+    # Hold-out worlds: an incident's group without what only its report tells, or (open) without the group.
+    "wcs": """SELECT i.incident_id || '#' || s AS case_id, i.incident_id, i.grp, i.reference, s AS setting, f.framed,
+        CASE s WHEN 'false_flag' THEN f.framed WHEN 'authentic' THEN i.grp END AS target, i.incident_id || (CASE WHEN s = 'open' THEN '#o' ELSE '#c' END) AS world
+        FROM inc3 i JOIN frames f ON f.grp = i.grp, (SELECT unnest(['closed', 'open', 'false_flag', 'authentic', 'mimicry']) AS s) t""",
+    "wld": "SELECT DISTINCT world, incident_id, grp, reference, setting = 'open' AS is_open FROM wcs",
+    "wdelta": "SELECT w.world, w.grp, p.target AS item_id FROM wld w JOIN support p ON p.source = w.grp AND (w.is_open OR (p.n_refs = 1 AND p.ref1 = w.reference))",
+    "mim": """SELECT incident_id, framed, item_id, rn FROM (SELECT i.incident_id, f.framed, u.item_id, row_number() OVER (PARTITION BY i.incident_id ORDER BY k.usage, u.item_id) AS rn
+        FROM inc3 i JOIN frames f ON f.grp = i.grp JOIN profile u ON u.actor_id = f.framed JOIN usage k ON k.item_id = u.item_id
+        WHERE NOT EXISTS (SELECT 1 FROM uses v WHERE v.source = i.grp AND v.reference = i.reference AND v.target = u.item_id)) WHERE rn <= 3""",
+    "wobs": """SELECT c.case_id, c.world, u.target AS item_id FROM wcs c JOIN uses u ON u.source = c.grp AND u.reference = c.reference
+        UNION SELECT c.case_id, c.world, m.item_id FROM wcs c JOIN mim m ON m.incident_id = c.incident_id WHERE c.setting = 'mimicry'""",
+    "wk": """SELECT w.world, k.item_id, ln((1.0 + k.n_groups - w.is_open::INT) / (1.0 + k.usage - (d.item_id IS NOT NULL)::INT)) + 1 AS idf
+        FROM wld w CROSS JOIN kb k LEFT JOIN wdelta d ON d.world = w.world AND d.item_id = k.item_id""",
+    "wnorm": """SELECT w.world, p.actor_id, sum(k.idf * k.idf) AS norm2 FROM wld w CROSS JOIN profile p JOIN wk k ON k.world = w.world AND k.item_id = p.item_id
+        LEFT JOIN wdelta d ON d.world = w.world AND d.grp = p.actor_id AND d.item_id = p.item_id WHERE d.item_id IS NULL GROUP BY 1, 2""",
+    "whit": """SELECT o.case_id, o.world, p.actor_id, sum(k.idf * k.idf) AS dot, sum(k.idf) AS matched FROM wobs o JOIN wk k ON k.world = o.world AND k.item_id = o.item_id
+        JOIN profile p ON p.item_id = o.item_id LEFT JOIN wdelta d ON d.world = o.world AND d.grp = p.actor_id AND d.item_id = p.item_id WHERE d.item_id IS NULL GROUP BY 1, 2, 3""",
+    "wown": "SELECT o.case_id, sum(k.idf * k.idf) AS obs2, sum(k.idf) AS obs FROM wobs o JOIN wk k ON k.world = o.world AND k.item_id = o.item_id GROUP BY 1",
+    "wcos": """SELECT h.case_id, h.actor_id, h.dot / (sqrt(o.obs2) * sqrt(n.norm2)) AS cosine, h.matched / o.obs AS coverage
+        FROM whit h JOIN wown o ON o.case_id = h.case_id JOIN wnorm n ON n.world = h.world AND n.actor_id = h.actor_id""",
+    "wmark": "SELECT case_id, target AS actor_id FROM wcs WHERE target IS NOT NULL",
+    "wsim": """SELECT case_id, actor_id, coalesce(cosine, 0) AS cosine, coalesce(coverage, 0) AS coverage, coalesce(cosine, 0) + 0.15 * coalesce(m, 0) AS score
+        FROM wcos FULL JOIN (SELECT case_id, actor_id, 3 AS m FROM wmark) USING (case_id, actor_id)""",
+    "wboth": """SELECT 'similarity' AS method, case_id, actor_id, score AS v FROM wsim UNION ALL SELECT 'coverage', case_id, actor_id, coverage FROM wsim
+        UNION ALL SELECT 'hard', case_id, actor_id, cosine FROM wsim""",
+    "wrank": """SELECT s.method, s.case_id, s.actor_id, s.v, c.setting, c.incident_id, c.grp, c.framed, c.target, row_number() OVER (PARTITION BY s.method, s.case_id ORDER BY round(s.v, 9) DESC, a.ord) AS rank
+        FROM wboth s JOIN wcs c ON c.case_id = s.case_id JOIN actors a ON a.actor_id = s.actor_id WHERE c.setting <> 'open' OR s.actor_id <> c.grp""",
+    "wout": """SELECT method, setting, incident_id, grp, "leading", CASE WHEN setting = 'open' THEN FALSE ELSE "leading" = grp END AS correct,
+        setting IN ('false_flag', 'mimicry') AND "leading" = framed AS framed_named, top5, TRUE AS named, FALSE AS detected, p AS probability,
+        CASE WHEN p >= 0.8 THEN 'high' WHEN p >= 0.55 THEN 'moderate' ELSE 'low' END AS grade FROM (
+        SELECT r.method, r.setting, r.incident_id, r.grp, r.framed, max(CASE WHEN rank = 1 THEN actor_id END) AS "leading", bool_or(rank <= 5 AND actor_id = r.grp) AS top5,
+        1 / (sum(exp((v - m) / 0.05)) + ((SELECT count(*) FROM actors) - (r.setting = 'open')::INT - count(*)) * exp(-max(m) / 0.05)) AS p
+        FROM wrank r JOIN (SELECT method, case_id, max(v) AS m FROM wrank GROUP BY 1, 2) t ON t.method = r.method AND t.case_id = r.case_id WHERE r.method <> 'hard'
+        GROUP BY r.method, r.case_id, r.setting, r.incident_id, r.grp, r.framed)""",
+    # What gate and abstention decide by.
+    "wtop": """SELECT c.case_id, c.setting, c.incident_id, c.grp, c.framed, CAST(substr(c.grp, 2) AS BIGINT) % 2 AS fold, c.target AS visible, o.actor_id AS top, o.v AS hard, t.rank AS place
+        FROM wcs c JOIN (SELECT * FROM wrank WHERE method = 'hard' AND rank = 1) o ON o.case_id = c.case_id
+        LEFT JOIN (SELECT * FROM wrank WHERE method = 'hard') t ON t.case_id = c.case_id AND t.actor_id = c.target""",
     "outc": """SELECT l.doc_id AS id, d.source AS grp, CAST(regexp_extract(d.source, '(\\d+)$', 1) AS INT) % 2 AS fold, (d.n_chars * 7919) % 1000 / 1000.0::DOUBLE AS p,
         l.quality = 1 AS correct, l.toxic = 0 AS correct2 FROM labels l JOIN documents d USING (doc_id)""",
     "parts": """SELECT vec_id AS id, label AS truth, (embedding[1] > 0)::INT * 4 + (embedding[2] > 0)::INT * 2 + (embedding[3] > 0)::INT AS predicted FROM embeddings""",
