@@ -611,40 +611,50 @@ def diamond_edges(spark, sf_dir):
     return clustering.diamond_edges(bridge.baskets(spark, sf_dir))
 
 
-@query("SELECT a, b, sim FROM jac5")
+@query("SELECT a, b, sim FROM jac WHERE sim >= 0.3")
 def weighted_jaccard(spark, sf_dir):
-    return clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.35)
+    return clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.3)
+
+
+def _knn(spark, sf_dir):
+    return clustering.knn_edges(clustering.nearest(settled(clustering.event_weights(bridge.baskets(spark, sf_dir)))))
 
 
 @query("""SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, sim FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b DESC) AS k FROM
-(SELECT a, b, sim FROM jac5 UNION ALL SELECT b, a, sim FROM jac5)) WHERE k <= 5""")
+(SELECT a, b, sim FROM jac WHERE sim >= 0.05 UNION ALL SELECT b, a, sim FROM jac WHERE sim >= 0.05)) WHERE k <= 5""")
 def knn_edges(spark, sf_dir):
-    return clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.35))
+    """The five best of each event at similarity 0.05 or more."""
+    return _knn(spark, sf_dir)
 
 
 def _components(spark, sf_dir):
     f = settled(clustering.event_weights(bridge.baskets(spark, sf_dir)))
-    pairs = settled(clustering.jaccard_pairs(f, 0.4))
-    return clustering.components(f.select("id").distinct(), pairs), f, pairs
+    pairs = settled(clustering.jaccard_pairs(f, 0.3))
+    return clustering.components(f.select("id").distinct(), pairs), f
 
 
-_REACH = """reach(id, c) AS (SELECT id, id FROM tot UNION SELECT e.x, r.c FROM reach r JOIN (SELECT a AS x, b AS y FROM jac WHERE sim >= 0.4 UNION ALL SELECT b, a FROM jac WHERE sim >= 0.4) e ON e.y = r.id WHERE r.c < e.x)"""
+_REACH = """reach(id, c) AS (SELECT id, id FROM tot UNION SELECT e.x, r.c FROM reach r JOIN (SELECT a AS x, b AS y FROM jac WHERE sim >= 0.3 UNION ALL SELECT b, a FROM jac WHERE sim >= 0.3) e ON e.y = r.id WHERE r.c < e.x)"""
+_COMPONENTS = "SELECT id, min(c) AS component FROM (WITH RECURSIVE " + _REACH + " SELECT * FROM reach) GROUP BY 1"
 
 
-@query("""SELECT id, min(c) AS component FROM (WITH RECURSIVE """ + _REACH + """ SELECT * FROM reach) GROUP BY 1""")
+@query(_COMPONENTS)
 def components(spark, sf_dir):
+    """Single linkage at similarity 0.3."""
     return _components(spark, sf_dir)[0]
 
 
-@query()
+@query(f"""SELECT * FROM (WITH comp AS MATERIALIZED ({_COMPONENTS}), size AS (SELECT component, count(*) AS n_members, string_agg(id, ',' ORDER BY id) AS members FROM comp GROUP BY 1),
+common AS (SELECT component, string_agg(feature, ',' ORDER BY feature) AS shared FROM (SELECT c.component, f.feature, count(*) AS m FROM comp c JOIN fw f ON f.id = c.id GROUP BY 1, 2)
+JOIN size USING (component) WHERE m = n_members AND n_members > 1 GROUP BY 1)
+SELECT printf('CAMPAIGN-%02d', row_number() OVER (ORDER BY n_members DESC, component)) AS campaign, n_members, members, coalesce(shared, '') AS shared FROM size LEFT JOIN common USING (component))""")
 def campaigns(spark, sf_dir):
-    comp, f, _ = _components(spark, sf_dir)
-    return clustering.campaigns(comp, f)
+    return clustering.campaigns(*_components(spark, sf_dir))
 
 
 @query()
 def communities(spark, sf_dir):
-    return clustering.communities(clustering.knn_edges(clustering.jaccard_pairs(clustering.event_weights(bridge.baskets(spark, sf_dir)), 0.35)))
+    """Multi-level communities of the five-nearest graph (tests/test_operators.py has modularity against brute force)."""
+    return clustering.communities(_knn(spark, sf_dir))
 
 
 # --- extraction and sinks ------------------------------------------------------------------------------------------------------

@@ -142,7 +142,6 @@ BLOCKS: dict[str, str] = {
     "jac": """SELECT a, b, round(low / (x.total + y.total - low), 9) AS sim FROM
         (SELECT f.id AS a, g.id AS b, sum(least(f.w, g.w)) AS low FROM fw f JOIN fw g ON f.feature = g.feature AND f.id < g.id GROUP BY 1, 2)
         JOIN tot x ON x.id = a JOIN tot y ON y.id = b""",
-    "jac5": "SELECT * FROM jac WHERE sim >= 0.35",
     "gold": "SELECT doc_id, unnest(regexp_extract_all(lang || ' ' || source, '[a-z]+[0-9]*')) AS label FROM documents",
     "pred": "SELECT doc_id, unnest([CASE WHEN n_chars % 5 = 0 THEN 'en' ELSE lang END, 'src' || (doc_id % 20 + (n_chars % 7 = 0)::INT)]) AS label FROM documents",
     "lcount": """SELECT label, count(*) FILTER (g.label IS NOT NULL AND p.label IS NOT NULL) AS tp, count(*) FILTER (g.label IS NULL) AS fp, count(*) FILTER (p.label IS NULL) AS fn
