@@ -30,8 +30,12 @@ from cairnspark.llm.shared import small_batches, table
 
 WINDOW = 35
 ANCHOR = 8
-#: Passages of a block that a task parses at once; the windows of larger blocks are counted one by one by Spark.
-BLOCK = 2048
+#: Passages of a block that a task parses at once (some hundred bytes each); the windows of larger blocks are counted one
+#: by one by Spark.
+BLOCK = 65536
+#: Sources that a factor is followed in. More would make factors longer, but cover the same words: where the sources end,
+#: the next factor starts at the next window.
+SOURCES = 64
 
 
 def index(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
@@ -119,7 +123,7 @@ def parse(prints: list[np.ndarray]) -> list[tuple[int, int, int]]:
             return out
         i = int(hits[j])
         g = group_of[i]
-        sources = order[starts[g] : starts[g] + counts[g]]
+        sources = order[starts[g] : starts[g] + min(int(counts[g]), SOURCES + 1)]
         sources = sources[sources != i]
         end = i
         while end + 1 < n and owner[end + 1] == owner[i] and known[end + 1]:
