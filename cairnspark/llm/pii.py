@@ -75,10 +75,11 @@ def found(kind: str, text: Column) -> Column:
         a = acc["at"] + F.length(pair["gap"])
         b = a + F.length(pair["m"])
         one = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), pair["m"].alias("value"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        # Only valid matches are appended, so that a text of many numbers costs linear time.
+        return F.struct(b.alias("at"), F.when(_valid(kind, pair["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     pairs = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("m")))
-    spans = F.filter(F.aggregate(pairs, start, step)["out"], lambda s: _valid(kind, s["value"]))
+    spans = F.aggregate(pairs, start, step)["out"]
     likely = F.lit(True) if NEEDED[kind] is None else F.contains(text, F.lit(NEEDED[kind]))
     if kind in ("card", "ip"):
         likely = likely & text.rlike("[0-9]")
