@@ -176,12 +176,11 @@ def _matches(text, item, free_t, free_i, length) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda m: (-m[0], m[1], m[2]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, n_tokens, covered, coverage) of pairs whose item is covered to `coverage` or more.
+def tiled_pairs(docs: DataFrame, benchmark: DataFrame, k: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """(row, doc_id, item_id, n_tokens, covered) of texts and items covered to `coverage` or more; row is the hash of id and text.
 
-    Null and empty texts, items of fewer than k tokens (too short to tell), and empty tables match nothing. A pair is
-    reported once, with its best coverage over the texts of the doc_id. Copies of an item are reported one by one. Texts
-    of any length are tiled whole. Columns other than ids and texts are left out, so their names cannot clash.
+    Null and empty texts, items of fewer than k tokens (too short to tell), and empty tables match nothing. Texts of
+    any length are tiled whole. Columns other than ids and texts are left out, so their names cannot clash.
     """
     small_batches(docs.sparkSession)
     items = written(benchmark_seeds(benchmark.where("item_id is not null"), k).where(F.size("seeds") > 0), "benchmark-seeds")
@@ -204,24 +203,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = SEED, coverage
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, c = [], []
-            for text, item in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, item in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 t, i = np.frombuffer(text, np.uint64), np.frombuffer(item, np.uint64)
                 n.append(len(i))
                 c.append(tile(t, i, k))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
-                ["doc_id", "item_id", "n_tokens", "covered"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
+                ["row", "doc_id", "item_id", "n_tokens", "covered"],
             )
 
-    tiled = todo.select("doc_id", "item_id", "text", "wanted").mapInArrow(
-        K.tidy(run), "doc_id long, item_id long, n_tokens long, covered long"
-    )
-    return (
-        tiled.groupBy("doc_id", "item_id", "n_tokens")
-        .agg(F.max("covered").alias("covered"))
-        .withColumn("coverage", F.col("covered") / F.col("n_tokens"))
-        .where(F.col("coverage") >= coverage)
-    )
+    return todo.select("row", "doc_id", "item_id", "text", "wanted").mapInArrow(
+        K.tidy(run), "row long, doc_id long, item_id long, n_tokens long, covered long"
+    ).where(F.col("covered") >= F.col("n_tokens") * coverage)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, n_tokens, covered, coverage) of tiled_pairs: a pair once, with its best coverage over the id's texts.
+
+    Copies of an item under other ids are reported one by one.
+    """
+    best = tiled_pairs(docs, benchmark, k, coverage).groupBy("doc_id", "item_id", "n_tokens").agg(F.max("covered").alias("covered"))
+    return best.withColumn("coverage", F.col("covered") / F.col("n_tokens"))
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, k: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """docs without the rows whose own text covers an item; rows with a null doc_id stay."""
+    found = tiled_pairs(docs, benchmark, k, coverage).select("row").distinct()
+    return docs.join(found, F.xxhash64("doc_id", "text") == found["row"], "left_anti")
 
 
 def op4_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

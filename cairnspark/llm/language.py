@@ -22,6 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnspark.llm import kernels as K
@@ -229,8 +230,8 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, int]:
         ones, twos = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
         cut = F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(F.lit(DISCOUNT))
         x = x.join(x.groupBy("lang").agg(cut.alias("d")), "lang")
-        sums = x.groupBy("lang", "context").agg((F.first("d") * F.count(F.lit(1)) / F.sum("c")).alias("weight"), F.sum("c").alias("total"))
-        x = x.join(sums, ["lang", "context"])
+        here = W.partitionBy("lang", "context")
+        x = x.withColumn("total", F.sum("c").over(here)).withColumn("weight", F.col("d") * F.count(F.lit(1)).over(here) / F.col("total"))
         if n == 1:
             x = x.withColumn("below", F.lit(1.0 / alphabet))
         else:
@@ -269,7 +270,8 @@ def model_rows(levels: DataFrame, langs: list[str], alphabet: int) -> DataFrame:
     parts, lower = [], None
     for n in range(1, ORDER + 1):
         x = levels.where(F.col("n") == n)
-        contexts = x.dropDuplicates(["lang", "context"]).groupBy("context").agg(by_lang(F.col("weight")).alias("w"))
+        # One gram of each context speaks for it: the same language's weights are equal.
+        contexts = x.groupBy("context", "lang").agg(F.first("weight").alias("weight")).groupBy("context").agg(by_lang(F.col("weight")).alias("w"))
         grams = x.groupBy("gram").agg(by_lang(F.col("p")).alias("m"), F.first("context").alias("context")).join(contexts, "context", "left")
         if n == 1:
             grams = grams.withColumn("below", F.array_repeat(F.lit(math.log(1.0 / alphabet)), len(langs)))
@@ -336,8 +338,8 @@ def _sent_entropies(rows: DataFrame, columns: list[str], model: Model) -> DataFr
                 wide = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(m.langs), pa.int32()), pa.array(h.ravel()))
                 yield pa.RecordBatch.from_arrays([*own, pa.array(chars), wide], [*columns, "chars", "h"])
 
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.select("text", *columns).mapInArrow(K.tidy(run), f"{kinds}, chars double, h array<double>")
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.select(F.col("text").alias("__text"), *columns).mapInArrow(K.tidy(run), f"{kinds}, chars double, h array<double>")
 
 
 def _joined_entropies(rows: DataFrame, columns: list[str], model: Model) -> DataFrame:
@@ -453,17 +455,32 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     if not model.langs:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    least = F.array_min("h")
-    best = F.array_position("h", least).cast("int")
+    best, least, accepted = _decision(model)
     others = F.aggregate("h", F.lit(0.0), lambda z, x: z + F.exp(-model.sharpness * (x - least)))
-    limit = F.element_at(F.array(*[F.lit(float(x)) for x in model.limit]), best)
     told = F.col("chars") > 0
     return entropies(docs.select("doc_id", "text"), ["doc_id"], model).select(
         "doc_id", F.when(told, F.element_at(F.array(*[F.lit(x) for x in model.langs]), best)).otherwise("und").alias("lang_pred"),
-        F.when(told, 1.0 / others).otherwise(0.0).alias("score"), (told & (least <= limit)).alias("accepted"),
+        F.when(told, 1.0 / others).otherwise(0.0).alias("score"), accepted.alias("accepted"),
     )
 
 
+def _decision(model: Model) -> tuple[Column, Column, Column]:
+    """Place of the language with the least cross-entropy, that cross-entropy, and whether the text is accepted."""
+    least = F.array_min("h")
+    best = F.array_position("h", least).cast("int")
+    limit = F.element_at(F.array(*[F.lit(float(x)) for x in model.limit]), best)
+    return best, least, (F.col("chars") > 0) & (least <= limit)
+
+
+def accepted_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text is accepted, with their own columns: none without a language."""
+    if not model.langs:
+        return docs.limit(0)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)], "text")
+    found = entropies(own, own.columns[:-1], model).where(_decision(model)[2])
+    return found.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def fold(column: str = "doc_id"):
     """crc32 of the id as text, modulo 4; 2 is held out."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4))

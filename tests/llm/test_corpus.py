@@ -705,24 +705,89 @@ def test_anchor_windows_are_all_owned():
     assert owned == {(int(row[i]), i) for i in range(481) if row[i] == row[i + 19]}
 
 
+def strange(spark):
+    """A very long text and its copy, a null id, rows of one id, and columns named like the operators' own."""
+    long_ = " ".join(f"word{i % 9973}x{i % 997}" for i in range(40_000))
+    rows = [(1, long_), (2, long_), (3, "short text here"), (3, "another text under the same id"), (None, "no id at all"), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("row", "gram", "whole", "node", "fp", "size", "seeds", "tokens", "h", "chars", "base", "terms", "line", "pos", "ids", "stays", "held", "own", "__text", "n_lines", "part", "salt"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def test_strange_rows_in_every_operator(spark):
+    df = strange(spark)
+    by_text = lambda got, f: sorted(((r.doc_id is None, r.doc_id or 0, f(r)) for r in got), key=str)
+    one = by_text(rlz.remove_duplicates(df).collect(), lambda r: (r.n_words, r.n_removed))
+    assert one == sorted([(False, 1, (40_000, 40_000)), (False, 2, (40_000, 40_000)), (False, 3, (3, 0)), (False, 3, (6, 0)), (True, 0, (4, 0)), (False, 4, (0, 0)), (False, 4, (0, 0))], key=str)
+    ten = by_text(bwt.remove_duplicates(df).collect(), lambda r: r.n_removed == r.n_bytes)
+    assert [x[2] for x in ten if x[1] in (1, 2)] == [True, True] and [x[2] for x in ten if x[1] == 3] == [False, False]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect() if r.doc_id in (1, 2)} == {1: 1, 2: 1}
+    assert pii.report(pii.base_findings(df)).count() == 7 and pii.sanitise(df).where("base_in = 'clash'").count() == 7
+    bench = spark.createDataFrame([(9, "another text under the same id"), (8, "word5x5 word6x6 word7x7 word8x8 word9x9")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(df, bench).collect()} == {(1, 8), (2, 8), (3, 9)}
+    assert sorted(str(r.text)[:7] for r in decontaminate.clean_rows(df, bench).collect()) == ["", "None", "no id a", "short t"]
+    assert lines.drop_boilerplate(df, min_sites=1).where("n_lines_in = 'clash'").count() == 7
+    model = language.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"))
+    assert language.predict(df, model).count() == 7 and set(language.accepted_rows(df, model).columns) == set(df.columns)
+    path = queries.piece_model()
+    assert min(r.n_tokens for r in sentencepiece_codec.digests(df, path).collect()) == 2
+    kept = simhash.keep_one_per_group(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "3", "4", "4", "None"]
+
+
 def test_pipeline_brute_force(spark):
-    """Decisions of the stages against plain versions of them."""
+    """Every stage's decisions, each on its own input, against plain versions of them."""
     import corpus_pipeline as p
+    import sentencepiece
 
     docs = shared.table(spark, SF, "documents")
     assert [n for n, _ in p.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "tokenise"]
-    one = p.language_id(spark, docs, SF)
-    assert one.columns == docs.columns and one.count() > 0.95 * docs.count()
-    two = p.line_dedup(spark, one, SF)
-    assert two.columns == docs.columns and two.count() == one.count()
-    three = p.near_dedup(spark, two, SF)
-    left = {r.doc_id: r.text for r in three.collect()}
-    assert len(set(left.values())) == len(left.values())  # no exact copies stay
-    four = {r.doc_id for r in p.decontamination(spark, three, SF).collect()}
-    items = [re.findall(r"[0-9a-z\u0080-\uffff]+", (r.text or "").lower()) for r in shared.table(spark, SF, "benchmark").collect()]
-    for i, t in left.items():
-        joined = " " + " ".join(re.findall(r"[0-9a-z\u0080-\uffff]+", (t or "").lower())) + " "
-        if any(f" {' '.join(w)} " in joined for w in items if len(w) >= 5):
-            assert i not in four
-    out = p.run(spark, SF)
-    assert out.count() == len(four) and "ids_sha256" in out.columns
+    rows = lambda df: {r.doc_id: r for r in df.collect()}
+    told = rows(language.predict(docs, language.train(docs.where(language.fold() != 2))))
+    one_df = shared.written(p.language_id(spark, docs, SF), "one")
+    one = rows(one_df)
+    assert one_df.columns == docs.columns and set(one) == {i for i, r in told.items() if r.accepted} and len(one) > 0.95 * docs.count()
+    assert all(i in one for i, r in rows(docs).items() if r.text and len(r.text) > 200 and r.lang == told[i].lang_pred)
+
+    sites = collections.defaultdict(set)
+    for r in one.values():
+        for line in (r.text or "").split("\n"):
+            sites[line.strip(" ")].add(r.source)
+    bad = {x for x, s in sites.items() if x and len(s - {None}) >= 10}
+    two_df = shared.written(p.line_dedup(spark, one_df, SF), "two")
+    two = rows(two_df)
+    assert two.keys() == one.keys() and bad
+    for i, r in one.items():
+        assert two[i].text == "\n".join(x for x in r.text.split("\n") if x.strip(" ") not in bad) and (two[i].text == r.text or two[i].n_chars == len(two[i].text))
+
+    sets, root = {i: brute_sets(r.text) for i, r in two.items()}, {i: i for i in two}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and root[i] != root[j] and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if r == old else r for k, r in root.items()}
+    three_df = shared.written(p.near_dedup(spark, two_df, SF), "three")
+    three = rows(three_df)
+    assert set(three) == {i for i, r in root.items() if i == r} and len(three) < len(two)
+
+    toks = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = [toks(r.text) for r in shared.table(spark, SF, "benchmark").collect()]
+    dirty = set()
+    for i, r in three.items():
+        doc = toks(r.text)
+        have = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
+        for item in items:
+            if len(item) >= 5 and 5 * sum(tuple(item[k : k + 5]) in have for k in range(len(item) - 4)) >= len(item) / 2:
+                code = {w: n for n, w in enumerate(dict.fromkeys(doc + item))}
+                if brute_tiles([code[w] for w in doc], [code[w] for w in item], 5) >= len(item) / 2:
+                    dirty.add(i)
+    four_df = shared.written(p.decontamination(spark, three_df, SF), "four")
+    assert set(rows(four_df)) == set(three) - dirty and dirty
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    out = rows(p.run(spark, SF))
+    assert set(out) == set(rows(four_df))
+    for i, r in rows(four_df).items():
+        ids = sp.encode(r.text or "", add_bos=True, add_eos=True)
+        assert out[i].n_tokens == len(ids) and out[i].ids_sha256 == H(np.array(ids, "<u4").tobytes())
