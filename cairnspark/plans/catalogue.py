@@ -730,6 +730,30 @@ def cypher_lines(spark, sf_dir):
     return sinks.cypher(bridge.baskets(spark, sf_dir))
 
 
+@query()
+def classifier_labels(spark, sf_dir):
+    """Languages of all documents by a classifier fitted on the labelled ones (tests/test_operators.py has its accuracy)."""
+    from cairnspark.operators.ml import Classifier
+
+    d = bridge.table(spark, sf_dir, "documents").where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").alias("label"))
+    some = d.join(bridge.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return Classifier.fit(some.select("doc_id", "text"), some.select("doc_id", "label")).predict(d.select("doc_id", "text"))
+
+
+@query("""SELECT report_id, grp, tier FROM (SELECT report_id, tier, count(DISTINCT grp) AS n, min(grp) AS grp, row_number() OVER (PARTITION BY report_id ORDER BY tier) AS rn FROM
+(SELECT page_id AS report_id, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS t FROM pages) p JOIN
+(SELECT 'N' || n_nationkey AS grp, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS alias, 'group' AS tier FROM nation
+ UNION ALL SELECT min('H' || ord), alias, 'software' FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS name, regexp_replace(lower(regexp_extract(url, '^https?://([^/]+)', 1)), '[^a-z0-9]', '', 'g') AS alias, min(page_id) AS ord
+  FROM pages GROUP BY 1) GROUP BY alias HAVING count(*) = 1) v ON contains(p.t, v.alias) AND length(v.alias) >= 5 AND NOT regexp_full_match(v.alias, '[0-9]+') GROUP BY 1, 2) WHERE rn = 1 AND n = 1""")
+def report_labels(spark, sf_dir):
+    """Pages labelled by the one nation, or else the one host, that their address names."""
+    nation = bridge.table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("grp"), F.col("n_name").alias("name"), F.lit("group").alias("tier"), F.col("n_nationkey").cast("long").alias("ord"))
+    host = bridge.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("name"), "page_id")
+    host = host.groupBy("name").agg(F.min("page_id").alias("ord")).select(F.concat(F.lit("H"), F.col("ord")).alias("grp"), "name", F.lit("software").alias("tier"), "ord")
+    pages = bridge.table(spark, sf_dir, "pages").select(F.col("page_id").alias("report_id"), F.col("url").alias("title"))
+    return protocols.label_reports(pages, protocols.alias_vocabulary(nation.unionByName(host)))
+
+
 # --- events --------------------------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.functions import domain
-from cairnspark.operators import ach, calibration, clustering, extraction, incidents, intervals, metrics, sinks
+from cairnspark.functions import ranking
+from cairnspark.operators import ach, calibration, clustering, extraction, incidents, intervals, metrics, protocols, sinks
 from cairnspark.sources import readers
 
 
@@ -214,3 +215,96 @@ def test_classifier(spark):
     assert folds(texts, 3, 1).groupBy("fold").count().count() == 3
     s = spark.createDataFrame([(7, "dump memory credential now", 3, 29)], "doc_id long, sentence string, start int, end int")
     assert model.hits(s, 0.5).first().item_id == "T1"
+
+
+@pytest.mark.parametrize("b, c", [(0, 0), (3, 9), (600, 600), (3000, 3100), (0, 2000), (5, 1)])
+def test_mcnemar_of_any_size(spark, b, c):
+    from fractions import Fraction
+
+    n, k = b + c, min(b, c)
+    term, total = Fraction(1), Fraction(1)
+    for i in range(1, k + 1):
+        term = term * (n - i + 1) / i
+        total += term
+    want = min(1.0, float(2 * total / 2**n)) if n else 1.0
+    got = one(spark.createDataFrame([(b, c)], "b int, c int").select(domain.mcnemar(F.col("b"), F.col("c")).alias("p"))).p
+    assert math.isclose(got, want, rel_tol=1e-9, abs_tol=1e-300)
+
+
+def test_places_over_many_ranges(spark):
+    x = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    got = {r.k: r.rn for r in ranking.numbered(x, F.desc("k")).collect()}
+    assert got == {k: 1000 - k for k in range(1000)}
+
+
+def test_keywords_without_latin_letters(spark):
+    kb = spark.createDataFrame([("a", "ttp", "A", ["--", "\u0442\u0430\u043d\u043a"], 0), ("b", "tool", "B", ["x\\Ey z", ""], 1), ("c", "tool", "C", None, 2)], "item_id string, item_type string, name string, keywords array<string>, ord int")
+    docs = [(1, "one -- two"), (2, "\u0422\u0410\u041d\u041a!"), (3, "an x\\Ey z here"), (4, None), (5, "")]
+    got = {(r.doc_id, r.item_id): (r.matched, r.start, r.end) for r in extraction.keyword_hits(spark.createDataFrame(docs, "doc_id int, text string"), kb).collect()}
+    assert got == {(1, "a"): ("--", 4, 6), (2, "a"): ("\u0442\u0430\u043d\u043a", 0, 4), (3, "b"): ("x\\Ey z", 3, 9)}
+
+
+def test_indicators_brute_force(spark, sf_dir):
+    """Every span of the given texts against the same patterns in Python, the more specific type first."""
+    import re
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").collect()]
+    rows += [(-1, "see hxxp://a[.]b.com/x), CVE-2024-12345 a.b@c.org 1.2.3.4 " + "ab" * 32), (-2, "1[.]2[.]3[.]4 and x[.]example.")]
+    want = []
+    for i, t in rows:
+        clean, at, j = "", [], 0
+        while j < len(t):
+            step = 3 if t.startswith("[.]", j) else 1
+            clean, j = clean + ("." if step == 3 else t[j]), j + step
+            at.append((j - step, j))
+        fixed = re.sub("(?i)hxxp", "http", clean)
+        taken = []
+        for name, p in extraction.INDICATORS:
+            for m in re.finditer(p.replace("(?U)", ""), fixed, 0 if "(?U)" in p else re.ASCII):
+                if not any(a < m.end() and b > m.start() for a, b in taken):
+                    taken.append((m.start(), m.end()))
+                    want.append((i, name, re.sub(r"[.,);\]]+$", "", m[0]), at[m.start()][0], at[m.end() - 1][1]))
+    got = [(r.doc_id, r.type, r.value, r.start, r.end) for r in extraction.indicators(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_communities_of_cliques(spark):
+    """Three cliques in a ring: found whole, and no single move raises the modularity."""
+    rows = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(5) for j in range(i)] + [("a0", "b0", 0.2), ("b1", "c1", 0.2), ("c2", "a2", 0.2)]
+    edges = spark.createDataFrame(rows, "a string, b string, sim double")
+    got = {r.id: r.community for r in clustering.communities(edges).collect()}
+    assert got == {f"{g}{i}": f"{g}0" for g in "abc" for i in range(5)}
+    truth = spark.createDataFrame([(k, k[0]) for k in got], "id string, truth string")
+    assert tuple(one(clustering.order_spread(edges, truth, seeds=2))) == (2, 1.0, 0.0, 1.0, 1.0)
+
+
+def test_report_labels_and_citations(spark):
+    names = [("G1", "Dark Fox", "group", 0), ("G2", "dark-fox", "group", 1), ("G2", "Nightowl", "group", 2), ("G1", "12345", "group", 3), ("G1", "abc", "group", 4), ("G1", "Ferret", "software", 5), ("G2", "Ferret", "software", 6), ("G1", "Weasel", "software", 7)]
+    v = protocols.alias_vocabulary(spark.createDataFrame(names, "grp string, name string, tier string, ord int"))
+    assert {tuple(r) for r in v.collect()} == {("darkfox", "G1", "group"), ("nightowl", "G2", "group"), ("weasel", "G1", "software")}
+    titles = [(1, "The DARK FOX returns"), (2, "Dark fox and NightOwl"), (3, "weasel loader"), (4, None), (5, "nothing")]
+    got = {tuple(r) for r in protocols.label_reports(spark.createDataFrame(titles, "report_id int, title string"), v).collect()}
+    assert got == {(1, "G1", "group"), (3, "G1", "software")}
+    reports = spark.createDataFrame([(1, "G1", ["returns", "darkfox"], 2020)], "report_id int, grp string, words array<string>, year int")
+    refs = spark.createDataFrame([("G1", "Vendor Returns", ["returns"]), ("G1", "Dark Fox 2020", ["darkfox"]), ("G1", "Dark Fox", ["darkfox"]), ("G2", "x", ["returns"])], "grp string, reference string, words array<string>")
+    names = spark.createDataFrame([("G1", ["darkfox"])], "grp string, names array<string>")
+    assert {r.reference for r in protocols.self_citations(reports, refs, names).collect()} == {"Vendor Returns", "Dark Fox 2020"}
+
+
+def test_group_folds(spark):
+    x = spark.createDataFrame([("G0007",), ("G12",), ("G",), ("C:1:x",)], "g string").select(protocols.group_fold(F.col("g")).alias("f"))
+    assert [r.f for r in x.collect()][:3] == [1, 0, 0]
+
+
+def test_classifier_weights_are_sublinear(spark, tmp_path):
+    from cairnspark.operators.ml import Classifier, Featuriser
+
+    texts = spark.createDataFrame([(1, "alpha alpha alpha beta"), (2, "alpha beta gamma")], "doc_id long, text string")
+    f = Featuriser.fit(texts, min_df=1, characters=True)
+    tf = {r.doc_id: r.tf for r in f.transform(texts).collect()}
+    assert max(tf[1].values) == pytest.approx(1 + math.log(3)) and min(tf[2].values) == 1.0
+    labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, label string")
+    model = Classifier.fit(texts, labels, min_examples=1, min_df=1)
+    model.save(str(tmp_path / "m"))
+    again = Classifier.load(spark, str(tmp_path / "m"), ["x", "y"])
+    assert sorted(map(tuple, again.predict(texts).collect())) == sorted(map(tuple, model.predict(texts).collect()))
