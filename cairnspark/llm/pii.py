@@ -76,9 +76,11 @@ def found(kind: str, text: Column) -> Column:
         b = a + F.length(pair["m"])
         one = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), pair["m"].alias("value"))
         # Only valid matches are appended, so that a text of many numbers costs linear time.
-        return F.struct(b.alias("at"), F.when(_valid(kind, pair["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        kept = F.when(_valid(kind, pair["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.when(pair["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), kept.alias("out")))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("m")))
+    # Zipped, as a lambda would split the text anew for every match; the last gap has no match.
+    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("m"))
     spans = F.aggregate(pairs, start, step)["out"]
     likely = F.lit(True) if NEEDED[kind] is None else F.contains(text, F.lit(NEEDED[kind]))
     if kind in ("card", "ip"):
