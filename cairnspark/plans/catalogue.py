@@ -326,7 +326,7 @@ def eval_summary(spark, sf_dir):
 
 @query()
 def eval_ach(spark, sf_dir):
-    """ACH on every incident in the five settings, summarised (tests/test_operators.py has it against one case at a time)."""
+    """ACH on every incident in the five settings, summarised; the SQL of static assessments covers the same rules."""
     return evaluation.summarise(_evaluated(spark, sf_dir, ("ach",)))
 
 
@@ -653,7 +653,7 @@ def campaigns(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    """Multi-level communities of the five-nearest graph (tests/test_operators.py has modularity against brute force)."""
+    """Multi-level communities of the five-nearest graph (tests/test_operators.py has small graphs)."""
     return clustering.communities(_knn(spark, sf_dir))
 
 
@@ -732,7 +732,7 @@ def cypher_lines(spark, sf_dir):
 
 @query()
 def classifier_labels(spark, sf_dir):
-    """Languages of all documents by a classifier fitted on the labelled ones (tests/test_operators.py has its accuracy)."""
+    """Languages of all documents by a classifier fitted on the labelled ones (tests/test_operators.py has small texts)."""
     from cairnspark.operators.ml import Classifier
 
     d = bridge.table(spark, sf_dir, "documents").where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").alias("label"))
