@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import ann, bwt, chat, decontaminate, language, lines, pii, rlz, sentencepiece_codec, simhash
+from cairnspark.llm import ann, bwt, chat, decontaminate, language, lines, pii, repair, rlz, sentencepiece_codec, simhash, toxicity, trie
 from cairnspark.llm.shared import table
 
 
@@ -47,6 +47,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": chat.op8_chat,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_bwt": bwt.op10_bwt,
+        "op11_repair": repair.op11_repair,
+        "op12_trie": trie.op12_trie,
+        "op13_toxicity": toxicity.op13_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
