@@ -691,8 +691,30 @@ def keyword_hits(spark, sf_dir):
     return _hits(spark, sf_dir).select("doc_id", "item_id", "matched")
 
 
-@query()
+def _ioc_sql() -> str:
+    """Matches laid end to end give offsets; then each type in order of precedence keeps what overlaps nothing kept before."""
+    parts = []
+    for i, (name, pattern) in enumerate(extraction.INDICATORS):
+        p = pattern.replace("'", "''")
+        parts.append(f"SELECT doc_id, {i} AS k, '{name}' AS type, regexp_extract_all(c, '{p}') AS hits, regexp_split_to_array(c, '{p}') AS gaps FROM clean")
+    steps = []
+    for i in range(len(extraction.INDICATORS)):
+        before = f"SELECT * FROM kept{i - 1}" if i else "SELECT * FROM places WHERE FALSE"
+        steps.append(f"kept{i} AS MATERIALIZED ({before} UNION ALL SELECT * FROM places p WHERE k = {i} AND NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.doc_id = p.doc_id AND b.a < p.b AND b.b > p.a))")
+    return rf"""WITH clean AS (SELECT doc_id, text, regexp_replace(replace(text, '[.]', '.'), 'hxxp', 'http', 'gi') AS c FROM documents WHERE text IS NOT NULL),
+found AS (SELECT doc_id, k, type, unnest(hits) AS value, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS place FROM ({" UNION ALL ".join(parts)}) WHERE len(hits) > 0),
+ends AS (SELECT *, sum(length(value) + length(gap)) OVER (PARTITION BY doc_id, k ORDER BY place) AS b FROM found),
+places AS (SELECT doc_id, k, type, value, b - length(value) AS a, b FROM ends), {", ".join(steps)},
+pieces AS (SELECT doc_id, unnest(string_split(text, '[.]')) AS piece, unnest(range(len(string_split(text, '[.]')))) AS place FROM clean WHERE contains(text, '[.]')),
+dots AS (SELECT doc_id, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY place) AS behind, place < max(place) OVER (PARTITION BY doc_id) AS real FROM pieces),
+shifted AS (SELECT p.*, (SELECT count(*) FROM dots d WHERE d.doc_id = p.doc_id AND d.real AND d.behind <= p.a) AS da, (SELECT count(*) FROM dots d WHERE d.doc_id = p.doc_id AND d.real AND d.behind <= p.b - 1) AS db FROM kept{len(steps) - 1} p)
+SELECT s.doc_id, type, regexp_replace(value, '[.,);\]]+$', '') AS value, (a + 2 * da)::INT AS "start", (b + 2 * db)::INT AS "end", substr(text, (a + 2 * da + 1)::BIGINT, (b + 2 * db - a - 2 * da)::BIGINT) AS text,
+(row_number() OVER (PARTITION BY s.doc_id ORDER BY k, a) - 1)::INT AS pos FROM shifted s JOIN documents d ON d.doc_id = s.doc_id"""
+
+
+@query(_ioc_sql())
 def ioc_spans(spark, sf_dir):
+    """Every indicator with its span in the original text."""
     return extraction.indicators(bridge.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
