@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -184,19 +184,35 @@ def worlds(uses: DataFrame, incidents: DataFrame, actors: DataFrame, kb: DataFra
     return {"cases": case, "items": items, "deltas": delta, "usage": usage, "markers": planted_markers(case.select("case_id", "target"))}
 
 
-def ach_attribution(world, scores: DataFrame, actors: DataFrame, profile: DataFrame, k: int = 8, config: ach.Config = ach.DEFAULT, method="ach"):
-    """Shortlist, matrix, ranking and grade for all cases in one plan."""
-    case, markers = world["cases"], world["markers"]
-    ranked = with_rank(scores, actors, case, "score")
-    marked = markers.select("case_id", F.explode("points_to").alias("actor_id")).distinct()
-    cand = ranked.where(F.col("rank") <= k).select("case_id", "actor_id", "ord").union(
+def world_candidates(world, scores: DataFrame, actors: DataFrame, k: int = 8) -> DataFrame:
+    """(case_id, actor_id, ord): the k most similar actors of each case and those that markers point at."""
+    ranked = with_rank(scores, actors, world["cases"], "score")
+    marked = world["markers"].select("case_id", F.explode("points_to").alias("actor_id")).distinct()
+    return ranked.where(F.col("rank") <= k).select("case_id", "actor_id", "ord").union(
         ranked.join(marked, ["case_id", "actor_id"], "left_semi").select("case_id", "actor_id", "ord")
     ).distinct()
+
+
+def world_assessment(world, candidates: DataFrame, profile: DataFrame, config: ach.Config = ach.DEFAULT) -> ach.Assessment:
+    """Matrix, ranking and grade for all cases in one plan."""
     flags = world["usage"].select("case_id", "item_id", "is_common", "is_rare")
-    evidence = evidence_from_items(world["items"], flags, ["case_id", "item_id"]).unionByName(markers)
+    evidence = evidence_from_items(world["items"], flags, ["case_id", "item_id"]).unionByName(world["markers"])
     facets = profile.select("actor_id", F.when(F.col("item_id").startswith("S"), "tool").otherwise("ttp").alias("facet"), F.col("item_id").alias("value"), "parent")
     removed = world["deltas"].select("case_id", F.col("grp").alias("actor_id"), F.col("item_id").alias("value"))
-    out = ach.assess(evidence, cand, facets, removed, None, config)
+    return ach.assess(evidence, candidates, facets, removed, None, config)
+
+
+def ach_decisions(world, candidates: DataFrame, profile: DataFrame, config: ach.Config = ach.DEFAULT) -> DataFrame:
+    """The cases with leading and flagged by ACH."""
+    a = world_assessment(world, candidates, profile, config)["assessments"]
+    return world["cases"].join(a.select(
+        "case_id", F.when(F.col("leading_kind") == "actor", F.col("leading_actor")).alias("leading"), F.when(F.col("leading_kind") == "false_flag", F.col("leading_actor")).alias("flagged")
+    ), "case_id")
+
+
+def ach_attribution(world, scores: DataFrame, actors: DataFrame, profile: DataFrame, k: int = 8, config: ach.Config = ach.DEFAULT, method="ach"):
+    """ACH's attribution of every case, in the form of simple_attribution."""
+    out = world_assessment(world, world_candidates(world, scores, actors, k), profile, config)
     a = out["assessments"]
     top5 = out["scores"].where("kind = 'actor'")
     by = W.partitionBy("case_id").orderBy("rank")
@@ -208,5 +224,56 @@ def ach_attribution(world, scores: DataFrame, actors: DataFrame, profile: DataFr
     )
 
 
+# --- variants of a case: thresholds, numbers of markers --------------------------------------------------------------------
+
+
+def variant(case_id, v) -> Column:
+    """The case's id in a variant."""
+    return F.concat_ws("@", case_id, v.cast("string"))
+
+
+def spread(t: DataFrame, grid: DataFrame) -> DataFrame:
+    """t once for each variant v of a small grid, a parameter."""
+    return t.crossJoin(F.broadcast(grid.select("v"))).withColumn("case_id", variant(F.col("case_id"), F.col("v"))).drop("v")
+
+
+def threshold_variants(world, kb: DataFrame, grid: DataFrame) -> dict[str, DataFrame]:
+    """The world with every case at each pair of thresholds of grid (v, common_frac, rare_max): only the flags differ.
+
+    Cases, items, markers and what is taken from profiles are the same in all variants; they are repeated, not rebuilt.
+    """
+    whole = kb.select("item_id", "kind", F.col("usage").alias("u"), F.col("n_groups").alias("n"))
+    x = world["usage"].select("case_id", "item_id", "usage", "n_groups").join(whole, "item_id").crossJoin(F.broadcast(grid))
+    common = ((F.col("kind") == "ttp") & (F.col("u") >= F.col("n") * F.col("common_frac"))) | ((F.col("usage") > 0) & (F.col("usage") >= F.col("n_groups") * F.col("common_frac")))
+    flags = x.select(variant(F.col("case_id"), F.col("v")).alias("case_id"), "item_id", common.alias("is_common"), F.col("usage").between(F.lit(1), F.col("rare_max")).alias("is_rare"))
+    return {"usage": settled(flags)} | {k: settled(spread(world[k], grid)) for k in ("cases", "items", "deltas", "markers")}
+
+
+def marker_variants(world, counts: list[int]) -> dict[str, DataFrame]:
+    """The world with every case at each number of planted markers; v is the number."""
+    grid = world["cases"].sparkSession.createDataFrame([(n,) for n in counts], "v int")
+    out = {k: settled(spread(world[k], grid)) for k in ("cases", "items", "deltas", "usage")}
+    target = world["cases"].select("case_id", "target")
+    marks = union([planted_markers(target, n).withColumn("case_id", variant(F.col("case_id"), F.lit(n))) for n in counts])
+    return out | {"markers": settled(marks)}
+
+
+def marker_scores(scores: DataFrame, case: DataFrame, counts: list[int], boost: float = 0.15) -> DataFrame:
+    """scores for each number of markers: cosine and coverage stay, markers add their boost to their target."""
+    grid = scores.sparkSession.createDataFrame([(n,) for n in counts], "v int")
+    t = case.select("case_id", F.col("target").alias("actor_id"), F.lit(1).alias("marked")).where("actor_id is not null")
+    x = scores.select("case_id", "actor_id", "cosine", "coverage").join(t, ["case_id", "actor_id"], "left").crossJoin(F.broadcast(grid))
+    return x.select(
+        variant(F.col("case_id"), F.col("v")).alias("case_id"), "actor_id", "cosine", "coverage", (F.col("cosine") + boost * F.col("v") * F.coalesce("marked", F.lit(0))).alias("score")
+    )
+
+
+def rates(x: DataFrame, *by: str) -> DataFrame:
+    """Of judged decisions: how many, and the five rates."""
+    return x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), *(F.round(F.avg(F.col(c).cast("double")), 9).alias(c) for c in ("accuracy", "named_true", "framed_named", "detected", "declined"))
+    )
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)

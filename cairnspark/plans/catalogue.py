@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairnspark.functions.domain import parent_of
 from cairnspark.functions.reuse import settled
 from cairnspark.operators import ach, attribution, calibration, clustering, evaluation, extraction, incidents, intervals, knowledge, metrics, protocols, sinks
-from cairnspark.plans.oracles import sql
+from cairnspark.plans.oracles import BLOCKS, sql
 from cairnspark.sources import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,21 +22,30 @@ TAUS = [round(0.1 + 0.02 * i, 2) for i in range(21)]
 FINE_TAUS = [round(0.005 * i, 3) for i in range(161)]
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
+    """Registers a query and its SQL, which reads blocks unless it is whole already."""
+
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if oracle is not None:
-            _SQL[f.__name__] = sql(oracle)
+            _SQL[f.__name__] = oracle if whole else sql(oracle)
         return f
 
     return add
 
 
+def _all() -> None:
+    """Has the other modules of queries registered, too."""
+    from cairnspark.plans import protocol_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -228,7 +237,20 @@ ABLATIONS = {
 }
 
 
-@query()
+def _ablation_sql() -> str:
+    """The static assessment with one block of its rules changed at a time."""
+    hyps, wts, graded = (BLOCKS[b] for b in ("hyps", "wts", "graded"))
+    flags, unknown, least = hyps.index("UNION ALL SELECT case_id, 'FF-'"), hyps.rindex("UNION ALL"), graded.index("(least(")
+    changed = {
+        "no_false_flags": {"hyps": hyps[:flags] + hyps[unknown:]}, "no_unknown": {"hyps": hyps[:unknown]},
+        "no_discount": {"wts": wts.replace(" * (CASE WHEN e.spoofable THEN 0.5 ELSE 1.0 END)", "")}, "no_diagnosticity": {"wts": wts.replace("e.base_weight * s.spread", "e.base_weight")},
+        "no_caps": {"graded": graded[:least] + "(" + graded[least + 7 : graded.index("ELSE 0 END") + 10] + " + 1)::INT] AS confidence FROM assessed"},
+    }
+    one = "SELECT leading_kind, confidence, count(*) AS n, '{}' AS variant FROM graded GROUP BY 1, 2"
+    return " UNION ALL ".join(f"SELECT * FROM ({sql(one.format(name), **blocks)})" for name, blocks in changed.items())
+
+
+@query(_ablation_sql(), whole=True)
 def ach_ablations(spark, sf_dir):
     """How leaders and grades come out with one switch off at a time."""
     parts = []
@@ -324,9 +346,13 @@ def eval_summary(spark, sf_dir):
     return evaluation.summarise(_evaluated(spark, sf_dir))
 
 
-@query()
+@query("""SELECT 'ach' AS method, setting, count(*) AS n, round(avg(correct::INT), 9) AS accuracy, round(avg(framed_named::INT), 9) AS framed_rate, round(avg(top5::INT), 9) AS top5_rate, round(avg(("leading" IS NULL)::INT), 9) AS declined,
+round(avg(detected::INT), 9) AS detected_rate, round(count(*) FILTER (correct AND "leading" IS NOT NULL) / nullif(count(*) FILTER ("leading" IS NOT NULL), 0), 9) AS precision_when_named,
+count(*) FILTER (p >= 0.8 AND NOT correct) AS overconfident_errors, round(avg(p), 9) AS mean_probability FROM (SELECT r.*, CASE WHEN setting = 'open' THEN r."leading" IS NULL WHEN setting IN ('closed', 'authentic') THEN named_true ELSE named_true OR detected END AS correct,
+CASE g.confidence WHEN 'high' THEN 0.875 WHEN 'moderate' THEN 0.675 ELSE 0.5 END AS p, coalesce(t.hit, FALSE) AS top5 FROM xrec r JOIN xgraded g ON g.case_id = r.case_id LEFT JOIN (SELECT case_id, actor_id, rn <= 5 AS hit FROM (SELECT case_id, actor_id,
+row_number() OVER (PARTITION BY case_id ORDER BY rank) AS rn FROM xscored WHERE kind = 'actor')) t ON t.case_id = r.case_id AND t.actor_id = r.grp) GROUP BY 2""")
 def eval_ach(spark, sf_dir):
-    """ACH on every incident in the five settings, summarised; the SQL of static assessments covers the same rules."""
+    """ACH on every incident in the five settings, summarised."""
     return evaluation.summarise(_evaluated(spark, sf_dir, ("ach",)))
 
 

@@ -149,19 +149,58 @@ BLOCKS: dict[str, str] = {
     "camp": """SELECT DISTINCT 'C:' || user_id || ':' || event_type || ':' || CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS BIGINT) AS campaign, 'G' || user_id AS grp,
         (CASE WHEN event_type IN ('purchase','signup') THEN 'S' ELSE 'T' END) || event_type || (k // 10) || '.' || (k % 10) AS target, strftime(ts, '%Y-%m-%d') AS reference FROM keyed""",
 }
+_WORLD = {
+    # ACH in hold-out worlds. A case may stand in variants (thresholds, number of markers): xcs has their values, base is the case.
+    "xcs": "SELECT case_id, case_id AS base, incident_id, grp, setting, framed, target, 3 AS n_marks, 0.15 AS cf, 13 AS rm FROM wcs",
+    "xmarks": "SELECT case_id, target, unnest(range(1, n_marks + 1)) AS i FROM xcs WHERE target IS NOT NULL",
+    "xrank": """SELECT x.case_id, s.actor_id, a.ord, row_number() OVER (PARTITION BY x.case_id ORDER BY round(s.cosine + 0.15 * coalesce(x.n_marks * (s.actor_id = x.target)::INT, 0), 9) DESC, a.ord) AS rank
+        FROM xcs x JOIN wsim s ON s.case_id = x.base JOIN actors a ON a.actor_id = s.actor_id WHERE x.setting <> 'open' OR s.actor_id IS DISTINCT FROM x.grp""",
+    "xcand": """SELECT case_id, actor_id, ord FROM xrank WHERE rank <= 8 UNION
+        SELECT r.case_id, r.actor_id, r.ord FROM xrank r JOIN xcs x ON x.case_id = r.case_id WHERE r.actor_id = x.target""",
+    "wu": """SELECT o.case_id, o.item_id, k.kind, k.usage AS u, k.n_groups AS n, greatest(k.usage - (d.item_id IS NOT NULL)::INT, 0) AS usage, k.n_groups - (w.setting = 'open')::INT AS n_groups
+        FROM wobs o JOIN wcs w ON w.case_id = o.case_id JOIN kb k ON k.item_id = o.item_id LEFT JOIN wdelta d ON d.world = o.world AND d.item_id = o.item_id""",
+    "xev": """SELECT x.case_id, 'E' || row_number() OVER (PARTITION BY x.case_id ORDER BY o.item_id) AS evidence_id, CASE WHEN o.item_id LIKE 'S%' THEN 'tool' ELSE 'ttp' END AS kind, o.item_id AS value,
+        CAST(NULL AS VARCHAR) AS target, FALSE AS spoofable, 0.85 * 0.85 AS base_weight, coalesce((k.kind = 'ttp' AND k.u >= k.n * x.cf) OR (k.usage > 0 AND k.usage >= k.n_groups * x.cf), FALSE) AS is_common,
+        coalesce(k.usage BETWEEN 1 AND x.rm, FALSE) AS is_rare, split_part(o.item_id, '.', 1) AS parent FROM xcs x JOIN wobs o ON o.case_id = x.base LEFT JOIN wu k ON k.case_id = x.base AND k.item_id = o.item_id
+        UNION ALL SELECT case_id, 'M' || i, (['code_overlap','metadata','language_artifact','claim'])[((i - 1) % 4 + 1)::INT], '', target, TRUE, 0.85 * 0.85, FALSE, FALSE, '' FROM xmarks""",
+    "xhas": """SELECT c.case_id, c.actor_id, p.item_id, p.parent FROM xcand c JOIN xcs x ON x.case_id = c.case_id JOIN wcs w ON w.case_id = x.base JOIN profile p ON p.actor_id = c.actor_id
+        LEFT JOIN wdelta d ON d.world = w.world AND d.grp = c.actor_id AND d.item_id = p.item_id WHERE d.item_id IS NULL""",
+    "xnear": "SELECT DISTINCT case_id, actor_id, parent FROM xhas WHERE item_id LIKE 'T%'",
+}
+_STATIC = ["acells", "hyps", "mat", "wts", "sums", "scored", "signs", "assessed", "graded"]
+for _name in _STATIC:  # the rules of the static assessment, over the worlds' evidence, candidates and profiles
+    _text = re.sub(r"\b(ev|cand|marks|profile|near|" + "|".join(_STATIC) + r")\b(?!\.)", lambda m: "x" + m[1].replace("profile", "has"), BLOCKS[_name])
+    _WORLD["x" + _name] = _text.replace("ON p.actor_id", "ON p.case_id = e.case_id AND p.actor_id").replace("ON n.actor_id", "ON n.case_id = e.case_id AND n.actor_id")
+BLOCKS |= _WORLD | {
+    "xdec": """SELECT x.*, CASE WHEN g.leading_kind = 'actor' THEN g.leading_actor END AS "leading", CASE WHEN g.leading_kind = 'false_flag' THEN g.leading_actor END AS flagged FROM xcs x JOIN xgraded g ON g.case_id = x.case_id""",
+    "xrec": "SELECT * FROM xdec",
+}
+
+
+def judged(table: str) -> str:
+    """A table with leading and flagged, and what the decision is worth."""
+    shown = "CASE WHEN setting = 'authentic' THEN grp WHEN setting IN ('false_flag', 'mimicry') THEN framed END"
+    return f"""SELECT *, CASE WHEN setting = 'open' THEN "leading" IS NULL WHEN setting IN ('false_flag', 'mimicry') THEN named_true OR detected ELSE named_true END AS accuracy FROM (
+SELECT *, coalesce("leading" = grp, FALSE) AS named_true, coalesce(flagged = {shown}, FALSE) AS detected, setting IN ('false_flag', 'mimicry') AND coalesce("leading" = framed, FALSE) AS framed_named,
+"leading" IS NULL AND flagged IS NULL AS declined FROM {table})"""
+
+
+BLOCKS["xrec"] = judged("xdec")
+RATES = ", ".join(f"round(avg({c}::INT), 9) AS {c}" for c in ("accuracy", "named_true", "framed_named", "detected", "declined"))
 _WORD = re.compile(r"\b[a-z_0-9]+\b")
 
 
-def sql(final: str) -> str:
-    """The statement with the blocks that it needs, in order of definition."""
-    need: set[str] = set()
+def sql(final: str, **instead: str) -> str:
+    """The statement with the blocks that it needs, each after those that it reads; `instead` replaces or adds blocks."""
+    blocks, need = BLOCKS | instead, []
 
     def visit(text: str) -> None:
-        for w in set(_WORD.findall(text)) & set(BLOCKS):
+        for w in sorted(set(_WORD.findall(text)) & set(blocks)):
             if w not in need and re.search(rf"(?:FROM|JOIN|,|IN \(SELECT \* FROM)\s+\(?\s*{w}\b", text):
-                need.add(w)
-                visit(BLOCKS[w])
+                visit(blocks[w])
+                if w not in need:
+                    need.append(w)
 
     visit(final)
-    parts = [f"{k} AS ({v})" for k, v in BLOCKS.items() if k in need]
+    parts = [f"{k} AS ({blocks[k]})" for k in need]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final
