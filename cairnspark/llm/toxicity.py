@@ -14,7 +14,7 @@ that matter only together, an insult and a mention of a group, count without a w
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ TERMS = 1 << 16
 FACTORS = 4
 #: Labelled texts that the weights are fitted to; the smallest hashes are taken.
 SAMPLE = 20_000
+#: Labelled texts whose keys (20 bytes each) are sent to every task.
+LABELS = 1_000_000
 #: Beginnings of words that are terms, of words longer than that.
 BEGINNINGS = (4, 5)
 #: Distinct terms that a task counts before it sends its sums.
@@ -39,11 +41,30 @@ EPOCHS, RATE, DECAY = 300, 0.05, 1e-4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Words whose hashes a worker keeps at a time, as texts share most of theirs.
+REMEMBERED = 200_000
+_HASHES: dict[str, tuple[int, ...]] = {}
+
+
+def _hashes(word: str) -> tuple[int, ...]:
+    """The hashed terms of a word: itself, and its beginnings if it is longer."""
+    out = _HASHES.get(word)
+    if out is None:
+        if len(_HASHES) >= REMEMBERED:
+            _HASHES.clear()
+        out = _HASHES[word] = tuple(xxhash.xxh3_64_intdigest(t) >> 1 for t in (word, *(f"{word[:n]}^" for n in BEGINNINGS if len(word) > n)))
+    return out
+
+
+def _words(text: str | None) -> set[str]:
+    """The distinct words of a text: runs of letters, lower-cased."""
+    return set(_WORD.findall(text.lower())) if text else set()
+
+
 def terms(text: str | None) -> np.ndarray:
-    """The distinct hashed terms of a text, sorted. Words are runs of letters, lower-cased."""
-    found = {m.group() for m in _WORD.finditer(text.lower())} if text else ()
-    found = set(found) | {f"{w[:n]}^" for w in found for n in BEGINNINGS if len(w) > n}
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in found), np.int64, len(found)))
+    """The distinct hashed terms of a text, sorted."""
+    found = {h for w in _words(text) for h in _hashes(w)}
+    return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
 @dataclass
@@ -61,13 +82,26 @@ class Machine:
         s = v.sum(axis=0)
         return float(self.bias + self.weights[at].sum() + 0.5 * ((s * s).sum() - (v * v).sum()))
 
+    def scorer(self) -> Callable[[str | None], float]:
+        """A function from texts to scores that remembers which words have weights: most have none."""
+        place, known = {int(k): i for i, k in enumerate(self.keys)}, {}
+
+        def places(word: str) -> tuple[int, ...]:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[word] = tuple(place[h] for h in _hashes(word) if h in place)
+            return found
+
+        def score(text: str | None) -> float:
+            at = sorted({p for w in _words(text) for p in places(w)})
+            return _logistic(self.logit(np.array(at, np.int64)))
+
+        return score
+
     def score(self, text: str | None) -> float:
-        if not len(self.keys):
-            return _logistic(self.bias)
-        found = terms(text)
-        at = np.searchsorted(self.keys, found)
-        at = np.minimum(at, len(self.keys) - 1)
-        return _logistic(self.logit(at[self.keys[at] == found]))
+        return self.scorer()(text)
 
 
 def _logistic(z: float) -> float:
@@ -106,16 +140,19 @@ def fit(keys: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: i
     return Machine(keys, params["w"], params["v"], float(params["b"][0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, key, toxic) of documents with a label: equal texts once, by their smallest doc_id.
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, keys): (text, key, toxic) of documents with a label, and (key, doc_id, toxic) of the same without texts.
 
-    A doc_id's label, and a text's, is what at least half of its labels say; null labels and ids say nothing. Texts are
-    hashed before they meet labels, and join what is left of them once.
+    Equal texts count once, by their smallest doc_id. A doc_id's label, and a text's, is what at least half of its labels
+    say; null labels and ids say nothing. Texts are hashed before they meet labels; where the keys are LABELS at most,
+    they are sent to the texts, else both are dealt by key.
     """
     said = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     texts = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     keys = texts.select("doc_id", "key").join(said, "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    return texts.join(keys, ["doc_id", "key"]).select("text", "key", "toxic")
+    keys = written(keys, "toxicity-keys")
+    small = keys.limit(LABELS + 1).count() <= LABELS
+    return texts.join(F.broadcast(keys) if small else keys, ["doc_id", "key"]).select("text", "key", "toxic"), keys
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -135,8 +172,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c) for c in counts)], ["term", "toxic", "clean"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = terms(text)
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = terms(text.as_py())
                 held.append((found, np.full(len(found), toxic, np.int64)))
                 size += len(found)
                 if size > HELD:
@@ -166,8 +203,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     spark = docs.sparkSession
     small_batches(spark)
     mark = made()
-    rows = written(labelled(docs, labels), "toxicity-rows")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows, chosen = labelled(docs, labels)
+    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     none = np.zeros(0, np.int64)
     if not toxic or not clean:
@@ -178,13 +215,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [terms(t) for t in batch.column(0).to_pylist()]
+            found = [terms(t.as_py()) for t in batch.column(0)]
             at = [np.searchsorted(keys, f) for f in found]
             kept = [a[keys[np.minimum(a, len(keys) - 1)] == f] if len(keys) else none for a, f in zip(at, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.int64())), batch.column(1)], ["places", "toxic"])
 
-    chosen = rows.orderBy("key", "text").limit(SAMPLE) if toxic + clean > SAMPLE else rows
-    sample = chosen.select("text", "toxic").mapInArrow(K.tidy(places), "places array<long>, toxic int").collect()
+    last = chosen.select("key").orderBy("key").limit(SAMPLE).agg(F.max("key")).first()[0]
+    sample = rows.where(F.col("key") <= last).select("text", "toxic").mapInArrow(K.tidy(places), "places array<long>, toxic int").collect()
     sweep(spark, mark)
     sample.sort(key=lambda r: (r["toxic"], r["places"]))
     return fit(keys, [np.array(r["places"], np.int64) for r in sample], np.array([r["toxic"] for r in sample], float))
@@ -199,9 +236,10 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     docs = aside(docs, "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = machine.scorer()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            scores = np.array([machine.score(t.as_py()) for t in texts], float)
+            scores = np.array([score(t.as_py()) for t in texts], float)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"]
             )
