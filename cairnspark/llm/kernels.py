@@ -20,26 +20,40 @@ SEPARATORS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 
-_BASE = 0x9E3779B97F4A7C15 | 3  # odd, so it has an inverse modulo 2**64
+#: Fingerprints are polynomials over the field of this many elements at two bases, so that no structure of the content
+#: (doublings, swaps, Thue-Morse order) cancels out as it does modulo a power of two.
+PRIME = (1 << 31) - 1
+_P, _BITS = np.uint64(PRIME), np.uint64(31)
+_BASES = tuple(int(b) for b in np.random.default_rng(20250711).integers(1 << 20, PRIME - 1, 2))
 _BYTE_CODES = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=np.uint64)
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, but for a multiple of it left once: below 2**34 for any x."""
+    return (x & _P) + (x >> _BITS)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = _fold(_fold(x))
+    return np.where(x >= _P, x - _P, x)
+
+
 @lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 2**64)):
-        p = np.ones(1, np.uint64)
-        while len(p) < 1 << bits:
-            step = np.uint64(pow(base, len(p), 2**64))
-            p = np.concatenate([p, p * step])
-        out.append(p)
-    return out[0], out[1]
+def _powers(bits: int) -> np.ndarray:
+    """Per base: its powers and those of its inverse."""
+    out = np.ones((4, 1 << bits), np.uint64)
+    for row, base in zip(out, [b for base in _BASES for b in (base, pow(base, -1, PRIME))], strict=True):
+        n = 1
+        while n < len(row):
+            row[n : 2 * n] = _reduced(row[:n] * np.uint64(pow(base, n, PRIME)))
+            n *= 2
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    p, q = _powers(max(16, int(n).bit_length()))
-    return p[:n], q[:n]
+def powers(n: int) -> np.ndarray:
+    """Four rows: the first n powers of each base and of its inverse."""
+    return _powers(max(16, int(n).bit_length()))[:, :n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,18 +66,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums whose differences fingerprint every substring of codes (see spans)."""
-    p, _ = powers(len(codes))
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * p, out=out[1:])
+    """Prefix sums, a row per base, whose differences fingerprint every substring of codes (see spans).
+
+    Sums of terms below 2**33 are exact for 2**31 codes; they are reduced when they are used.
+    """
+    p = powers(len(codes))
+    out = np.zeros((2, len(codes) + 1), np.uint64)
+    np.cumsum(_fold((codes & _P) * p[0]), out=out[0, 1:])
+    np.cumsum(_fold((codes >> np.uint64(33)) * p[2]), out=out[1, 1:])
     return out
 
 
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Fingerprints of [start, end), the same wherever the same content stands."""
-    _, q = powers(len(sums))
+    p = powers(sums.shape[1])
+    low, high = (_reduced(_reduced(sums[i][end] - sums[i][start]) * p[2 * i + 1][start]) for i in (0, 1))
     n = (end - start).astype(np.uint64)
-    return mix((sums[end] - sums[start]) * q[start] + n * np.uint64(0xD6E8FEB86659FD93))
+    return mix((low | high << np.uint64(32)) + n * np.uint64(0xD6E8FEB86659FD93))
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:

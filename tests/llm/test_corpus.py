@@ -791,3 +791,47 @@ def test_pipeline_brute_force(spark):
     for i, r in rows(four_df).items():
         ids = sp.encode(r.text or "", add_bos=True, add_eos=True)
         assert out[i].n_tokens == len(ids) and out[i].ids_sha256 == H(np.array(ids, "<u4").tobytes())
+
+
+# --- content that fools fingerprints modulo a power of two ----------------------------------------------------------------
+
+
+def thue_morse(bits, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(1 << bits))
+
+
+def test_structured_content_is_told_apart(spark):
+    """Thue-Morse words and their complements: equal in length, letters and most sums, and different everywhere."""
+    x, y = thue_morse(8, "x", "z"), thue_morse(8, "z", "x")
+    middle = "the anchor lies in this middle.."
+    docs = spark.createDataFrame([(1, x + middle + y), (2, y + middle + x)], "doc_id long, text string")
+    assert [r.n_removed for r in bwt.remove_duplicates(docs, 400).collect()] == [0, 0]
+    long_x, long_y = thue_morse(9, "x", "z"), thue_morse(9, "z", "x")
+    words = [f"w{i}" for i in range(41)]
+    texts = [" ".join([*words[:20], odd, *words[21:]]) for odd in (long_x, long_y)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in rlz.remove_duplicates(docs, 35).collect()) == [(0, 41, 0), (1, 41, 0)]
+    items = spark.createDataFrame([(7, f"one two three four {long_x}")], "item_id long, text string")
+    hold = spark.createDataFrame([(1, f"one two three four {long_y}"), (2, f"one two three four {long_x}")], "doc_id long, text string")
+    assert [r.doc_id for r in decontaminate.clean_rows(hold, items).collect()] == [1]
+    for other in (simhash, jaccard, language):
+        assert other
+    hashes = [int(kernels.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in (long_x, long_y)]
+    assert hashes[0] != hashes[1]
+
+
+def test_fingerprints_equal_exact_polynomials():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sums = kernels.prefix_sums(codes)
+    at = rng.integers(0, 250, 200)
+    end = at + rng.integers(1, 50, 200)
+    got = kernels.spans(sums, at, end)
+
+    def exact(part, base):
+        return sum(int(c) % kernels.PRIME * pow(base, i, kernels.PRIME) for i, c in enumerate(part)) % kernels.PRIME
+
+    low = np.array([exact(codes[a:e] & np.uint64(kernels.PRIME), kernels._BASES[0]) for a, e in zip(at, end)], np.uint64)
+    high = np.array([exact(codes[a:e] >> np.uint64(33), kernels._BASES[1]) for a, e in zip(at, end)], np.uint64)
+    n = (end - at).astype(np.uint64)
+    assert (got == kernels.mix((low | high << np.uint64(32)) + n * np.uint64(0xD6E8FEB86659FD93))).all()
