@@ -24,8 +24,9 @@ def line_hashes(docs: DataFrame, site: str) -> DataFrame:
     A line is what stands between line feeds, without spaces around it.
     """
     cut = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x))
-    row = F.xxhash64("doc_id", "text").alias("row")
-    rows = docs.where("text is not null").select(row, F.col(site).alias("site"), F.posexplode(cut).alias("pos", "line"))
+    # The hash is taken below the lines, or it would be taken anew for every line of a text.
+    texts = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), F.col(site).alias("site"), "text")
+    rows = texts.select("row", "site", F.posexplode(cut).alias("pos", "line"))
     return rows.where(F.length("line") > 0).select(
         "row", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("line"), "site"
     )
@@ -71,17 +72,20 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 10)
     row. A column of the caller named n_lines or n_removed is kept as n_lines_in or n_removed_in.
     """
     found = removed_lines(docs, site, min_sites)
-    docs = aside(docs, "n_lines", "n_removed", "__row", "__gone")
+    docs = aside(docs, "n_lines", "n_removed", "__row", "__gone", "__cut")
     gone = found.withColumnRenamed("row", "__row").withColumnRenamed("gone", "__gone")
-    cut = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    # Kept places by one hash set, lines by place: linear in a text. The lines are a column of their own, as a lambda
+    # would split the text anew for every place.
+    places = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), "__gone")
+    kept = F.array_join(F.transform(places, lambda i: F.get("__cut", i)), "\n")
     none = F.lit(0).cast("long")
     return (
         docs.join(gone, F.xxhash64("doc_id", "text") == F.col("__row"), "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), none).otherwise(F.size(cut).cast("long")))
+        .withColumn("__cut", F.explode(F.array(F.split("text", "\n", -1))))
+        .withColumn("n_lines", F.when(F.col("text").isNull(), none).otherwise(F.size("__cut").cast("long")))
         .withColumn("n_removed", F.when(F.col("__gone").isNull(), none).otherwise(F.size("__gone").cast("long")))
         .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-        .drop("__row", "__gone")
+        .drop("__row", "__gone", "__cut")
     )
 
 
