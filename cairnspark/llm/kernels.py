@@ -169,11 +169,28 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
+def periodic(codes: np.ndarray, k: int) -> np.ndarray:
+    """Whether each k-gram repeats itself with a period of k // 2 or less."""
+    out = np.zeros(len(codes) - k + 1, bool)
+    for p in range(1, k // 2 + 1):
+        same = codes[:-p] == codes[p:]
+        block = 1 << ((k - p + 1).bit_length() - 2)  # a run of k - p holds a whole aligned block of so many
+        whole = same[: len(same) // block * block].reshape(-1, block)
+        if not whole.all(axis=1).any() if block > 8 else not (whole.view(f"u{block}") == int.from_bytes(b"\1" * block, "little")).any():
+            continue
+        stops = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
+        long = np.flatnonzero(np.diff(stops) > k - p)
+        for a, b in zip((stops[long] + 1).tolist(), stops[long + 1].tolist(), strict=True):
+            out[a : b - (k - p) + 1] = True
+    return out
+
+
 def anchors(codes: np.ndarray, row: np.ndarray, window: int, k: int):
     """Winnowing anchors of every window of the given length.
 
     Each window is owned by the smallest k-gram fingerprint inside it, so that equal windows are owned by equal
-    k-grams at equal distance. Returns arrays (row, first, last, anchor, gram, whole): windows first..last start in
+    k-grams at equal distance. Periodic k-grams come last in the order: in a run like "of of of" each window would else
+    have an anchor of its own, and all windows that begin in such runs, wherever, one gram. Returns arrays (row, first, last, anchor, gram, whole): windows first..last start in
     this row and are owned by the k-gram at anchor, whose fingerprint is gram; whole is the fingerprint of all the
     content they cover together with the anchor's place in it.
     """
@@ -184,7 +201,8 @@ def anchors(codes: np.ndarray, row: np.ndarray, window: int, k: int):
     sums = prefix_sums(codes)
     at = np.arange(len(codes) - k + 1)
     grams = spans(sums, at, at + k)
-    owner = sliding_argmin(grams, window - k + 1)
+    last_ = periodic(codes, k).astype(np.uint64) << np.uint64(63)
+    owner = sliding_argmin(grams >> np.uint64(1) | last_, window - k + 1)
     valid = row[:n] == row[window - 1 : window - 1 + n]
     new = np.ones(n, bool)
     new[1:] = (owner[1:] != owner[:-1]) | (row[1:n] != row[: n - 1]) | ~valid[:-1]
