@@ -34,9 +34,18 @@ PATTERNS = {
 #: What a text must contain to be searched at all.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SUPPORT, THRESHOLD = 3, 0.8
+#: Matches of a text that are walked through together.
+RUN = 256
+#: Levels of what a finding counts as, the closest first.
+CLOSEST = ("value", "class", "kind")
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -68,20 +77,28 @@ def found(kind: str, text: Column) -> Column:
     pattern = PATTERNS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    # Running (end of the last match) over matches, each after its gap.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    empty = F.array().cast(_SPAN)
 
     def step(acc: Column, pair: Column) -> Column:
         a = acc["at"] + F.length(pair["gap"])
         b = a + F.length(pair["m"])
         one = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), pair["m"].alias("value"))
-        # Only valid matches are appended, so that a text of many numbers costs linear time.
         kept = F.when(_valid(kind, pair["m"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
         return F.when(pair["m"].isNull(), acc).otherwise(F.struct(b.alias("at"), kept.alias("out")))
 
+    def walked(pieces: Column) -> Column:
+        """Matches after their gaps, RUN at a time: appending copies what is there, so only short arrays are appended to."""
+        lengths = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(lengths, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        runs = F.arrays_zip(pieces.alias("pairs"), starts.alias("at"))
+        return F.flatten(F.transform(runs, lambda r: F.aggregate(r["pairs"], F.struct(r["at"].alias("at"), empty.alias("out")), step)["out"]))
+
+    def cut(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda i: F.slice(pairs, i * RUN + 1, F.lit(RUN)))
+
     # Zipped, as a lambda would split the text anew for every match; the last gap has no match.
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("m"))
-    spans = F.aggregate(pairs, start, step)["out"]
+    spans = _let(F.arrays_zip(gaps.alias("gap"), matches.alias("m")), lambda pairs: _let(cut(pairs), walked))
     likely = F.lit(True) if NEEDED[kind] is None else F.contains(text, F.lit(NEEDED[kind]))
     if kind in ("card", "ip"):
         likely = likely & text.rlike("[0-9]")
@@ -101,9 +118,9 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}+"), F.lit(0))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with blanks in place of the values of its findings."""
-    return F.aggregate(spans, text, lambda t, s: F.replace(t, s["value"], F.lit(" ")))
+def _outside(text: Column) -> Column:
+    """The text with blanks in place of its mail addresses: no other finding holds a letter."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
 
 
 def entities(span: Column) -> Column:
@@ -133,7 +150,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     of_entity = some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_value"))
     of_entity = written(of_entity.where(F.col("n_value") >= SUPPORT), "entities")
     known = some.select("row", F.explode("entities").alias("entity")).join(of_entity.select("entity"), "entity")
-    terms = some.select("row", F.array_distinct(_words(_outside(F.col("text"), F.col("base")))).alias("terms"))
+    terms = some.select("row", F.array_distinct(_words(_outside(F.col("text")))).alias("terms"))
     pairs = known.join(terms, "row").select("entity", F.explode("terms").alias("term"))
     joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     joint = written(joint, "disclosure-pairs")
@@ -164,17 +181,19 @@ def with_terms(docs: DataFrame) -> DataFrame:
     bad = written(disclosing_terms(docs), "disclosing-terms")
     some = _with_entities(docs)
     level = F.concat_ws(":", F.substring_index("entity", ":", 2))
+    near = F.array_position(F.array(*[F.lit(x) for x in CLOSEST]), F.substring_index("entity", ":", 1))
     bad = bad.groupBy("term").agg(F.collect_set("entity").alias("discloses"))
-    told = some.select("row", "entities", F.explode(F.array_distinct(_words(_outside(F.col("text"), F.col("base"))))).alias("term")).join(bad, "term")
+    told = some.select("row", "entities", F.explode(F.array_distinct(_words(_outside(F.col("text"))))).alias("term")).join(bad, "term")
     told = told.select("row", "term", F.explode(F.array_intersect("entities", "discloses")).alias("entity"))
-    told = written(told.groupBy("row", "term").agg(F.max(level).alias("level")), "told-terms")  # value over kind over class, in that order of names
-    # Words with offsets, of texts with terms only: gaps and words laid end to end.
-    cut = F.arrays_zip(F.split("text", r"\p{L}+", -1).alias("gap"), F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)).alias("word"))
-    places = some.join(told.select("row").distinct(), "row", "left_semi").select("row", "base", F.posexplode(cut).alias("pos", "p"))
+    told = written(told.groupBy("row", "term").agg(F.min(F.struct(near.alias("near"), level.alias("level")))["level"].alias("level")), "told-terms")
+    # Words with offsets, of texts with terms only: gaps and words laid end to end. Mail addresses are matched as such, so
+    # that their letters are no words.
+    token = PATTERNS["email"] + r"|\p{L}+"
+    cut = F.arrays_zip(F.split("text", token, -1).alias("gap"), F.regexp_extract_all("text", F.lit(token), F.lit(0)).alias("word"))
+    places = some.join(told.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(cut).alias("pos", "p"))
     end = F.sum(F.length("p.gap") + F.coalesce(F.length("p.word"), F.lit(0))).over(W.partitionBy("row").orderBy("pos"))
-    places = places.select("row", "base", F.col("p.word").alias("word"), F.lower("p.word").alias("term"), end.cast("int").alias("end")).where("word is not null")
+    places = places.select("row", F.col("p.word").alias("word"), F.lower("p.word").alias("term"), end.cast("int").alias("end")).where("word is not null")
     spans = places.withColumn("start", F.col("end") - F.length("word")).join(told, ["row", "term"])
-    spans = spans.where(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
     per_row = spans.groupBy("row").agg(
         F.array_sort(F.collect_set(F.struct(F.col("start"), F.col("end"), F.col("level").alias("value")))).alias("found")
     )
