@@ -137,7 +137,7 @@ def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBa
                 cell, ids, vecs, x = here, [], [], None
             v = batch.column(4).slice(s, e - s)
             m = v.flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
-            who = np.asarray(batch.column(3))[s:e]
+            who, key = (np.asarray(batch.column(i))[s:e] for i in (3, 5))
             if not ask[s]:
                 ids.append(who)
                 vecs.append(m)
@@ -147,10 +147,10 @@ def _search(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBa
                     continue
                 x, stored_ids = np.concatenate(vecs), np.concatenate(ids)
             for i in range(0, len(m), 256):
-                yield from _best(m[i : i + 256], who[i : i + 256], x, stored_ids, top)
+                yield from _best(m[i : i + 256], who[i : i + 256], key[i : i + 256], x, stored_ids, top)
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+def _best(q: np.ndarray, q_ids: np.ndarray, keys: np.ndarray, x: np.ndarray, ids: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
     own = q_ids[:, None] == ids[None, :]
     with np.errstate(over="ignore", invalid="ignore"):
         s = np.nan_to_num(q @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
@@ -158,17 +158,18 @@ def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, top:
         k = min(top, len(ids))
         least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-        out_q, out_v, out_s = [], [], []
+        out_q, out_k, out_v, out_s = [], [], [], []
         for i in range(len(q)):
             near = np.flatnonzero((s[i] >= least[i] - slack[i]) & ~own[i])
             exact = (x[near] * q[i]).sum(1)  # the same order of addition for every row, so equal vectors tie
             order = np.lexsort((ids[near], -exact))[:top]
             out_q.append(np.full(len(order), q_ids[i]))
+            out_k.append(np.full(len(order), keys[i]))
             out_v.append(ids[near[order]])
             out_s.append(exact[order])
     if out_q:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"]
+            [pa.array(np.concatenate(x)) for x in (out_q, out_k, out_v, out_s)], ["query_id", "key", "vec_id", "score"]
         )
 
 
@@ -177,7 +178,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target: floa
 
     A row with the query's own vec_id is no candidate. Ties go to the smaller vec_id. Both inputs come from usable(),
     which leaves other columns out. Vectors whose dimension differs from the most common one take no part. Repeated rows
-    are candidates and queries of their own; a product beyond double precision counts as infinite. Empty tables give an
+    are candidates of their own; equal query rows are one query, and query rows of one vec_id with different vectors have
+    their neighbours each. A product beyond double precision counts as infinite. Empty tables give an
     empty result.
     """
     spark = vectors.sparkSession
@@ -215,21 +217,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, target: floa
     stored = written(vectors.mapInArrow(K.tidy(route(1)), out).select("vec_id", "v", F.get("parts", F.lit(0)).alias("part")), "vectors")
     salts = stored.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"))  # a row per part
     stored = stored.join(F.broadcast(salts), "part").select(
-        "part", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("ask"), "vec_id", "v"
+        "part", F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("ask"), "vec_id", "v", F.lit(0).cast("long").alias("key")
     )
     asked = (
-        queries.mapInArrow(K.tidy(route(probes)), out)
+        queries.dropDuplicates(["vec_id", "v"]).mapInArrow(K.tidy(route(probes)), out)
         .select("vec_id", "v", F.explode("parts").alias("part"))
         .join(F.broadcast(salts), "part")
-        .select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("ask"), "vec_id", "v")
+        .select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("ask"), "vec_id", "v", F.xxhash64("v").alias("key"))
     )
     found = (
         stored.unionByName(asked)
         .repartition("part", "salt")
         .sortWithinPartitions("part", "salt", "ask")
-        .mapInArrow(K.tidy(lambda it: _search(it, top)), "query_id long, vec_id long, score double")
+        .mapInArrow(K.tidy(lambda it: _search(it, top)), "query_id long, key long, vec_id long, score double")
     )
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
     )

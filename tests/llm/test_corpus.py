@@ -835,3 +835,37 @@ def test_fingerprints_equal_exact_polynomials():
     high = np.array([exact(codes[a:e] >> np.uint64(33), kernels._BASES[1]) for a, e in zip(at, end)], np.uint64)
     n = (end - at).astype(np.uint64)
     assert (got == kernels.mix((low | high << np.uint64(32)) + n * np.uint64(0xD6E8FEB86659FD93))).all()
+
+
+def test_periodic_grams():
+    rng = np.random.default_rng(1)
+    for k in (3, 8, 16, 32):
+        c = rng.integers(0, 3, 3000).astype(np.uint64)
+        c[500:560], c[900:940] = np.tile([5, 6, 7], 20), 9
+        want = [any((c[i : i + k - p] == c[i + p : i + k]).all() for p in range(1, k // 2 + 1)) for i in range(len(c) - k + 1)]
+        assert (kernels.periodic(c, k) == np.array(want)).all() and (k > 8 or any(want))
+
+
+def test_long_texts_of_findings_and_lines(spark):
+    """Tens of thousands of findings or boilerplate lines in one text cost linear time."""
+    import time
+
+    begun = time.time()
+    mails = " ".join(f"user{i}@mail{i}.example.com" for i in range(50_000))
+    docs = spark.createDataFrame([(1, mails), (2, "x")], "doc_id long, text string")
+    assert [r.n_email for r in pii.report(pii.base_findings(docs)).orderBy("doc_id").collect()] == [50_000, 0]
+    text = "\n".join(["common", "own line"] * 80_000)
+    docs = spark.createDataFrame([*((i, "common", f"s{i}") for i in range(12)), (99, text, "s1")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_removed for r in lines.drop_boilerplate(docs).collect()}[99] == 80_000
+    assert time.time() - begun < 120
+
+
+def test_op7_repeated_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    v = spark.createDataFrame([*rows, rows[20], rows[20], (40, rng.normal(size=8).tolist())], "vec_id long, embedding array<double>")
+    u = ann.usable(v)
+    got = ann.nearest(u, u.where("vec_id in (20, 40)")).collect()
+    of20 = [(r["rank"], r.vec_id) for r in got if r.query_id == 20]
+    assert sorted(k for k, _ in of20) == list(range(1, 21)) and 20 not in {i for _, i in of20}
+    assert sorted(r["rank"] for r in got if r.query_id == 40) == sorted([*range(1, 21)] * 2)  # two vectors of one id
