@@ -298,6 +298,13 @@ class Assessment:
     def assessments(self) -> DataFrame:
         return assessments(self.scores, self.weights, self.indicators, self.config)
 
+    def reranked(self, config: Config) -> Assessment:
+        """The same matrix and weights under a config that only differs in how hypotheses are ranked or grades capped."""
+        out = Assessment.__new__(Assessment)
+        out.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("scores", "assessments")}, config=config)
+        out.__dict__.update(cells=self.cells, weights=self.weights, hypotheses=self.hypotheses, actor_cells=self.actor_cells)
+        return out
+
     def __getitem__(self, stage: str) -> DataFrame:
         return getattr(self, stage)
 

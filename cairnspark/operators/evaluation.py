@@ -184,6 +184,19 @@ def worlds(uses: DataFrame, incidents: DataFrame, actors: DataFrame, kb: DataFra
     return {"cases": case, "items": items, "deltas": delta, "usage": usage, "markers": planted_markers(case.select("case_id", "target"))}
 
 
+def world_of(case: DataFrame, items: DataFrame, removed: DataFrame, kb: DataFrame, profile: DataFrame) -> dict[str, DataFrame]:
+    """The worlds of cases whose items and removals are given, over any knowledge base.
+
+    case as from cases(); items (incident_id, item_id); removed (incident_id, grp, item_id): what the group loses with the
+    incident, by whatever references. In the open setting the group is not there at all.
+    """
+    case = settled(case)
+    items = settled(case.select("case_id", "incident_id").join(items.select("incident_id", "item_id").distinct(), "incident_id").select("case_id", "item_id"))
+    delta = settled(deltas(case, removed, profile))
+    usage = settled(case_usage(case, items, kb, delta))
+    return {"cases": case, "items": items, "deltas": delta, "usage": usage, "markers": planted_markers(case.select("case_id", "target"))}
+
+
 def world_candidates(world, scores: DataFrame, actors: DataFrame, k: int = 8) -> DataFrame:
     """(case_id, actor_id, ord): the k most similar actors of each case and those that markers point at."""
     ranked = with_rank(scores, actors, world["cases"], "score")
@@ -204,7 +217,11 @@ def world_assessment(world, candidates: DataFrame, profile: DataFrame, config: a
 
 def ach_decisions(world, candidates: DataFrame, profile: DataFrame, config: ach.Config = ach.DEFAULT) -> DataFrame:
     """The cases with leading and flagged by ACH."""
-    a = world_assessment(world, candidates, profile, config)["assessments"]
+    return decided(world, world_assessment(world, candidates, profile, config)["assessments"])
+
+
+def decided(world, a: DataFrame) -> DataFrame:
+    """The cases with leading and flagged as assessed."""
     return world["cases"].join(a.select(
         "case_id", F.when(F.col("leading_kind") == "actor", F.col("leading_actor")).alias("leading"), F.when(F.col("leading_kind") == "false_flag", F.col("leading_actor")).alias("flagged")
     ), "case_id")

@@ -91,6 +91,23 @@ def campaign_incidents(campaign_uses: DataFrame, uses: DataFrame, min_items: int
     )
 
 
+def released(uses: DataFrame, releases: list[str]) -> DataFrame:
+    """uses with `release`: the newest of the given days before the one that cites them; earlier uses drop out.
+
+    What a report of that day could be compared with is the knowledge base as of the release.
+    """
+    days = F.array(*[F.lit(d) for d in sorted(releases)])
+    return uses.withColumn("release", F.array_max(F.filter(days, lambda d: d < F.col("reference")))).where("release is not null")
+
+
+def campaign_removed(campaign_uses: DataFrame, uses: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """(incident_id, grp, item_id): items of the group that only the campaign's own references support."""
+    own = campaigns.select("campaign", "grp")
+    mine = campaign_uses.join(own, ["campaign", "grp"], "left_semi").groupBy("campaign", "grp").agg(F.collect_set("reference").alias("mine"))
+    held = mine.join(support(uses).withColumnRenamed("source", "grp"), "grp")
+    return held.where(F.size(F.array_except("refs", "mine")) == 0).select(F.col("campaign").alias("incident_id"), "grp", F.col("target").alias("item_id"))
+
+
 def framing(actors: DataFrame) -> DataFrame:
     """(grp, framed): every actor frames the next one by order; the last frames the first."""
     n = actors.agg(F.count(F.lit(1)).alias("n"))

@@ -63,7 +63,9 @@ BLOCKS: dict[str, str] = {
           WHEN a.rating <= -1 THEN 1 WHEN a.rating >= 1 THEN -1 ELSE 0 END
           FROM ev e JOIN hyps h ON h.case_id = e.case_id AND h.kind = 'false_flag'
           LEFT JOIN acells a ON a.case_id = e.case_id AND a.evidence_id = e.evidence_id AND a.actor_id = h.actor_id
-        UNION ALL SELECT case_id, evidence_id, 'UNKNOWN', CASE WHEN NOT bool_or(spoofable) AND max(rating) = 2 THEN -1 ELSE 0 END FROM acells GROUP BY 1, 2""",
+        UNION ALL SELECT e.case_id, e.evidence_id, h.hyp_id, CASE WHEN NOT e.spoofable AND b.best = 2 THEN -1 ELSE 0 END
+          FROM ev e JOIN hyps h ON h.case_id = e.case_id AND h.kind = 'unknown'
+          LEFT JOIN (SELECT case_id, evidence_id, max(rating) AS best FROM acells GROUP BY 1, 2) b ON b.case_id = e.case_id AND b.evidence_id = e.evidence_id""",
     "wts": """SELECT e.case_id, e.evidence_id, e.spoofable, s.spread, e.base_weight * s.spread * (CASE WHEN e.spoofable THEN 0.5 ELSE 1.0 END) AS weight
         FROM ev e JOIN (SELECT case_id, evidence_id, (max(rating) - min(rating)) / 4.0 AS spread FROM mat GROUP BY 1, 2) s USING (case_id, evidence_id)""",
     "sums": """SELECT case_id, hyp_id, sum(CASE WHEN rating < 0 THEN rating * weight ELSE 0 END) AS inconsistency, sum(CASE WHEN rating > 0 THEN rating * weight ELSE 0 END) AS support,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -78,3 +79,30 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = l.select(named("E", "l_orderkey").alias("event_id"), F.inline(facets)).distinct()
     return lines.union(o.select(named("E", "o_orderkey"), F.lit("victim"), named("C", "o_custkey")))
+
+
+#: Words that reports are searched for: the most frequent of five letters or more.
+REPORT_WORDS = 300
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(report_id, url, host, title, text): web pages as reports; the host is the publisher, without www. or m."""
+    p = table(spark, sf_dir, "pages")
+    plain = F.regexp_replace("html", "(?s)<script.*?</script>|<style.*?</style>|<[^>]+>", " ")
+    return p.select(
+        F.col("page_id").alias("report_id"), "url", F.regexp_extract("url", r"^https?://(?:www\.|m\.)?([^/]+)", 1).alias("host"),
+        F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), plain.alias("text"),
+    )
+
+
+def report_keywords(found: DataFrame) -> DataFrame:
+    """(item_id, item_type, name, keywords, ord): the REPORT_WORDS words that most reports hold, every third as software.
+
+    The techniques are numbered by fives, so that some share a parent.
+    """
+    words = found.select("report_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^A-Za-z0-9]+"), lambda w: w.rlike("^[a-z]{5,}$")))).alias("word"))
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(REPORT_WORDS)
+    rank = F.row_number().over(W.orderBy(F.desc("n"), "word")) - 1  # REPORT_WORDS rows
+    tool = F.col("ord") % 3 == 0
+    item = F.when(tool, F.concat(F.lit("S"), "ord")).otherwise(F.concat(F.lit("T"), F.floor(F.col("ord") / 5).cast("string"), F.lit("."), (F.col("ord") % 5).cast("string")))
+    return top.withColumn("ord", rank).select(item.alias("item_id"), F.when(tool, "tool").otherwise("ttp").alias("item_type"), F.col("word").alias("name"), F.array("word").alias("keywords"), "ord")
