@@ -16,7 +16,7 @@ from cairnspark.sources import bridge
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-DRAWS = 200
+DRAWS = 1000
 #: Thresholds to choose from, and those of the frontier.
 TAUS = [round(0.1 + 0.02 * i, 2) for i in range(21)]
 FINE_TAUS = [round(0.005 * i, 3) for i in range(161)]
@@ -36,7 +36,7 @@ def query(oracle: str | None = None, whole: bool = False) -> Callable[[Query], Q
 
 def _all() -> None:
     """Has the other modules of queries registered, too."""
-    from cairnspark.plans import protocol_queries  # noqa: F401
+    from cairnspark.plans import protocol_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -604,7 +604,7 @@ def mcnemar(spark, sf_dir):
     return intervals.mcnemar_test(bridge.outcomes(spark, sf_dir), "correct", "correct2", "grp")
 
 
-@query(f"""SELECT round(est, 9) AS estimate, round(low, 9) AS low, round(high, 9) AS high FROM (SELECT max(CASE WHEN k = 6 THEN r END) AS low, max(CASE WHEN k = 195 THEN r END) AS high FROM (
+@query(f"""SELECT round(est, 9) AS estimate, round(low, 9) AS low, round(high, 9) AS high FROM (SELECT max(CASE WHEN k = {int(0.025 * DRAWS) + 1} THEN r END) AS low, max(CASE WHEN k = {int(0.975 * DRAWS)} THEN r END) AS high FROM (
 SELECT r, row_number() OVER (ORDER BY r, draw) AS k FROM (SELECT d.draw, sum(g.s) / sum(g.c) AS r FROM (
 SELECT draw, ('0x' || substr(md5(draw || ':' || slot), 1, 8))::BIGINT % (SELECT count(DISTINCT grp) FROM outc) AS at FROM generate_series(0, {DRAWS - 1}) a(draw), generate_series(0, (SELECT count(DISTINCT grp) FROM outc) - 1) b(slot)) d
 JOIN (SELECT row_number() OVER (ORDER BY grp) - 1 AS at, count(*) FILTER (correct) AS s, count(*) AS c FROM outc GROUP BY grp) g ON g.at = d.at GROUP BY 1))), (SELECT avg(correct::INT) AS est FROM outc)""")
@@ -613,6 +613,17 @@ def cluster_bootstrap(spark, sf_dir):
     return intervals.bootstrap(sums, intervals.hashed_draws(sums.select("grp"), DRAWS), DRAWS).select(*r9("estimate", "low", "high"))
 
 
+@query(f"""SELECT round(max(CASE WHEN k = {int(0.025 * DRAWS) + 1} THEN r END), 9) AS low, round(max(CASE WHEN k = {int(0.975 * DRAWS)} THEN r END), 9) AS high FROM (SELECT r, row_number() OVER (ORDER BY r, draw) AS k FROM (
+SELECT d.draw, sum(g.s) / sum(g.c) - sum(g.s2) / sum(g.c) AS r FROM (
+SELECT draw, ('0x' || substr(md5(draw || ':' || slot), 1, 8))::BIGINT % (SELECT count(DISTINCT grp) FROM outc) AS at FROM generate_series(0, {DRAWS - 1}) a(draw), generate_series(0, (SELECT count(DISTINCT grp) FROM outc) - 1) b(slot)) d
+JOIN (SELECT row_number() OVER (ORDER BY grp) - 1 AS at, count(*) FILTER (correct) AS s, count(*) FILTER (correct2) AS s2, count(*) AS c FROM outc GROUP BY grp) g ON g.at = d.at GROUP BY 1))""")
+def paired_differences(spark, sf_dir):
+    """The interval of the difference of two methods' accuracies over the same resamples of groups."""
+    x = bridge.outcomes(spark, sf_dir)
+    a, b = intervals.group_sums(x), intervals.group_sums(x, "correct2")
+    return intervals.paired_bootstrap(a, b, intervals.hashed_draws(a.select("grp"), DRAWS), DRAWS).select(*r9("low", "high"))
+
+
 @query("""SELECT round(e.ari, 9) AS estimate, round(round(e.ari, 9) - 1.96 * se, 6) AS low, round(round(e.ari, 9) + 1.96 * se, 6) AS high FROM
 (SELECT ari FROM rand WHERE t = -1) e, (SELECT sqrt((count(*) - 1) * var_pop(round(ari, 9))) AS se FROM rand WHERE t >= 0)""")
 def jackknife_ari(spark, sf_dir):

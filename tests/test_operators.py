@@ -312,8 +312,10 @@ def test_classifier_weights_are_sublinear(spark, tmp_path):
 
     texts = spark.createDataFrame([(1, "alpha alpha alpha beta"), (2, "alpha beta gamma")], "doc_id long, text string")
     f = Featuriser.fit(texts, min_df=1, characters=True)
-    tf = {r.doc_id: r.tf for r in f.transform(texts).collect()}
-    assert max(tf[1].values) == pytest.approx(1 + math.log(3)) and min(tf[2].values) == 1.0
+    place = {r.term: r["at"] for r in f.vocabulary.collect()}
+    x = {r.doc_id: dict(zip(r["at"], r.value, strict=True)) for r in f.transform(texts).collect()}
+    assert x[1][place["alpha"]] / x[1][place["beta"]] == pytest.approx(1 + math.log(3)) and x[2][place["alpha"]] == pytest.approx(x[2][place["beta"]])
+    assert all(sum(v * v for v in row.values()) == pytest.approx(1.0) for row in x.values())
     labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, label string")
     model = Classifier.fit(texts, labels, min_examples=1, min_df=1)
     model.save(str(tmp_path / "m"))
