@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.llm import ann, bwt, chat, decontaminate, language, lines, pii, repair, rlz, sentencepiece_codec, simhash, toxicity, trie
+from cairnspark.llm import ann, bwt, chat, conversation_sql, decontaminate, language, lines, pii, repair, rlz, sentencepiece_codec, simhash, toxicity, trie
 from cairnspark.llm.shared import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_spread": lines.OP6_SQL}
+    return {"op6_line_spread": lines.OP6_SQL, "op11_repair": conversation_sql.OP11_SQL, "op12_trie": conversation_sql.OP12_SQL}

@@ -278,3 +278,18 @@ def test_op13_awkward(spark, tmp_path):
     scores = {(r.score, r.predicted, r.score_in) for r in toxicity.scored(docs, machine).collect()}
     assert len(scores) == 1 and next(iter(scores))[1:] == (0, "clash") and next(iter(scores))[0] < 1e-9
     assert toxicity.scored(docs.limit(0), machine).collect() == []
+
+
+def test_sql_equals_brute_force(spark):
+    """The SQL of both operators, on the given rows and on odd ones."""
+    import duckdb
+
+    from cairnspark.llm.conversation_sql import OP11_SQL, OP12_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    for rows in (given(spark), odd_conversations(spark)):
+        con.execute("DELETE FROM conversations")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        assert ordered(con.execute(OP11_SQL).fetchall()) == brute_repair(rows)
+        assert ordered(con.execute(OP12_SQL).fetchall()) == brute_trie(rows)
