@@ -1,9 +1,10 @@
 r"""Chat formatting by schema fingerprints.
 
 A record's layout is told by the hash of all its sorted nested field paths (array items as []). The hash selects a
-declarative mapping, which turns prompt/completion, instruction, message-list and row-per-turn layouts into canonical
-turns (role, text). A hash that is not known is settled once, by the layout with the most fields among those whose
-fields the record has, and remembered; so records may carry any further fields. The template marks each turn:
+declarative mapping, which turns prompt/completion, question, preference, instruction, message-list and row-per-turn
+layouts into canonical turns (role, text). A hash that is not known is settled once among the layouts whose fields the
+record has, and remembered: lists of turns come before single fields, then the layout with the most fields; so records
+may carry any further fields. The template marks each turn:
 
     <turn ROLE>\nTEXT\n</turn>\n
 
@@ -46,6 +47,10 @@ LAYOUTS: dict[str, dict[str, Any]] = {
         "fields": [("user", ["instruction", "input"]), ("assistant", ["output"])],
     },
     "instruction_only": {"paths": ["instruction", "output"], "kind": "fields", "fields": [("user", ["instruction"]), ("assistant", ["output"])]},
+    "response": {"paths": ["prompt", "response"], "kind": "fields", "fields": [("user", ["prompt"]), ("assistant", ["response"])]},
+    "question": {"paths": ["answer", "question"], "kind": "fields", "fields": [("user", ["question"]), ("assistant", ["answer"])]},
+    # Of a pair of answers the chosen one is the answer.
+    "preference": {"paths": ["chosen", "prompt", "rejected"], "kind": "fields", "fields": [("user", ["prompt"]), ("assistant", ["chosen"])]},
     "system_prompt": {
         "paths": ["completion", "prompt", "system"], "kind": "fields",
         "fields": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])],
@@ -71,15 +76,22 @@ def select_layout(paths: list[str]) -> str | None:
         # A list without items shows as its own path; it stands for any fields of items.
         have, empty = set(paths), [p for p in paths if p.endswith("[]")]
         fits = [
-            (len(v["paths"]), k) for k, v in LAYOUTS.items()
+            (v["kind"] == "list", len(v["paths"]), k) for k, v in LAYOUTS.items()
             if all(p in have or any(p.startswith(e + ".") for e in empty) for p in v["paths"])
         ]
         if len(BY_FINGERPRINT) >= REMEMBERED:
-            return max(fits)[1] if fits else None
-        BY_FINGERPRINT[key] = max(fits)[1] if fits else None
+            return max(fits)[-1] if fits else None
+        BY_FINGERPRINT[key] = max(fits)[-1] if fits else None
     return BY_FINGERPRINT[key]
 
 
+def _parts(value: Any) -> str | None:
+    """The text of a list of text parts; None of anything else."""
+    if isinstance(value, list) and value and all(isinstance(p, dict) and p.get("type", "text") == "text" and isinstance(p.get("text"), str) for p in value):
+        return "".join(p["text"] for p in value)
+    return None
+
+
 def value_paths(value: Any, at: str = "") -> Iterator[str]:
     """Nested field paths of a JSON value."""
     if isinstance(value, dict):
@@ -88,6 +100,9 @@ def value_paths(value: Any, at: str = "") -> Iterator[str]:
     elif isinstance(value, list):
         if not value:
             yield f"{at}[]"
+        elif _parts(value) is not None:  # a text in parts stands where a text would
+            yield at
+            return
         for v in value:
             yield from value_paths(v, f"{at}[]")
     else:
@@ -106,14 +121,21 @@ def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
 
 
 def canonical_turns(record: Any) -> tuple[str | None, list[tuple[str, str]] | None]:
-    """Layout and turns of a JSON record, or nulls if no layout fits. Null texts count as empty in lists."""
+    """Layout and turns of a JSON record, or nulls if no layout fits. Null texts count as empty in lists.
+
+    A text may be a list of text parts. Where a list of turns has one whose text is neither, as with images, the record has
+    no turns: none is made up.
+    """
     name = select_layout(list(value_paths(record)))
     layout = LAYOUTS.get(name or "")
     if layout is None or layout["kind"] == "rows":
         return None, None
-    shown = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    plain = lambda x: x if _parts(x) is None else _parts(x)
+    shown = lambda x: "" if x is None else plain(x) if isinstance(plain(x), str) else json.dumps(x, ensure_ascii=False)
     if layout["kind"] == "list":
         turns = [m if isinstance(m, dict) else {} for m in record[layout["list"]]]
+        if any(isinstance(plain(m.get(layout["text"])), (list, dict)) for m in turns):
+            return None, None
         return name, [(ROLES.get(shown(m.get(layout["role"])), shown(m.get(layout["role"]))), shown(m.get(layout["text"]))) for m in turns]
     out = []
     for role, fields in layout["fields"]:

@@ -869,3 +869,16 @@ def test_op7_repeated_queries(spark):
     of20 = [(r["rank"], r.vec_id) for r in got if r.query_id == 20]
     assert sorted(k for k, _ in of20) == list(range(1, 21)) and 20 not in {i for _, i in of20}
     assert sorted(r["rank"] for r in got if r.query_id == 40) == sorted([*range(1, 21)] * 2)  # two vectors of one id
+
+
+def test_op8_parts_and_precedence():
+    part = lambda t: [{"type": "text", "text": t}]
+    mixed = {"messages": [{"role": "user", "content": part("hi")}, {"role": "assistant", "content": "plain"}]}
+    assert chat.canonical_turns(mixed) == ("messages", [("user", "hi"), ("assistant", "plain")])
+    both = mixed | {"prompt": "p", "completion": "c", "system": "s"}
+    assert chat.canonical_turns(both)[0] == "messages"
+    image = {"messages": [{"role": "user", "content": [{"type": "image", "url": "x"}]}, {"role": "assistant", "content": "plain"}]}
+    assert chat.canonical_turns(image) == (None, None)
+    assert chat.canonical_turns({"prompt": "p", "response": "r"}) == ("response", [("user", "p"), ("assistant", "r")])
+    assert chat.canonical_turns({"question": "q", "answer": "a", "id": 1})[1] == [("user", "q"), ("assistant", "a")]
+    assert chat.canonical_turns({"prompt": "p", "chosen": "c", "rejected": "r"}) == ("preference", [("user", "p"), ("assistant", "c")])
