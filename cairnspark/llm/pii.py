@@ -199,7 +199,9 @@ def with_terms(docs: DataFrame) -> DataFrame:
     )
     per_row = per_row.select("row", F.transform("found", lambda s: F.struct(F.lit("term").alias("kind"), s["start"], s["end"], s["value"])).cast(_SPAN).alias("terms"))
     extra = F.array().cast(_SPAN)
-    return docs.join(per_row, F.xxhash64("text") == per_row["row"], "left").drop(per_row["row"]).withColumn("terms", F.coalesce("terms", extra))
+    # The hash is a column of its own, so that texts do not travel with rows that only need their findings.
+    keyed = aside(docs, "__row").withColumn("__row", F.xxhash64("text"))
+    return keyed.join(per_row.withColumnRenamed("row", "__row"), "__row", "left").drop("__row").withColumn("terms", F.coalesce("terms", extra))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
