@@ -49,9 +49,17 @@ def profile_items(uses: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def actor_profiles(uses: DataFrame, min_items: int = 1, exclude: list[str] | None = None) -> DataFrame:
-    """(actor_id, techniques, tools): sorted arrays without `exclude`; min_items is tested before the exclusion."""
-    keep = ~F.col("target").isin(exclude) if exclude else F.lit(True)
+def actor_profiles(uses: DataFrame, min_items: int = 1, exclude: list[str] | DataFrame | None = None) -> DataFrame:
+    """(actor_id, techniques, tools): sorted arrays without `exclude`; min_items is tested before the exclusion.
+
+    exclude: items, as a list or as a table (item_id) of any length.
+    """
+    keep = F.lit(True)
+    if isinstance(exclude, DataFrame):
+        gone = exclude.select(F.col("item_id").alias("target"), F.lit(True).alias("gone")).distinct()
+        uses, keep = uses.join(gone, "target", "left"), F.col("gone").isNull()
+    elif exclude:
+        keep = ~F.col("target").isin(exclude)
     tool = F.col("target").startswith("S")
     return (
         uses.groupBy(F.col("source").alias("actor_id"))

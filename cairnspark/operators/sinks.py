@@ -111,3 +111,10 @@ def compact_kb(kb: DataFrame) -> DataFrame:
     return kb.select(
         "item_id", F.to_json(F.struct(F.col("item_id").alias("id"), "kind", "parent", "usage", F.col("is_common").alias("common"), F.col("is_rare").alias("rare"))).alias("line")
     )
+
+
+def dump(rows: DataFrame, *names: str, digits: int = 3) -> DataFrame:
+    """(line): each row as a JSON object of these columns (all, if none are named), numbers with `digits` decimals; nulls are left out."""
+    kinds = dict(rows.dtypes)
+    shown = [F.round(n, digits).alias(n) if kinds[n] in ("double", "float") else F.col(n) for n in names or rows.columns]
+    return rows.select(F.to_json(F.struct(*shown)).alias("line"))

@@ -231,6 +231,21 @@ def ach_balanced(spark, sf_dir):
     return static_ach(spark, sf_dir, ach.Config(balanced=True))["scores"].where("rank = 1").select("case_id", "hyp_id")
 
 
+@query("""SELECT to_json({'case_id': case_id, 'leading': "leading", 'confidence': confidence, 'gap': round(gap, 3), 'n_diag': n_diag, 'flagged': flagged})::VARCHAR AS line FROM graded""")
+def assessment_dump(spark, sf_dir):
+    """Every assessment as a JSON line with three decimals."""
+    return sinks.dump(static_ach(spark, sf_dir)["assessments"], "case_id", "leading", "confidence", "gap", "n_diag", "flagged")
+
+
+@query("""SELECT source AS actor_id, coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (target LIKE 'T%' AND c.item_id IS NULL), '') AS techniques,
+coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (target LIKE 'S%' AND c.item_id IS NULL), '') AS tools FROM uses LEFT JOIN (SELECT item_id FROM kb WHERE is_common) c ON c.item_id = target GROUP BY 1 HAVING count(DISTINCT target) >= 8""")
+def uncommon_profiles(spark, sf_dir):
+    """Profiles of eight items or more, without the items that are common: the items to leave out are a table."""
+    u = bridge.uses(spark, sf_dir)
+    p = knowledge.actor_profiles(u, knowledge.MIN_PROFILE, knowledge.kb(u).where("is_common").select("item_id"))
+    return p.select("actor_id", F.array_join("techniques", ",").alias("techniques"), F.array_join("tools", ",").alias("tools"))
+
+
 ABLATIONS = {
     "no_false_flags": ach.Config(false_flags=False), "no_unknown": ach.Config(unknown=False), "no_discount": ach.Config(spoof_discount=False),
     "no_diagnosticity": ach.Config(diagnosticity=False), "no_caps": ach.Config(caps=False),
