@@ -61,6 +61,15 @@ def aside(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+#: Rows of one 64-bit key that are sent to every task, 32 MB or so; larger tables are joined by exchange.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked to be sent to every task where it has SENT_ROWS rows or fewer."""
+    return F.broadcast(keys) if keys.limit(SENT_ROWS + 1).count() <= SENT_ROWS else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

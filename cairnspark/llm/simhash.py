@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm import jaccard
 from cairnspark.llm import kernels as K
-from cairnspark.llm.shared import connected_components, small_batches, written
+from cairnspark.llm.shared import connected_components, sent_if_few, small_batches, written
 
 #: Stored rows of a cell that a task holds; larger cells are salted.
 CELL = 4096
@@ -417,5 +417,6 @@ def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, shingle: int =
     prefixes and SimHash fingerprints, and verified exactly (see jaccard). Rows with a null doc_id or without words are
     nobody's copies and stay; a row repeated in full stays with its copy. All columns are kept as they are.
     """
-    drop = jaccard.near_copies(docs.select("doc_id", "text"), similarity, shingle).where("not stays").select("row")
-    return docs.join(drop, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")) == drop["row"], "left_anti")
+    drop = jaccard.near_copies(docs.select("doc_id", "text"), similarity, shingle).where("not stays").select(F.col("row").alias("__dropped"))
+    drop = sent_if_few(drop)  # so that texts stay where they are
+    return docs.join(drop, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")) == drop["__dropped"], "left_anti")
