@@ -39,6 +39,8 @@ from cairnspark.llm.shared import connected_components, sent_if_few, small_batch
 CELL = 4096
 #: What it costs to send one probe through a shuffle, in comparisons of two fingerprints.
 PROBE = 200.0
+#: Parts of keep_one_per_group's fingerprints: no two that differ in fewer bits are missed.
+PARTS = 16
 _ZERO = np.uint64(0)
 
 
@@ -413,10 +415,16 @@ def near_duplicates(
 def keep_one_per_group(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Documents without those whose near-duplicate group has a smaller doc_id (one of each group stays).
 
-    Groups are connected by pairs whose sets of five-word shingles have this Jaccard similarity or more: found by shared
-    prefixes and SimHash fingerprints, and verified exactly (see jaccard). Rows with a null doc_id or without words are
-    nobody's copies and stay; a row repeated in full stays with its copy. All columns are kept as they are.
+    Groups are connected by pairs whose sets of five-word shingles have this Jaccard similarity or more: fingerprints are
+    searched by the generalised pigeonhole, pairs too far apart for it are found by shared prefixes, and all are verified
+    exactly (see jaccard). Rows with a null doc_id or without words are nobody's copies and stay; a row repeated in full
+    stays with its copy. All columns are kept as they are.
     """
-    drop = jaccard.near_copies(docs.select("doc_id", "text"), similarity, shingle).where("not stays").select(F.col("row").alias("__dropped"))
+
+    def search(fps: DataFrame) -> DataFrame:
+        near, far = jaccard.far_bits(similarity, 64), jaccard.far_bits(similarity)
+        return links(fps, PARTS, near, far, similarity - 1e-9, PARTS)
+
+    drop = jaccard.near_copies(docs.select("doc_id", "text"), search, similarity, shingle).where("not stays").select(F.col("row").alias("__dropped"))
     drop = sent_if_few(drop)  # so that texts stay where they are
     return docs.join(drop, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")) == drop["__dropped"], "left_anti")

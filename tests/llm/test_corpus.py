@@ -252,6 +252,38 @@ def test_near_copies_brute_force(spark, monkeypatch, cell):
     assert kept == {i for i, r in root.items() if i == r} and 10 < len(kept) < 80
 
 
+def test_near_dedup_searches_fingerprints_by_the_pigeonhole(spark, monkeypatch):
+    """Without prefixes, every copy goes whose fingerprint is within the radius; what is left is left to prefixes."""
+    asked = []
+
+    def none(docs, *_):
+        asked.append(docs)
+        return spark.createDataFrame([], "gram long, node long, size int")
+
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(400)]
+        rows.append((i, " ".join(w)))
+        for at in rng.integers(0, 400, 1 + i // 3 if i > 10 else 1):
+            w[at] = word()
+        rows.append((100 + i, " ".join(w)))
+    raw = [t.encode() for _, t in rows]
+    h, size, _ = jaccard.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5)
+    x = jaccard.sketches(h, size)
+    apart = np.bitwise_count(x[::2] ^ x[1::2]).sum(1)
+    sets = [brute_sets(t) for _, t in rows]
+    same = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(range(40)) | {100 + i for i in range(40) if not same[i]}
+    assert want == {r.doc_id for r in simhash.keep_one_per_group(docs).collect()}
+    monkeypatch.setattr(jaccard, "_prefixes", none)
+    kept = {r.doc_id for r in simhash.keep_one_per_group(docs).collect()}
+    within = {100 + i for i in range(40) if same[i] and apart[i] < 16}
+    assert asked and want <= kept and len(within) > 3 and not within & kept
+
+
 # --- op3 -----------------------------------------------------------------------------------------------------------------
 
 PATTERNS = {
