@@ -252,6 +252,49 @@ def test_near_copies_brute_force(spark, monkeypatch, cell):
     assert kept == {i for i, r in root.items() if i == r} and 10 < len(kept) < 80
 
 
+def test_near_dedup_drops_no_pair_by_fingerprints(spark):
+    """Pairs of the similarity are linked whatever their fingerprints; counts never rule one out."""
+    rng = np.random.default_rng(14)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for i, n in enumerate([9, 9, 9, 60, 400, 3000, 40_000]):
+        w = [word() for _ in range(n)]
+        rows += [(i, " ".join(w)), (100 + i, " ".join([*w, word()]))]  # 5 of 6 shingles, and more
+    raw = [t.encode() for _, t in rows]
+    h, size, _ = jaccard.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5)
+    x, grams = jaccard.counts(h, size), np.split(h, np.cumsum(size)[:-1])
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(grams[i], grams[j]))
+            least = np.minimum(x[i], x[j]).astype(int)
+            assert both <= least.sum() or (least == 255).all()
+            if both / (size[i] + size[j] - both) >= 0.8:
+                assert jaccard._possible(x, size, np.array([i]), np.array([j]), 0.8).all() and jaccard._possible(x, size, i, np.array([j]), 0.8).all()
+    assert not jaccard._possible(x, size, np.array([6]), np.array([8]), 0.8).any()
+    # A search that finds nothing and fingerprints that tell nothing: prefixes and counts find every pair.
+    nothing = lambda fps: spark.createDataFrame([], "a long, b long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row for r in jaccard.near_copies(docs, nothing).where("not stays").collect()}
+    want = docs.where("doc_id >= 100").select(F.xxhash64("doc_id", "text")).collect()
+    assert got == {r[0] for r in want}
+
+
+def test_near_dedup_finds_short_copies_with_far_fingerprints(spark):
+    """Texts that share four of five shingles, chosen for fingerprints further apart than far_bits()."""
+    rng = np.random.default_rng(16)
+    letters = rng.choice(list(b"abcdefghij"), (20_000, 9, 6))
+    texts = [" ".join(bytes(w).decode() for w in t) for t in letters.astype(np.uint8)]
+    rows = [t for whole in texts for t in (whole, whole.rpartition(" ")[0])]
+    raw = [t.encode() for t in rows]
+    h, size, _ = jaccard.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5)
+    x = jaccard.sketches(h, size)
+    far = np.flatnonzero(np.bitwise_count(x[::2] ^ x[1::2]).sum(1) > jaccard.far_bits(0.8))
+    assert len(far)
+    docs = [(k, rows[2 * i]) for k, i in enumerate(far)] + [(1000 + k, rows[2 * i + 1]) for k, i in enumerate(far)]
+    kept = {r.doc_id for r in simhash.keep_one_per_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == set(range(len(far)))
+
+
 def test_near_dedup_searches_fingerprints_by_the_pigeonhole(spark, monkeypatch):
     """Without prefixes, every copy goes whose fingerprint is within the radius; what is left is left to prefixes."""
     asked = []
